@@ -9,6 +9,7 @@ from .registry import ORACLE_SQL, QUERIES
 _MODULES = (
     "stats_queries",
     "chart_queries",
+    "doc_queries",
 )
 
 for _m in _MODULES:
