@@ -10,6 +10,8 @@ _MODULES = (
     "stats_queries",
     "chart_queries",
     "doc_queries",
+    "rag_queries",
+    "memory_queries",
 )
 
 for _m in _MODULES:
