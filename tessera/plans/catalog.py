@@ -12,6 +12,7 @@ _MODULES = (
     "doc_queries",
     "rag_queries",
     "memory_queries",
+    "profile_queries",
 )
 
 for _m in _MODULES:
