@@ -13,6 +13,8 @@ _MODULES = (
     "rag_queries",
     "memory_queries",
     "profile_queries",
+    "text_queries",
+    "stream_queries",
 )
 
 for _m in _MODULES:
