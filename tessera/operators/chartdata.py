@@ -116,7 +116,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = _c(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
+        aggs += [F.count(x).cast("double").alias(f"n{i}"), stats.exact_mean(_c(c)).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
                  F.max(x).alias(f"hi{i}")]

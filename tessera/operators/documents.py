@@ -113,7 +113,7 @@ def group_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
     sets = [[k] for k in keys]
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.grouping_id(*keys).alias("_gid")]
     for i, c in enumerate(num):
-        aggs += [F.sum(_c(c)).cast("double").alias(f"_t{i}"), F.count(_c(c)).alias(f"_n{i}")]
+        aggs += [stats.exact_sum(_c(c)).alias(f"_t{i}"), F.count(_c(c)).alias(f"_n{i}")]
     g = base.groupingSets(sets, *keys).agg(*aggs)
     out = None
     nk = len(keys)

@@ -31,8 +31,25 @@ def _dbl(name: str) -> Column:
     return _c(name).cast("double")
 
 
+EXACT = "decimal(38,6)"
+
+
+def exact_sum(x: Column) -> Column:
+    """Sum accumulated in DECIMAL(38,6): exact and independent of the
+    order rows arrive in (a floating sum is not), so every engine and
+    every partitioning renders the same digits.  Falls back to a double
+    sum if a value does not fit."""
+    d = x.try_cast(EXACT)
+    return F.when(F.count(d) == F.count(x), F.sum(d).cast("double")).otherwise(
+        F.sum(x.cast("double")))
+
+
+def exact_mean(x: Column) -> Column:
+    return F.try_divide(exact_sum(x), F.count(x))
+
+
 def _total(name: str) -> Column:
-    return F.coalesce(F.sum(_c(name)).cast("double"), F.lit(0.0))
+    return F.coalesce(exact_sum(_c(name)), F.lit(0.0))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -177,7 +194,7 @@ def customer_numeric(df: DataFrame, age: str | None = None) -> DataFrame:
     a = resolve_role(df.columns, "age", explicit=age)
     if a is None:
         return _message(df, "No customer demographic data available.")
-    out = df.agg(F.avg(_dbl(a)).alias("avg_age"), F.median(_dbl(a)).alias("median_age"),
+    out = df.agg(exact_mean(_c(a)).alias("avg_age"), F.median(_dbl(a)).alias("median_age"),
                  F.min(_dbl(a)).alias("min_age"), F.max(_dbl(a)).alias("max_age"))
     text = F.concat(F.lit("\nAge Demographics:\nAverage Age: "), fmt.fixed("avg_age", 1),
                     F.lit("\nMedian Age: "), fmt.fixed("median_age", 1),
@@ -290,7 +307,7 @@ def general_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
     aggs = []
     for i, c in enumerate(cols):
         x = _dbl(c)
-        aggs += [F.avg(x).alias(f"a{i}"), F.median(x).alias(f"m{i}"),
+        aggs += [exact_mean(_c(c)).alias(f"a{i}"), F.median(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).cast("int").alias("pos"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chartdata
 from ..sources.tables import SALES_ROLES, read_table, sales_view
-from .oracle import with_sales
+from .oracle import with_sales, xavg
 from .registry import register
 
 R = SALES_ROLES
@@ -91,7 +91,7 @@ def _describe_sql(cols, src="sales"):
     parts = []
     for i, c in enumerate(cols):
         x = f"CAST({c} AS DOUBLE)"
-        stats = [("count", f"CAST(COUNT({x}) AS DOUBLE)"), ("mean", f"AVG({x})"),
+        stats = [("count", f"CAST(COUNT({x}) AS DOUBLE)"), ("mean", xavg(c)),
                  ("std", f"STDDEV_SAMP({x})"), ("min", f"MIN({x})"),
                  ("25%", f"QUANTILE_CONT({x}, 0.25)"), ("50%", f"QUANTILE_CONT({x}, 0.5)"),
                  ("75%", f"QUANTILE_CONT({x}, 0.75)"), ("max", f"MAX({x})")]

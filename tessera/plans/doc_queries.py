@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import documents
 from ..sources.tables import SALES_ROLES, sales_view
-from .oracle import fixed, with_sales
+from .oracle import fixed, with_sales, xavg, xsum
 from .registry import register
 
 _NUM = ["acctbal", "quantity", "sales"]
@@ -14,7 +14,7 @@ _COLS = "order_date, product, region, segment, acctbal, quantity, sales"
 
 _SUMMARY_CTES = [
     "num AS (SELECT string_agg(l, '' ORDER BY pos) AS t FROM (" + " UNION ALL ".join(
-        f"""SELECT {i} AS pos, chr(10) || '{c}: Mean=' || {fixed(f'AVG(CAST({c} AS DOUBLE))')}
+        f"""SELECT {i} AS pos, chr(10) || '{c}: Mean=' || {fixed(xavg(c))}
                || ', Median=' || {fixed(f'MEDIAN(CAST({c} AS DOUBLE))')}
                || ', Std=' || {fixed(f'STDDEV_SAMP(CAST({c} AS DOUBLE))')}
                || ', Min=' || {fixed(f'MIN(CAST({c} AS DOUBLE))')}
@@ -41,7 +41,7 @@ _GROUP_CTES = [
     """b AS (SELECT strftime(date_trunc('month', order_date), '%Y-%m') AS km,
                   product AS kp, region AS kr, acctbal, quantity, sales FROM sales)""",
     "g AS (SELECT km, kp, kr, GROUPING(km, kp, kr) AS gid, COUNT(*) AS n_rows, " + ", ".join(
-        f"CAST(SUM({c}) AS DOUBLE) AS t{i}, COUNT({c}) AS n{i}" for i, c in enumerate(_NUM))
+        f"{xsum(c)} AS t{i}, COUNT({c}) AS n{i}" for i, c in enumerate(_NUM))
     + " FROM b GROUP BY GROUPING SETS ((km), (kp), (kr)))",
     "groups AS (" + " UNION ALL ".join(
         f"""SELECT '{kind}' AS doc_type, {k} AS key, n_rows,

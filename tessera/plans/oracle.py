@@ -39,4 +39,13 @@ def fixed(x: str, d: int = 2) -> str:
     return f"CASE WHEN ({x}) IS NULL OR isnan({x}) THEN 'nan' ELSE format('{{:.{d}f}}', {x}) END"
 
 
-ORACLE: dict[str, str] = {}
+def xsum(x: str) -> str:
+    """Twin of ``stats.exact_sum``: DECIMAL(38,6) accumulation, double
+    fallback when a value does not fit."""
+    d = f"TRY_CAST({x} AS DECIMAL(38,6))"
+    return (f"(CASE WHEN COUNT({d}) = COUNT({x}) THEN CAST(SUM({d}) AS DOUBLE) "
+            f"ELSE SUM(CAST({x} AS DOUBLE)) END)")
+
+
+def xavg(x: str) -> str:
+    return f"({xsum(x)} / COUNT({x}))"

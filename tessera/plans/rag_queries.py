@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, memory, retrieval, stats
 from ..sources.tables import SALES_ROLES, read_table, sales_view
-from .oracle import fixed, money, with_sales
+from .oracle import fixed, money, with_sales, xavg
 from .registry import register
 from .stats_queries import _FACTS_SQL
 
@@ -53,7 +53,7 @@ STATDOC_CTES = [
           || (SELECT {_NL} || 'Age Demographics:' || {_NL} || 'Average Age: ' || {fixed('a', 1)} || {_NL}
                   || 'Median Age: ' || {fixed('m', 1)} || {_NL} || 'Age Range: ' || {fixed('lo', 0)} || ' - '
                   || {fixed('hi', 0)} || {_NL}
-              FROM (SELECT AVG(CAST(acctbal AS DOUBLE)) AS a, MEDIAN(CAST(acctbal AS DOUBLE)) AS m,
+              FROM (SELECT {xavg('acctbal')} AS a, MEDIAN(CAST(acctbal AS DOUBLE)) AS m,
                            MIN(CAST(acctbal AS DOUBLE)) AS lo, MAX(CAST(acctbal AS DOUBLE)) AS hi FROM sales))
           || (SELECT {_NL} || 'Gender Distribution:' || {_NL}
                   || string_agg(value || ': ' || CAST(n AS VARCHAR) || ' (' || {fixed('pct', 1)} || '%)' || {_NL},
@@ -81,7 +81,7 @@ STATDOC_CTES = [
                         || {_NL} || 'Std Dev: ' || {fixed('s')} || {_NL} || 'Min: ' || {fixed('lo')} || {_NL}
                         || 'Max: ' || {fixed('hi')} || {_NL} || {_NL}, '' ORDER BY pos) AS page_content
         FROM (""" + " UNION ALL ".join(
-        f"""SELECT '{c}' AS c, {i} AS pos, AVG(CAST({c} AS DOUBLE)) AS a, MEDIAN(CAST({c} AS DOUBLE)) AS m,
+        f"""SELECT '{c}' AS c, {i} AS pos, {xavg(c)} AS a, MEDIAN(CAST({c} AS DOUBLE)) AS m,
                STDDEV_SAMP(CAST({c} AS DOUBLE)) AS s, MIN(CAST({c} AS DOUBLE)) AS lo,
                MAX(CAST({c} AS DOUBLE)) AS hi FROM sales"""
         for i, c in enumerate(["acctbal", "quantity", "sales"])) + "))",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..sources.tables import SALES_ROLES, read_table, sales_view
-from .oracle import fixed, money, with_sales
+from .oracle import fixed, money, with_sales, xavg
 from .registry import register
 
 R = SALES_ROLES
@@ -85,7 +85,7 @@ SELECT ROUND(avg_age, 6) AS avg_age, median_age, min_age, max_age,
        chr(10) || 'Median Age: ' || {fixed('median_age', 1)} ||
        chr(10) || 'Age Range: ' || {fixed('min_age', 0)} || ' - ' || {fixed('max_age', 0)} || chr(10)
        AS page_content
-FROM (SELECT AVG(CAST(acctbal AS DOUBLE)) AS avg_age, MEDIAN(CAST(acctbal AS DOUBLE)) AS median_age,
+FROM (SELECT {xavg('acctbal')} AS avg_age, MEDIAN(CAST(acctbal AS DOUBLE)) AS median_age,
              MIN(CAST(acctbal AS DOUBLE)) AS min_age, MAX(CAST(acctbal AS DOUBLE)) AS max_age
       FROM sales) t"""))
 def q_customer_numeric(spark, sf_dir):
@@ -129,7 +129,7 @@ _GEN_COLS = ["acctbal", "quantity", "sales"]
 
 
 @register("general_statistics", with_sales(" UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", {i} AS pos, ROUND(AVG(CAST({c} AS DOUBLE)), 6) AS mean,
+    f"""SELECT '{c}' AS "column", {i} AS pos, ROUND({xavg(c)}, 6) AS mean,
         MEDIAN(CAST({c} AS DOUBLE)) AS median, ROUND(STDDEV_SAMP(CAST({c} AS DOUBLE)), 6) AS std,
         MIN(CAST({c} AS DOUBLE)) AS min, MAX(CAST({c} AS DOUBLE)) AS max FROM sales"""
     for i, c in enumerate(_GEN_COLS))))
