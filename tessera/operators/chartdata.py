@@ -6,8 +6,6 @@ final aggregate plan whose result is small (periods, top-n, bins, pairs).
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,11 +112,12 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     25 / 50 / 75 percent (linear interpolation), max; one aggregation."""
     cols = columns if columns is not None else stats.numeric_columns(df)
     aggs = []
+    qs = stats.quantile_literals(df, cols, (0.25, 0.5, 0.75))
     for i, c in enumerate(cols):
         x = _c(c).cast("double")
         aggs += [F.count(x).cast("double").alias(f"n{i}"), stats.exact_mean(_c(c)).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
+                 F.first(F.array(qs[(c, 0.25)], qs[(c, 0.5)], qs[(c, 0.75)])).alias(f"q{i}"),
                  F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -163,30 +162,64 @@ def dashboard(df: DataFrame, roles: dict, top_n: int = 5) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """C11: Pearson r for every ordered pair, pairwise-complete rows.
-
-    ``covar_pop / (stddev_pop * stddev_pop)`` over rows where both values
-    exist, with ``try_divide`` so a constant column gives NULL instead of
-    the DIVIDE_BY_ZERO the built-in ``corr`` raises under ANSI mode.  All
-    pairs are one aggregation (one scan)."""
+    """C11: Pearson r for every ordered pair over pairwise-complete rows;
+    a constant column gives NULL (the built-in ``corr`` raises
+    DIVIDE_BY_ZERO under ANSI mode instead).
+
+    Two passes.  A one-row pre-pass gives per-column counts, means, min and
+    max.  The main pass is one aggregation of plain sums of *shifted*
+    values d = x - mean (first moments and all cross products), which
+    generates small code and stays numerically stable; r is then computed
+    from the one-row result with column expressions.  Pairs that touch a
+    column with NULLs get their own pairwise-complete sums."""
     cols = columns if columns is not None else stats.numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("Need at least two numeric columns for correlation")
-    aggs, pairs = [], []
-    for k, (a, b) in enumerate(list(combinations(range(len(cols)), 2)) +
-                               [(i, i) for i in range(len(cols))]):
-        xa, xb = _c(cols[a]).cast("double"), _c(cols[b]).cast("double")
-        both = xa.isNotNull() & xb.isNotNull()
-        xa2, xb2 = F.when(both, xa), F.when(both, xb)
-        aggs.append(F.try_divide(F.covar_pop(xa2, xb2),
-                                 F.stddev_pop(xa2) * F.stddev_pop(xb2)).alias(f"r{k}"))
-        pairs.append((cols[a], cols[b], k))
+    x = [_c(c).cast("double") for c in cols]
+    pre = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.count(v).alias(f"c{i}") for i, v in enumerate(x)],
+                 *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+                 *[(F.min(v) == F.max(v)).alias(f"k{i}") for i, v in enumerate(x)]).first()
+    n = pre["n"]
+    full = [pre[f"c{i}"] == n for i in range(len(cols))]
+    const = [bool(pre[f"k{i}"]) or pre[f"c{i}"] == 0 for i in range(len(cols))]
+    d = [v - F.lit(pre[f"m{i}"] or 0.0) for i, v in enumerate(x)]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.sum(d[i]).alias(f"s{i}") for i in range(len(cols)) if full[i]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    for i, j in pairs:
+        if full[i] and full[j]:
+            aggs.append(F.sum(d[i] * d[j]).alias(f"p{i}_{j}"))
+        else:   # pairwise-complete moments for pairs touching a nullable column
+            both = d[i].isNotNull() & d[j].isNotNull()
+            di, dj = F.when(both, d[i]), F.when(both, d[j])
+            aggs += [F.count(di).alias(f"n{i}_{j}"), F.sum(di).alias(f"a{i}_{j}"),
+                     F.sum(dj).alias(f"b{i}_{j}"), F.sum(di * di).alias(f"q{i}_{j}"),
+                     F.sum(dj * dj).alias(f"r{i}_{j}"), F.sum(di * dj).alias(f"p{i}_{j}")]
     wide = df.agg(*aggs)
+
+    def r_expr(i, j):
+        if const[i] or const[j]:
+            return F.lit(None).cast("double")
+        if full[i] and full[j]:
+            cnt, si, sj = F.col("_n"), F.col(f"s{i}"), F.col(f"s{j}")
+            qi, qj = F.col(f"p{i}_{i}"), F.col(f"p{j}_{j}")
+        else:
+            cnt, si, sj = F.col(f"n{i}_{j}"), F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
+            qi, qj = F.col(f"q{i}_{j}"), F.col(f"r{i}_{j}")
+        mi, mj = si / cnt, sj / cnt
+        vi, vj = qi / cnt - mi * mi, qj / cnt - mj * mj
+        cov = F.col(f"p{i}_{j}") / cnt - mi * mj
+        tiny = F.lit(1e-14)
+        return F.when((vi <= tiny * qi / cnt) | (vj <= tiny * qj / cnt), F.lit(None).cast("double")) \
+                .otherwise(F.try_divide(cov, F.sqrt(vi * vj)))
+
     items = []
-    for a, b, k in pairs:
-        items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r")))
-        if a != b:
-            items.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"r{k}").alias("r")))
+    for i, j in pairs:
+        r = r_expr(i, j)
+        items.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r")))
+        if i != j:
+            items.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("r")))
     return wide.select(F.inline(F.array(*items)))
 
 

@@ -27,6 +27,18 @@ DATE_FORMATS = (
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
     "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd",
 )
+# Shape of each format: a failed parse is costly in the JVM, so a cell is
+# only parsed when its shape fits (the parse still validates the values).
+_D2, _D4, _T = "[0-9]{2}", "[0-9]{4}", "[0-9]{2}:[0-9]{2}:[0-9]{2}"
+DATE_SHAPES = (
+    f"^{_D4}-{_D2}-{_D2}$", f"^{_D4}-{_D2}-{_D2} {_T}$", f"^{_D4}-{_D2}-{_D2}T{_T}$",
+    f"^{_D2}/{_D2}/{_D4}$", f"^{_D2}-{_D2}-{_D4}$", f"^{_D4}/{_D2}/{_D2}$",
+)
+
+
+def parse_date(x, j: int):
+    """Cell -> timestamp with format ``j``; NULL when it does not parse."""
+    return F.when(x.rlike(DATE_SHAPES[j]), F.try_to_timestamp(x, F.lit(DATE_FORMATS[j])))
 # A plain signed decimal with optional exponent and outer blanks, or inf.
 # Spark's cast also takes '1d' / '5f', which the reference rejects, so the
 # regex guards the cast.
@@ -61,8 +73,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
                  F.count_if(x.rlike(NUMBER_RE)).alias(f"num{i}"),
                  F.count_if(x.rlike(INTEGER_RE) & F.trim(x).try_cast("bigint").isNotNull())
                   .alias(f"int{i}")]
-        aggs += [F.count(F.try_to_timestamp(x, F.lit(f))).alias(f"d{i}_{j}")
-                 for j, f in enumerate(DATE_FORMATS)]
+        aggs += [F.count(parse_date(x, j)).alias(f"d{i}_{j}") for j in range(len(DATE_FORMATS))]
     return df.agg(*aggs)
 
 
@@ -103,7 +114,7 @@ def normalize(df: DataFrame, fill: bool = True, decisions: list[ColumnDecision]
         if d.kind == "empty":
             e = F.lit("") if fill else F.lit(None).cast("string")
         elif d.kind == "date":
-            e = F.to_date(F.try_to_timestamp(x, F.lit(d.fmt)))
+            e = F.to_date(parse_date(x, DATE_FORMATS.index(d.fmt)))
         elif d.kind in ("long", "double"):
             e = F.when(x.rlike(NUMBER_RE), F.trim(x).try_cast("bigint" if d.kind == "long" else "double"))
             if fill:

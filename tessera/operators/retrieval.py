@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.roles import resolve_roles
+from ..plans.rolling import materialize
 from . import stats
 
 # Intent rules, tested in this order on the lower-cased
@@ -58,46 +59,135 @@ def classify(questions: DataFrame, text_col: str = "question") -> DataFrame:
 
 def statistics_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
     """R2: (intent, doc_type, page_content), one row per intent except
-    'general'.  Each row is a one-row aggregate rendered to text; the
-    union therefore has at most six rows."""
+    'general' (at most six rows).
+
+    All six documents come from **two** passes over the table: one wide
+    global aggregation (sales, age, date range and per-column statistics)
+    and one GROUPING SETS aggregation ((product), (region), (gender),
+    (month)) with partial aggregation per set.  The documents are rendered
+    from those two small results; the plan reuses their exchanges, so the
+    table (and any join behind it) is read twice, not once per statistic."""
     roles = resolve_roles(df.columns, roles)
     s, p, r, a, g, d = (roles.get(k) for k in ("sales", "product", "region", "age", "gender", "date"))
     spark = df.sparkSession
+    num = stats.numeric_columns(df)
+
+    def col(name):
+        return F.col(f"`{name}`")
+
+    # ---- exact medians (distributed selection), then one wide global aggregate
+    med = stats.quantile_literals(df, list(dict.fromkeys([c for c in (s, a) if c] + num)))
+    aggs = [F.count(F.lit(1)).alias("n_all")]
+    if s:
+        x = col(s)
+        aggs += [F.coalesce(stats.exact_sum(x), F.lit(0.0)).alias("total_sales"), F.count(x).alias("_ns"),
+                 F.first(med[(s, 0.5)]).alias("median_sale"),
+                 F.stddev_samp(x.cast("double")).alias("std_sale"),
+                 F.min(x).cast("double").alias("min_sale"), F.max(x).cast("double").alias("max_sale")]
+    if a:
+        x = col(a).cast("double")
+        aggs += [stats.exact_mean(col(a)).alias("avg_age"), F.first(med[(a, 0.5)]).alias("median_age"),
+                 F.min(x).alias("min_age"), F.max(x).alias("max_age")]
+    if d:
+        dd = col(d).cast("date")
+        aggs += [F.min(dd).alias("earliest"), F.max(dd).alias("latest"), F.count(dd).alias("n_dated")]
+    for i, c in enumerate(num):
+        x = col(c).cast("double")
+        aggs += [stats.exact_mean(col(c)).alias(f"ga{i}"), F.first(med[(c, 0.5)]).alias(f"gm{i}"),
+                 F.stddev_samp(x).alias(f"gs{i}"), F.min(x).alias(f"glo{i}"), F.max(x).alias(f"ghi{i}")]
+    wide = materialize(df.agg(*aggs))
 
-    def one(intent, doc_type, frame):
-        return frame.select(F.lit(intent).alias("intent"), F.lit(doc_type).alias("doc_type"),
-                            F.col("page_content"))
+    # ---- pass 2: one grouping-sets aggregate
+    base, keys = df, []
+    for k, src in (("_kp", p), ("_kr", r), ("_kg", g)):
+        if src:
+            base = base.withColumn(k, col(src).cast("string"))
+            keys.append(k)
+    if d and s:
+        base = base.withColumn("_km", F.trunc(col(d).cast("date"), "month"))
+        keys.append("_km")
+    groups = None
+    if keys:
+        gaggs = [F.count(F.lit(1)).alias("n_rows"), F.grouping_id(*keys).alias("_gid")]
+        if s:
+            gaggs += [F.coalesce(stats.exact_sum(col(s)), F.lit(0.0)).alias("total_sales"),
+                      F.count(col(s)).alias("_ns"),
+                      F.coalesce(F.sum(col(s).try_cast(stats.EXACT)), F.lit(0)).alias("_tdec")]
+        groups = materialize(base.groupingSets([[k] for k in keys], *keys).agg(*gaggs))
 
-    def msg(intent, text):
-        return spark.range(1).select(F.lit(intent).alias("intent"), F.lit("statistics").alias("doc_type"),
+    def one_set(k):
+        j = keys.index(k)
+        gid = (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - j))
+        out = groups.where((F.col("_gid") == gid) & F.col(k).isNotNull()).withColumnRenamed(k, "key")
+        if s:
+            out = out.withColumn("avg_sale", F.try_divide(F.col("total_sales"), F.col("_ns")))
+        return out
+
+    def row(intent, doc_type, text_df):
+        return text_df.select(F.lit(intent).alias("intent"), F.lit(doc_type).alias("doc_type"),
+                              F.col("page_content"))
+
+    def msg(intent, text, doc_type="statistics"):
+        return spark.range(1).select(F.lit(intent).alias("intent"), F.lit(doc_type).alias("doc_type"),
                                      F.lit(text).alias("page_content"))
 
-    parts = [one("sales", "sales_statistics", stats.sales_statistics(df, s)) if s
-             else msg("sales", "No sales data available.")]
+    parts = []
+    if s:
+        parts.append(row("sales", "sales_statistics", wide.select(
+            "total_sales", F.try_divide(F.col("total_sales"), F.col("_ns")).alias("avg_sale"),
+            "median_sale", "std_sale", "min_sale", "max_sale",
+            F.col("n_all").alias("total_transactions")).select(stats.sales_text().alias("page_content"))))
+    else:
+        parts.append(msg("sales", "No sales data available."))
     if p:
-        ps = stats.product_statistics(df, p, s, top=5, use_sales=s is not None)
-        parts.append(one("product", "product_statistics", stats.render_product_document(ps, s is not None)))
+        prod = one_set("_kp")
+        n_p = prod.agg(F.count(F.lit(1))).scalar()
+        top = stats._ranked_top(prod, "total_sales" if s else "n_rows", 5)
+        top = top.withColumn("n_products", n_p).withColumnRenamed("key", "product")
+        parts.append(row("product", "product_statistics", stats.render_product_document(top, s is not None)))
     else:
         parts.append(msg("product", "No product data available."))
     if r:
-        rs = stats.regional_statistics(df, r, s, use_sales=s is not None)
-        parts.append(one("region", "regional_statistics", stats.render_region_document(rs, s is not None)))
+        reg = one_set("_kr")
+        n_r = reg.agg(F.count(F.lit(1))).scalar()
+        reg = reg.withColumn("n_regions", n_r).withColumnRenamed("key", "region")
+        parts.append(row("region", "regional_statistics", stats.render_region_document(reg, s is not None)))
     else:
         parts.append(msg("region", "No regional data available."))
-    cust = stats.render_customer_document(stats.customer_numeric(df, a) if a else None,
-                                          stats.customer_share(df, g) if g else None)
-    parts.append(one("customer", "customer_statistics", cust) if cust is not None else
-                 spark.range(1).select(F.lit("customer").alias("intent"),
-                                       F.lit("customer_statistics").alias("doc_type"),
-                                       F.lit("Customer Statistics:\nNo customer demographic data available.")
-                                       .alias("page_content")))
+    age_part = wide.select(stats.age_text().alias("page_content")) if a else None
+    share = None
+    if g:
+        n_all = wide.select("n_all").scalar()
+        share = one_set("_kg").select(F.col("key").alias("value"), "n_rows",
+                                      (F.col("n_rows") * F.lit(100.0) / n_all).alias("pct"))
+    cust = stats.render_customer_document(
+        age_part.withColumn("avg_age", F.lit(0.0)) if age_part is not None else None, share)
+    parts.append(row("customer", "customer_statistics", cust) if cust is not None else
+                 msg("customer", "Customer Statistics:\nNo customer demographic data available.",
+                     "customer_statistics"))
     if d:
-        parts.append(one("time", "time_statistics", stats.render_time_document(
-            stats.time_range(df, d), stats.monthly_summary(df, d, s) if s else None)))
+        rng = wide.select("earliest", "latest", "n_dated",
+                          F.datediff("latest", "earliest").cast("bigint").alias("span_days"))
+        monthly = None
+        if s:
+            m = one_set("_km")
+            key = F.year("key") * 12 + F.month("key")
+            monthly = m.agg(
+                F.try_divide(F.sum("_tdec").cast("double"), F.count(F.lit(1))).alias("avg_monthly_sales"),
+                F.date_format(F.max_by("key", F.struct(F.col("_tdec"), -key)), "yyyy-MM").alias("best_month"),
+                F.max("_tdec").cast("double").alias("best_month_sales"),
+                F.date_format(F.min_by("key", F.struct(F.col("_tdec"), key)), "yyyy-MM").alias("worst_month"),
+                F.min("_tdec").cast("double").alias("worst_month_sales"))
+        parts.append(row("time", "time_statistics", stats.render_time_document(rng, monthly)))
     else:
         parts.append(msg("time", "No time-series data available."))
-    parts.append(one("statistics", "general_statistics",
-                     stats.render_general_document(stats.general_statistics(df))))
+    gen = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"), F.col(f"ga{i}").alias("mean"),
+                 F.col(f"gm{i}").alias("median"), F.col(f"gs{i}").alias("std"),
+                 F.col(f"glo{i}").alias("min"), F.col(f"ghi{i}").alias("max"))
+        for i, c in enumerate(num)]))) if num else spark.createDataFrame(
+        [], "column string, pos int, mean double, median double, std double, min double, max double")
+    parts.append(row("statistics", "general_statistics", stats.render_general_document(gen)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

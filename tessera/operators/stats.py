@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fmt
 from ..functions.roles import resolve_role
+from ..plans.quantiles import exact_quantiles
 
 
 def _c(name: str) -> Column:
@@ -52,6 +53,24 @@ def _total(name: str) -> Column:
     return F.coalesce(exact_sum(_c(name)), F.lit(0.0))
 
 
+def quantile_literals(df: DataFrame, columns: list[str], probs=(0.5,), approx: bool = False) -> dict:
+    """{(column, p): Column literal} of exact quantiles (linear
+    interpolation), selected by the distributed refinement plan in
+    ``plans.quantiles`` instead of the built-in exact ``percentile``,
+    whose final merge holds every distinct value in one task.
+    ``approx=True`` uses ``percentile_approx`` (one pass, bounded error)."""
+    if not columns:
+        return {}
+    if approx:
+        row = df.agg(*[F.percentile_approx(_dbl(c), list(probs), 100000).alias(f"q{i}")
+                       for i, c in enumerate(columns)]).first()
+        vals = {(c, p): (row[f"q{i}"][j] if row[f"q{i}"] else None)
+                for i, c in enumerate(columns) for j, p in enumerate(probs)}
+    else:
+        vals = exact_quantiles(df, list(columns), list(probs))
+    return {k: F.lit(v).cast("double") for k, v in vals.items()}
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
@@ -69,13 +88,19 @@ def sales_statistics(df: DataFrame, sales: str | None = None) -> DataFrame:
     out = df.agg(
         _total(s).alias("total_sales"),
         F.count(_c(s)).alias("_n"),
-        F.median(_dbl(s)).alias("median_sale"),
+        F.first(quantile_literals(df, [s])[(s, 0.5)]).alias("median_sale"),
         F.stddev_samp(_dbl(s)).alias("std_sale"),
         F.min(_c(s)).cast("double").alias("min_sale"),
         F.max(_c(s)).cast("double").alias("max_sale"),
         F.count(F.lit(1)).alias("total_transactions"),
     ).withColumn("avg_sale", F.try_divide(F.col("total_sales"), F.col("_n"))).drop("_n")
-    text = F.concat_ws(
+    return out.withColumn("page_content", sales_text())
+
+
+def sales_text() -> Column:
+    """A1 text from columns total_sales, avg_sale, median_sale, std_sale,
+    min_sale, max_sale, total_transactions."""
+    return F.concat_ws(
         "\n",
         F.lit("Sales Statistics:"),
         F.concat(F.lit("Total Sales: "), fmt.money("total_sales")),
@@ -86,7 +111,6 @@ def sales_statistics(df: DataFrame, sales: str | None = None) -> DataFrame:
         F.concat(F.lit("Maximum Sale: "), fmt.money("max_sale")),
         F.concat(F.lit("Total Transactions: "), F.col("total_transactions").cast("string")),
     )
-    return out.withColumn("page_content", text)
 
 
 # ------------------------------------------------------------- A2 / A3
@@ -194,13 +218,18 @@ def customer_numeric(df: DataFrame, age: str | None = None) -> DataFrame:
     a = resolve_role(df.columns, "age", explicit=age)
     if a is None:
         return _message(df, "No customer demographic data available.")
-    out = df.agg(exact_mean(_c(a)).alias("avg_age"), F.median(_dbl(a)).alias("median_age"),
+    out = df.agg(exact_mean(_c(a)).alias("avg_age"),
+                 F.first(quantile_literals(df, [a])[(a, 0.5)]).alias("median_age"),
                  F.min(_dbl(a)).alias("min_age"), F.max(_dbl(a)).alias("max_age"))
-    text = F.concat(F.lit("\nAge Demographics:\nAverage Age: "), fmt.fixed("avg_age", 1),
+    return out.withColumn("page_content", age_text())
+
+
+def age_text() -> Column:
+    """A6 text from columns avg_age, median_age, min_age, max_age."""
+    return F.concat(F.lit("\nAge Demographics:\nAverage Age: "), fmt.fixed("avg_age", 1),
                     F.lit("\nMedian Age: "), fmt.fixed("median_age", 1),
                     F.lit("\nAge Range: "), fmt.fixed("min_age", 0), F.lit(" - "),
                     fmt.fixed("max_age", 0), F.lit("\n"))
-    return out.withColumn("page_content", text)
 
 
 def customer_share(df: DataFrame, gender: str | None = None) -> DataFrame:
@@ -305,9 +334,10 @@ def general_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
         return df.sparkSession.createDataFrame(
             [], "column string, mean double, median double, std double, min double, max double")
     aggs = []
+    med = quantile_literals(df, cols)
     for i, c in enumerate(cols):
         x = _dbl(c)
-        aggs += [exact_mean(_c(c)).alias(f"a{i}"), F.median(x).alias(f"m{i}"),
+        aggs += [exact_mean(_c(c)).alias(f"a{i}"), F.first(med[(c, 0.5)]).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).cast("int").alias("pos"),

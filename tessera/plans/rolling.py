@@ -27,6 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a (small) intermediate result once and cut its lineage.
+
+    Several outputs derived from one aggregate are otherwise re-planned
+    separately: Catalyst prunes each consumer's copy of the aggregate to
+    the columns it uses, so the copies differ and no exchange is reused.
+    ``checkpoint()`` writes to the shared folder named by
+    ``spark.checkpoint.dir``, so the result also survives executor loss."""
+    return df.checkpoint(eager=True)
+
+
 def global_row_index(df: DataFrame, order_cols: list[str], num_partitions: int | None = None,
                      index_col: str = "_idx") -> DataFrame:
     """Add a dense 0-based index in the total order given by ``order_cols``.

@@ -34,30 +34,31 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_date, product, region, segment (gender stand-in), acctbal (age
     stand-in), quantity, sales = extendedprice * (1 - discount) in DECIMAL.
 
-    Join order keeps the big-big join (lineitem x orders on the order key)
-    as the only join over lineitem-sized inputs besides part: the customer
-    side is enriched with nation/region first (small x fixed-size broadcast)
-    and joined to orders before lineitem arrives.  part and customer are
-    left to AQE: broadcast when their runtime size is under the threshold,
-    shuffle join otherwise.
+    The fact table streams through a chain of joins whose other side is
+    always a *base* table (orders, customer, nation, region, part), so the
+    planner's size estimate for that side is its real (pruned) file size:
+    small dimensions are broadcast, large ones (orders, customer and part
+    at scale) get shuffle joins with AQE's skew splitting.  Joining two
+    dimensions first would make the estimate a product of their sizes and
+    steer the planner into broadcasting the fact table instead.  nation
+    and region have a fixed size by definition and are always broadcast.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     cu = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     na = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     rg = F.broadcast(read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
-    cust = (cu.join(na, cu.c_nationkey == na.n_nationkey)
-              .join(rg, F.col("n_regionkey") == rg.r_regionkey)
-              .select("c_custkey", "c_acctbal", "c_mktsegment", "r_name"))
-    ords = od.join(cust, od.o_custkey == cust.c_custkey).drop("o_custkey", "c_custkey")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
-    return (li.join(ords, li.l_orderkey == ords.o_orderkey)
-              .join(pt, li.l_partkey == pt.p_partkey)
+    return (li.join(od, li.l_orderkey == od.o_orderkey)
+              .join(cu, F.col("o_custkey") == cu.c_custkey)
+              .join(na, F.col("c_nationkey") == na.n_nationkey)
+              .join(rg, F.col("n_regionkey") == rg.r_regionkey)
+              .join(pt, F.col("l_partkey") == pt.p_partkey)
               .select(
                   F.col("o_orderdate").cast("date").alias("order_date"),
                   F.col("p_name").alias("product"),
