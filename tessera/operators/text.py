@@ -102,7 +102,9 @@ def chunk_recursive(docs: DataFrame, text_col: str = "text", size: int = CHUNK_S
     def _split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_recursive(t, size, overlap))
 
-    return (docs.select(*keys, F.posexplode(_split(F.col(text_col))).alias("chunk_pos", "chunk_text"))
+    from ..plans.rolling import spread
+    return (spread(docs.select(*keys, text_col))
+                .select(*keys, F.posexplode(_split(F.col(text_col))).alias("chunk_pos", "chunk_text"))
                 .select(*keys, F.col("chunk_pos").cast("bigint").alias("chunk_pos"), "chunk_text",
                         F.length("chunk_text").cast("bigint").alias("chunk_len")))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.rolling import global_row_index
+from ..plans.rolling import global_row_index, spread
 
 MAX_BROADCAST_BYTES = 64 << 20   # query matrix bytes shipped per block
 
@@ -72,7 +72,7 @@ def _partial_topk(corpus: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int,
                                 "distance": best_d.ravel()[ok]})
 
     schema = "query_id long, id long, distance double"
-    return corpus.select(id_col, vec_col).mapInPandas(run, schema)
+    return spread(corpus.select(id_col, vec_col)).mapInPandas(run, schema)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",

@@ -103,7 +103,7 @@ def _describe_sql(cols, src="sales"):
 
 @register("describe", with_sales(_describe_sql(_DESCRIBE_COLS)))
 def q_describe(spark, sf_dir):
-    d = chartdata.describe(sales_view(spark, sf_dir), _DESCRIBE_COLS)
+    d = chartdata.describe(sales_view(spark, sf_dir, materialized=True), _DESCRIBE_COLS)
     return d.select("column", "stat", F.col("pos").cast("int").alias("pos"),
                     F.round("value", 6).alias("value"))
 
@@ -123,7 +123,7 @@ UNION ALL
 SELECT 'summary', "column" || ':' || stat, value, CAST(pos AS BIGINT) FROM d""",
     "d AS (" + _describe_sql(_DESCRIBE_COLS) + ")"))
 def q_dashboard(spark, sf_dir):
-    out = chartdata.dashboard(sales_view(spark, sf_dir), R, top_n=5)
+    out = chartdata.dashboard(sales_view(spark, sf_dir, materialized=True), R, top_n=5)
     return out.withColumn("value", F.when(F.col("panel") == "summary", F.round("value", 6))
                           .otherwise(F.col("value")))
 

@@ -58,7 +58,7 @@ _GROUP_CTES = [
 
 @register("doc_summary", with_sales("SELECT * FROM summary", *_SUMMARY_CTES))
 def q_doc_summary(spark, sf_dir):
-    return documents.summary_document(sales_view(spark, sf_dir))
+    return documents.summary_document(sales_view(spark, sf_dir, materialized=True))
 
 
 @register("doc_groups", with_sales("SELECT * FROM groups", *_GROUP_CTES))
@@ -73,4 +73,4 @@ SELECT doc_type, key, n_rows, page_content,
 FROM (SELECT doc_type, key, CAST(NULL AS BIGINT) AS n_rows, page_content FROM summary
       UNION ALL SELECT * FROM groups)""", *_SUMMARY_CTES, *_GROUP_CTES))
 def q_doc_corpus(spark, sf_dir):
-    return documents.corpus(sales_view(spark, sf_dir), SALES_ROLES)
+    return documents.corpus(sales_view(spark, sf_dir, materialized=True), SALES_ROLES)

@@ -104,7 +104,7 @@ def _user_turns(spark, sf_dir):
 
 
 def _stat_docs(spark, sf_dir):
-    return retrieval.statistics_documents(sales_view(spark, sf_dir), R)
+    return retrieval.statistics_documents(sales_view(spark, sf_dir, materialized=True), R)
 
 
 # ------------------------------------------------------------------ queries
@@ -182,7 +182,7 @@ WHERE h.role = 'user'""", *STATDOC_CTES, QUESTIONS_CTE, _FACTS_SQL, _HIST_CTE)
 def q_rag_prompt(spark, sf_dir):
     """R9 + R10 + R2 + A11 + M1 for every user turn in one plan: the
     prompt a model would receive, with the memory as it stood then."""
-    sv = sales_view(spark, sf_dir)
+    sv = sales_view(spark, sf_dir, materialized=True)
     conv = read_table(spark, sf_dir, "conversations")
     qs = retrieval.attach_statistics(_user_turns(spark, sf_dir), retrieval.statistics_documents(sv, R))
     qs = stats.quick_statistics(qs, "question", stats.table_facts(sv, R), R)
@@ -261,11 +261,11 @@ def _test_cases_sql():
 
 @register("test_cases", with_sales("SELECT * FROM tc", _FACTS_SQL, _test_cases_sql()))
 def q_test_cases(spark, sf_dir):
-    return evaluation.test_cases(stats.table_facts(sales_view(spark, sf_dir), R))
+    return evaluation.test_cases(stats.table_facts(sales_view(spark, sf_dir, materialized=True), R))
 
 
 def _eval_detail_df(spark, sf_dir):
-    sv = sales_view(spark, sf_dir)
+    sv = sales_view(spark, sf_dir, materialized=True)
     tc = evaluation.test_cases(stats.table_facts(sv, R))
     routed = retrieval.extractive_answer(
         retrieval.attach_statistics(tc, retrieval.statistics_documents(sv, R), "question"))

@@ -38,6 +38,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy Python stage at least one partition per core.
+
+    A scan has as many partitions as its files have splits; a small input
+    with few row groups would run a NumPy / Python stage on a few cores.
+    When there are fewer partitions than the default parallelism the rows
+    are redistributed round-robin; otherwise (any input of real size) the
+    DataFrame is returned unchanged and no shuffle is added."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def global_row_index(df: DataFrame, order_cols: list[str], num_partitions: int | None = None,
                      index_col: str = "_idx") -> DataFrame:
     """Add a dense 0-based index in the total order given by ``order_cols``.

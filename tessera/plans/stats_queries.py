@@ -51,7 +51,7 @@ FROM (SELECT CAST(SUM(sales) AS DOUBLE) AS total_sales,
              CAST(MIN(sales) AS DOUBLE) AS min_sale, CAST(MAX(sales) AS DOUBLE) AS max_sale,
              COUNT(*) AS total_transactions FROM sales) t"""))
 def q_sales_statistics(spark, sf_dir):
-    df = stats.sales_statistics(sales_view(spark, sf_dir), R["sales"])
+    df = stats.sales_statistics(sales_view(spark, sf_dir, materialized=True), R["sales"])
     return df.select("total_sales", "median_sale", _r6("std_sale"), "min_sale", "max_sale",
                      "total_transactions", "avg_sale", "page_content")
 
@@ -89,7 +89,7 @@ FROM (SELECT {xavg('acctbal')} AS avg_age, MEDIAN(CAST(acctbal AS DOUBLE)) AS me
              MIN(CAST(acctbal AS DOUBLE)) AS min_age, MAX(CAST(acctbal AS DOUBLE)) AS max_age
       FROM sales) t"""))
 def q_customer_numeric(spark, sf_dir):
-    df = stats.customer_numeric(sales_view(spark, sf_dir), R["age"])
+    df = stats.customer_numeric(sales_view(spark, sf_dir, materialized=True), R["age"])
     return df.select(_r6("avg_age"), "median_age", "min_age", "max_age", "page_content")
 
 
@@ -134,7 +134,7 @@ _GEN_COLS = ["acctbal", "quantity", "sales"]
         MIN(CAST({c} AS DOUBLE)) AS min, MAX(CAST({c} AS DOUBLE)) AS max FROM sales"""
     for i, c in enumerate(_GEN_COLS))))
 def q_general_statistics(spark, sf_dir):
-    df = stats.general_statistics(sales_view(spark, sf_dir))
+    df = stats.general_statistics(sales_view(spark, sf_dir, materialized=True))
     return df.select("column", F.col("pos").cast("int").alias("pos"), _r6("mean"), "median",
                      _r6("std"), "min", "max")
 
@@ -151,7 +151,7 @@ facts AS (
 
 @register("ground_truth", with_sales("SELECT * FROM facts", _FACTS_SQL))
 def q_ground_truth(spark, sf_dir):
-    return stats.table_facts(sales_view(spark, sf_dir), R)
+    return stats.table_facts(sales_view(spark, sf_dir, materialized=True), R)
 
 
 def _user_turns(spark, sf_dir):
@@ -175,6 +175,6 @@ FROM conversations, facts f WHERE role = 'user'"""
 
 @register("quick_statistics", with_sales(_QUICK_SQL, _FACTS_SQL))
 def q_quick_statistics(spark, sf_dir):
-    facts = stats.table_facts(sales_view(spark, sf_dir), R)
+    facts = stats.table_facts(sales_view(spark, sf_dir, materialized=True), R)
     out = stats.quick_statistics(_user_turns(spark, sf_dir), "question", facts, R)
     return out.select("conv_id", "turn", "statistics")

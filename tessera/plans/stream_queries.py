@@ -57,7 +57,7 @@ FROM (SELECT doc_type, key, CAST(NULL AS BIGINT) AS n_rows, page_content FROM su
 def q_kb_roundtrip(spark, sf_dir):
     """S4 + S5: write the document corpus as a store, read it back."""
     d = _scratch(spark, "kb")
-    store.write_store(d, documents=documents.corpus(sales_view(spark, sf_dir), SALES_ROLES))
+    store.write_store(d, documents=documents.corpus(sales_view(spark, sf_dir, materialized=True), SALES_ROLES))
     return store.read_store(spark, d, "documents")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval, text, vector
 from ..sources.tables import SALES_ROLES, read_table, sales_view
 from .registry import register
+from .rolling import materialize
 
 
 @register("chunk_fixed", """
@@ -28,7 +29,8 @@ def q_chunk_recursive(spark, sf_dir):
 
 @register("embed_tfidf")
 def q_embed_tfidf(spark, sf_dir):
-    chunks = text.chunk_recursive(read_table(spark, sf_dir, "documents"))
+    # the Python splitter runs once; fit and transform both read the result
+    chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents")))
     model = text.fit_tfidf(chunks, dims=512)
     out = text.embed(model, chunks, "chunk_text")
     return out.select("doc_id", "chunk_pos", "n_tokens", F.size("embedding").cast("bigint").alias("dim"))
@@ -60,10 +62,11 @@ def q_hybrid_topk(spark, sf_dir):
     """R5 + R3 + R2 + R8 + R9: every user turn retrieves its nearest
     document chunks (TF-IDF, cosine) and its statistics document; the
     hybrid list is cut to k = 5 with one slot kept for statistics."""
-    chunks = text.chunk_recursive(read_table(spark, sf_dir, "documents"))
-    chunks = chunks.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_pos"))
+    chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents"))
+                         .withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_pos")))
     model = text.fit_tfidf(chunks, dims=512)
-    cvec = text.embed(model, chunks, "chunk_text")
+    # embedded chunks feed both the search and the text lookup: compute once
+    cvec = materialize(text.embed(model, chunks, "chunk_text"))
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
                      F.col("text").alias("question"))
@@ -74,7 +77,7 @@ def q_hybrid_topk(spark, sf_dir):
                       hits.id == F.col("chunk_id"))
                 .select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))
                         .alias("source"), "page_content"))
-    st = retrieval.attach_statistics(qs, retrieval.statistics_documents(sales_view(spark, sf_dir),
+    st = retrieval.attach_statistics(qs, retrieval.statistics_documents(sales_view(spark, sf_dir, materialized=True),
                                                                         SALES_ROLES))
     ranked = retrieval.hybrid_topk(hits, st.select("question_id", "page_content"), k=5)
     ctx = retrieval.context_text(ranked)
