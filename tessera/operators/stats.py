@@ -389,7 +389,9 @@ def quick_statistics(questions: DataFrame, text_col: str, facts: DataFrame, role
     q = F.lower(F.col(text_col))
     has_sales = q.contains("sales") | q.contains("revenue")
     lines = [F.concat(F.lit("Total Records: "), f["n_rows"].cast("string"))]
-    sales_ok = roles.get("sales_only" if simple else "sales") is not None
+    sales_col = roles.get("sales")
+    # the simple variant only takes a column whose name contains 'sales'
+    sales_ok = sales_col is not None and (not simple or "sales" in sales_col.lower())
     if sales_ok:
         lines.append(F.when(has_sales, F.concat(F.lit("Total Sales: $"), fmt.money(f["total_sales"]))))
         if not simple:

@@ -178,3 +178,17 @@ def q_quick_statistics(spark, sf_dir):
     facts = stats.table_facts(sales_view(spark, sf_dir, materialized=True), R)
     out = stats.quick_statistics(_user_turns(spark, sf_dir), "question", facts, R)
     return out.select("conv_id", "turn", "statistics")
+
+
+@register("quick_statistics_simple", with_sales(f"""
+SELECT conv_id, turn,
+  concat_ws(chr(10),
+    'Total Records: ' || CAST(f.n_rows AS VARCHAR),
+    CASE WHEN lower(text) LIKE '%sales%' OR lower(text) LIKE '%revenue%'
+         THEN 'Total Sales: $' || {money('f.total_sales')} END) AS statistics
+FROM conversations, facts f WHERE role = 'user'""", _FACTS_SQL))
+def q_quick_statistics_simple(spark, sf_dir):
+    """The simpler chain's statistics (rows and total sales only)."""
+    facts = stats.table_facts(sales_view(spark, sf_dir, materialized=True), R)
+    out = stats.quick_statistics(_user_turns(spark, sf_dir), "question", facts, R, simple=True)
+    return out.select("conv_id", "turn", "statistics")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.roles import find_columns, resolve_role
 from tessera.operators import chartdata, evaluation, memory, normalize, profile, retrieval, text, vector
+from tessera.operators import stats as stats_mod
 from tessera.plans.rolling import trailing_means
 from tessera.sources import store
 from tessera.sources.csv import load_table, scan_csv
@@ -337,3 +338,45 @@ def test_store_roundtrip_and_export(spark):
 def test_test_questions_blocks(spark):
     qs = evaluation.test_questions(spark, {"sales": "s", "product": None, "region": "r", "age": None})
     assert qs.count() == 3 + 4 + 3
+
+
+# ------------------------------------------------------------------ R11, M5, C8, A11
+def test_templates_render(spark):
+    df = spark.createDataFrame([("why?", "ctx", "stats")], "q string, c string, s string")
+    out = df.select(retrieval.render_template("rag", context=F.col("c"), statistics=F.col("s"),
+                                              question=F.col("q")).alias("t")).first().t
+    assert "ctx" in out and "stats" in out and "why?" in out
+    v = df.select(retrieval.render_template("visualization", question=F.col("q"),
+                                            dimensions=F.lit("region, product")).alias("t")).first().t
+    assert "region, product" in v
+    msgs = df.select(retrieval.prompt_messages(F.lit(None), F.col("q")).alias("m")).first().m
+    assert [m.role for m in msgs] == ["system", "human"]
+
+
+def test_per_session_k(spark):
+    msgs = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", str(t))
+                                  for c in (1, 2) for t in range(8)],
+                                 "conv_id long, turn long, role string, text string")
+    settings = spark.createDataFrame([(1, 1)], "conv_id long, k int")
+    got = memory.last_k_per_session(msgs, settings, default_k=2).groupBy("conv_id").count().collect()
+    assert {r.conv_id: r["count"] for r in got} == {1: 2, 2: 4}
+
+
+def test_demographics_variants(spark):
+    df = spark.createDataFrame([("M", 1.0), ("F", 2.0)], "segment string, amount double")
+    with pytest.raises(ValueError):
+        chartdata.histogram(df)          # no age column
+    assert chartdata.composition(df, "segment").count() == 2
+    one = spark.createDataFrame([(5.0,), (5.0,)], "age double")
+    assert [(r.bin, r.n_rows) for r in chartdata.histogram(one).collect()] == [(1, 2)]
+
+
+def test_quick_statistics_lines(spark):
+    facts = spark.createDataFrame([(10, 100.0, 10.0, 3, 2)],
+                                  "n_rows long, total_sales double, avg_sale double, n_products long, n_regions long")
+    qs = spark.createDataFrame([(1, "What is the total sales by region?"), (2, "hello")], "id long, question string")
+    roles = {"sales": "sales", "product": "product", "region": "region"}
+    out = {r.id: r.statistics for r in stats_mod.quick_statistics(qs, "question", facts, roles).collect()}
+    assert out[2] == "Total Records: 10"
+    assert out[1].split("\n") == ["Total Records: 10", "Total Sales: $100.00", "Average Sale: $10.00",
+                                   "Total Regions: 2"]
