@@ -115,8 +115,10 @@ def group_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
     for i, c in enumerate(num):
         aggs += [stats.exact_sum(_c(c)).alias(f"_t{i}"), F.count(_c(c)).alias(f"_n{i}")]
     g = base.groupingSets(sets, *keys).agg(*aggs)
-    out = None
+    # one projection over the single aggregate: the set (grouping id)
+    # chooses type, key and text, so the aggregate is computed once
     nk = len(keys)
+    kind_e = key_e = text_e = keep_e = None
     for j, (k, (kind, title, src)) in enumerate(zip(keys, kinds)):
         gid = (1 << nk) - 1 - (1 << (nk - 1 - j))  # only key j grouped
         lines = [F.concat(F.lit(title), F.col(k)), F.concat(F.lit("Records: "), F.col("n_rows").cast("string"))]
@@ -126,14 +128,17 @@ def group_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
             t = F.coalesce(F.col(f"_t{i}"), F.lit(0.0))
             lines.append(F.concat(F.lit(f"{c}: Total="), fmt.fixed(t), F.lit(", Average="),
                                   fmt.fixed(F.try_divide(F.col(f"_t{i}"), F.col(f"_n{i}")))))
-        keep = F.col(k).isNotNull()
+        ok = F.col(k).isNotNull()
         if kind != "time_period":
-            keep = keep & (F.trim(F.col(k)) != "")
-        part = g.where((F.col("_gid") == gid) & keep).select(
-            F.lit(kind).alias("doc_type"), F.col(k).alias("key"), "n_rows",
-            F.concat_ws("\n", *lines).alias("page_content"))
-        out = part if out is None else out.unionByName(part)
-    return out
+            ok = ok & (F.trim(F.col(k)) != "")
+        is_set = F.col("_gid") == gid
+        kind_e = F.when(is_set, F.lit(kind)) if kind_e is None else kind_e.when(is_set, F.lit(kind))
+        key_e = F.when(is_set, F.col(k)) if key_e is None else key_e.when(is_set, F.col(k))
+        text_e = (F.when(is_set, F.concat_ws("\n", *lines)) if text_e is None
+                  else text_e.when(is_set, F.concat_ws("\n", *lines)))
+        keep_e = (is_set & ok) if keep_e is None else (keep_e | (is_set & ok))
+    return g.where(keep_e).select(kind_e.alias("doc_type"), key_e.alias("key"), "n_rows",
+                                  text_e.alias("page_content"))
 
 
 def corpus(df: DataFrame, roles: dict | None = None) -> DataFrame:

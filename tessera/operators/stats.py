@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from ..functions import fmt
 from ..functions.roles import resolve_role
 from ..plans.quantiles import exact_quantiles
+from ..plans.rolling import materialize
 
 
 def _c(name: str) -> Column:
@@ -146,7 +147,9 @@ def product_statistics(df: DataFrame, product: str | None = None, sales: str | N
     if p is None:
         return _message(df, "No product data available.")
     s = resolve_role(df.columns, "sales", explicit=sales) if use_sales else None
-    grouped = _by_key(df, p, s)
+    # one row per product; materialized so the count and the top-n read it
+    # instead of each re-running the aggregation (and any join below it)
+    grouped = materialize(_by_key(df, p, s))
     n_keys = grouped.agg(F.count(F.lit(1))).scalar()
     ranked = _ranked_top(grouped, "total_sales" if s else "n_rows", top)
     return ranked.withColumn("n_products", n_keys).withColumnRenamed("key", "product")
@@ -183,7 +186,7 @@ def regional_statistics(df: DataFrame, region: str | None = None, sales: str | N
     if r is None:
         return _message(df, "No regional data available.")
     s = resolve_role(df.columns, "sales", explicit=sales) if use_sales else None
-    grouped = _by_key(df, r, s)
+    grouped = materialize(_by_key(df, r, s))
     n_keys = grouped.agg(F.count(F.lit(1))).scalar()
     return grouped.withColumn("n_regions", n_keys).withColumnRenamed("key", "region")
 
@@ -237,10 +240,12 @@ def customer_share(df: DataFrame, gender: str | None = None) -> DataFrame:
     g = resolve_role(df.columns, "gender", explicit=gender)
     if g is None:
         return _message(df, "No customer demographic data available.")
-    grouped = df.where(_c(g).isNotNull()).groupBy(_c(g).alias("value")).agg(
-        F.count(F.lit(1)).alias("n_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return grouped.withColumn("pct", F.col("n_rows") * F.lit(100.0) / total)
+    # one pass: counts per value including NULL; the total (all rows, as
+    # the reference divides by the table length) is their sum
+    grouped = materialize(df.groupBy(_c(g).alias("value")).agg(F.count(F.lit(1)).alias("n_rows")))
+    total = grouped.agg(F.sum("n_rows")).scalar()
+    return (grouped.where(F.col("value").isNotNull())
+                   .withColumn("pct", F.col("n_rows") * F.lit(100.0) / total))
 
 
 def render_customer_document(numeric: DataFrame | None, share: DataFrame | None) -> DataFrame:
