@@ -198,29 +198,36 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                      F.sum(dj * dj).alias(f"r{i}_{j}"), F.sum(di * dj).alias(f"p{i}_{j}")]
     wide = df.agg(*aggs)
 
-    def r_expr(i, j):
-        if const[i] or const[j]:
-            return F.lit(None).cast("double")
+    # One row per unordered pair holding plain column references, then r as
+    # one expression per row: the generated code stays small however many
+    # columns there are (a projection of every r at once overflows the
+    # JVM's 64 KB method limit and falls back to interpreted evaluation).
+    def moments(i, j):
         if full[i] and full[j]:
             cnt, si, sj = F.col("_n"), F.col(f"s{i}"), F.col(f"s{j}")
             qi, qj = F.col(f"p{i}_{i}"), F.col(f"p{j}_{j}")
         else:
             cnt, si, sj = F.col(f"n{i}_{j}"), F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
             qi, qj = F.col(f"q{i}_{j}"), F.col(f"r{i}_{j}")
-        mi, mj = si / cnt, sj / cnt
-        vi, vj = qi / cnt - mi * mi, qj / cnt - mj * mj
-        cov = F.col(f"p{i}_{j}") / cnt - mi * mj
-        tiny = F.lit(1e-14)
-        return F.when((vi <= tiny * qi / cnt) | (vj <= tiny * qj / cnt), F.lit(None).cast("double")) \
-                .otherwise(F.try_divide(cov, F.sqrt(vi * vj)))
-
-    items = []
-    for i, j in pairs:
-        r = r_expr(i, j)
-        items.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r")))
-        if i != j:
-            items.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("r")))
-    return wide.select(F.inline(F.array(*items)))
+        return F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                        F.lit(const[i] or const[j]).alias("k"), cnt.cast("double").alias("n"),
+                        si.alias("si"), sj.alias("sj"), qi.alias("qi"), qj.alias("qj"),
+                        F.col(f"p{i}_{j}").alias("pij"))
+
+    long = wide.select(F.inline(F.array(*[moments(i, j) for i, j in pairs])))
+    cnt = F.col("n")
+    mi, mj = F.col("si") / cnt, F.col("sj") / cnt
+    vi, vj = F.col("qi") / cnt - mi * mi, F.col("qj") / cnt - mj * mj
+    cov = F.col("pij") / cnt - mi * mj
+    tiny = F.lit(1e-14)
+    r = (F.when(F.col("k") | (vi <= tiny * F.col("qi") / cnt) | (vj <= tiny * F.col("qj") / cnt),
+                F.lit(None).cast("double"))
+          .otherwise(F.try_divide(cov, F.sqrt(vi * vj))))
+    # mirror the off-diagonal pairs
+    mirrored = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b"))).otherwise(
+        F.array(F.struct("col_a", "col_b"),
+                F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"))))
+    return long.select(mirrored.alias("ab"), r.alias("r")).select(F.inline("ab"), "r")
 
 
 def moving_avg_rows(df: DataFrame, order_cols: list[str], value: str,
