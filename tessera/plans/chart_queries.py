@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chartdata
-from ..sources.tables import SALES_ROLES, read_table, sales_view
+from ..sources.tables import SALES_ROLES, read_fact, read_table, sales_view
 from .oracle import with_sales, xavg
 from .registry import register
 
@@ -143,7 +143,7 @@ def _corr_sql():
 
 @register("correlation", _corr_sql())
 def q_correlation(spark, sf_dir):
-    out = chartdata.correlation(read_table(spark, sf_dir, "lineitem"), _LI_NUM)
+    out = chartdata.correlation(read_fact(spark, sf_dir, "lineitem"), _LI_NUM)
     return out.select("col_a", "col_b", F.round("r", 6).alias("r"))
 
 

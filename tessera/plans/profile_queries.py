@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize as norm
 from ..operators import profile
-from ..sources.tables import read_table
+from ..sources.tables import read_fact, read_table
 from .registry import register
 
 _DUCK_TYPE = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
@@ -20,7 +20,7 @@ def _as_text(df):
 
 
 def _normalized(spark, sf_dir, table):
-    df = norm.normalize(_as_text(read_table(spark, sf_dir, table)))
+    df = norm.normalize(_as_text(read_fact(spark, sf_dir, table)))
     return df.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c)
                        for c, t in df.dtypes])
 
@@ -89,7 +89,7 @@ FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY {", ".join(_LI_COLS)})"""
 
 @register("duplicate_rows", _DUP_SQL)
 def q_duplicate_rows(spark, sf_dir):
-    return profile.duplicate_rows(read_table(spark, sf_dir, "lineitem"))
+    return profile.duplicate_rows(read_fact(spark, sf_dir, "lineitem"))
 
 
 @register("validate", " UNION ALL ".join(
@@ -107,7 +107,7 @@ def q_duplicate_rows(spark, sf_dir):
                CASE WHEN duplicate_rows > 0 THEN 'Found ' || duplicate_rows || ' duplicate rows' END
         FROM ({_DUP_SQL})"""]))
 def q_validate(spark, sf_dir):
-    return profile.validate(read_table(spark, sf_dir, "lineitem"))
+    return profile.validate(read_fact(spark, sf_dir, "lineitem"))
 
 
 @register("browse", f"""
