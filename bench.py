@@ -5,6 +5,10 @@
 Each query is built and fully executed into Spark's ``noop`` sink (all
 rows computed, nothing collected to the driver).  One warm-up query runs
 first so JVM start-up and code loading are not charged to the first query.
+The business table (the star join over lineitem, orders, customer, nation,
+region, part) is prepared once per session, as the reference loads its
+table once; that step is timed as ``prepare_sales`` and is part of the
+total.
 ``BENCH_QUERIES`` (comma separated) limits the set; ``BENCH_REPEAT`` runs
 each query several times and reports the median.
 """
@@ -37,8 +41,11 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run("regional_statistics")  # warm-up
-    times, failed = {}, []
+    run("metadata")  # warm-up (does not touch the business table)
+    from tessera.sources.tables import prepared_sales
+    t0 = time.perf_counter()
+    prepared_sales(spark, sf_dir)
+    times, failed = {"prepare_sales": round(time.perf_counter() - t0, 3)}, []
     for n in names:
         try:
             times[n] = round(statistics.median(run(n) for _ in range(repeat)), 3)
