@@ -108,26 +108,38 @@ def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return h.hexdigest()[:20]
 
 
-def prepared_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The business table prepared once, like the reference's load step.
 
     The star join is written as Parquet to ``tables/sales-<fingerprint>``
     under the shared folder named by ``spark.checkpoint.dir`` and read back.
-    The fingerprint covers the five input tables' files, so changed inputs
-    give a new table; an existing complete table (``_SUCCESS``) is reused by
-    every later query and session that names the same folder.  Readers get
-    column pruning and pushed filters, which a row checkpoint cannot give.
+    The fingerprint covers the six input tables' files, so changed inputs
+    give a new table; an existing complete table is reused by every later
+    query and session that names the same folder (``refresh=True`` rebuilds
+    it).  The write goes to a unique staging folder that is then renamed
+    into place, so concurrent sessions never read a half-written table.
+    Readers get column pruning and pushed filters, which a row checkpoint
+    cannot give.
     """
+    import uuid
+
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark).rstrip("/")
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet"
               for t in ("lineitem", "orders", "customer", "nation", "region", "part")]
     path = f"{base}/tables/sales-{_fingerprint(spark, inputs)}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if refresh or not fs.exists(target):
+        staging = f"{path}.staging-{uuid.uuid4().hex}"
         # spread: the written table then has at least one file per core
-        sales_view(spark, sf_dir, materialized=False, spread_fact=True).write.mode("overwrite").parquet(path)
+        sales_view(spark, sf_dir, materialized=False, spread_fact=True).write.parquet(staging)
+        if refresh and fs.exists(target):
+            fs.delete(target, True)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+            # another session put the same table in place first
+            fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
     return spark.read.parquet(path)
 
 
