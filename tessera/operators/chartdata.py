@@ -161,73 +161,73 @@ def dashboard(df: DataFrame, roles: dict, top_n: int = 5) -> DataFrame:
     return out
 
 
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_string(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """C11: Pearson r for every ordered pair over pairwise-complete rows;
     a constant column gives NULL (the built-in ``corr`` raises
     DIVIDE_BY_ZERO under ANSI mode instead).
 
-    Two passes.  A one-row pre-pass gives per-column counts, means, min and
-    max.  The main pass is one aggregation of plain sums of *shifted*
+    Two passes.  A one-row pre-pass gives per-column counts, means and
+    constancy.  The main pass is one aggregation of plain sums of *shifted*
     values d = x - mean (first moments and all cross products), which
-    generates small code and stays numerically stable; r is then computed
-    from the one-row result with column expressions.  Pairs that touch a
-    column with NULLs get their own pairwise-complete sums."""
+    generates small code and stays numerically stable.  The one-row result
+    is turned into one row per pair and r is one expression over that row,
+    so the generated code stays small for any column count.  Pairs that
+    touch a column with NULLs get their own pairwise-complete sums.
+
+    The expressions are given as SQL text: one call per statement instead
+    of a driver-to-JVM round trip per expression node (quadratic in the
+    column count here)."""
     cols = columns if columns is not None else stats.numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("Need at least two numeric columns for correlation")
-    x = [_c(c).cast("double") for c in cols]
-    pre = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(v).alias(f"c{i}") for i, v in enumerate(x)],
-                 *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
-                 *[(F.min(v) == F.max(v)).alias(f"k{i}") for i, v in enumerate(x)]).first()
+    k = len(cols)
+    x = [f"CAST({_ident(c)} AS DOUBLE)" for c in cols]
+    pre = df.selectExpr("count(1) AS n", *[f"count({v}) AS c{i}" for i, v in enumerate(x)],
+                        *[f"avg({v}) AS m{i}" for i, v in enumerate(x)],
+                        *[f"(min({v}) = max({v})) AS k{i}" for i, v in enumerate(x)]).first()
     n = pre["n"]
-    full = [pre[f"c{i}"] == n for i in range(len(cols))]
-    const = [bool(pre[f"k{i}"]) or pre[f"c{i}"] == 0 for i in range(len(cols))]
-    d = [v - F.lit(pre[f"m{i}"] or 0.0) for i, v in enumerate(x)]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(d[i]).alias(f"s{i}") for i in range(len(cols)) if full[i]]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    full = [pre[f"c{i}"] == n for i in range(k)]
+    const = [bool(pre[f"k{i}"]) or pre[f"c{i}"] == 0 for i in range(k)]
+    d = [f"({v} - {float(pre[f'm{i}'] or 0.0)!r}D)" for i, v in enumerate(x)]
+    aggs = ["count(1) AS _n"] + [f"sum({d[i]}) AS s{i}" for i in range(k) if full[i]]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     for i, j in pairs:
         if full[i] and full[j]:
-            aggs.append(F.sum(d[i] * d[j]).alias(f"p{i}_{j}"))
+            aggs.append(f"sum({d[i]} * {d[j]}) AS p{i}_{j}")
         else:   # pairwise-complete moments for pairs touching a nullable column
-            both = d[i].isNotNull() & d[j].isNotNull()
-            di, dj = F.when(both, d[i]), F.when(both, d[j])
-            aggs += [F.count(di).alias(f"n{i}_{j}"), F.sum(di).alias(f"a{i}_{j}"),
-                     F.sum(dj).alias(f"b{i}_{j}"), F.sum(di * di).alias(f"q{i}_{j}"),
-                     F.sum(dj * dj).alias(f"r{i}_{j}"), F.sum(di * dj).alias(f"p{i}_{j}")]
-    wide = df.agg(*aggs)
+            both = f"({d[i]} IS NOT NULL AND {d[j]} IS NOT NULL)"
+            di, dj = f"(CASE WHEN {both} THEN {d[i]} END)", f"(CASE WHEN {both} THEN {d[j]} END)"
+            aggs += [f"count({di}) AS n{i}_{j}", f"sum({di}) AS a{i}_{j}", f"sum({dj}) AS b{i}_{j}",
+                     f"sum({di} * {di}) AS q{i}_{j}", f"sum({dj} * {dj}) AS r{i}_{j}",
+                     f"sum({di} * {dj}) AS p{i}_{j}"]
+    wide = df.selectExpr(*aggs)
 
-    # One row per unordered pair holding plain column references, then r as
-    # one expression per row: the generated code stays small however many
-    # columns there are (a projection of every r at once overflows the
-    # JVM's 64 KB method limit and falls back to interpreted evaluation).
     def moments(i, j):
         if full[i] and full[j]:
-            cnt, si, sj = F.col("_n"), F.col(f"s{i}"), F.col(f"s{j}")
-            qi, qj = F.col(f"p{i}_{i}"), F.col(f"p{j}_{j}")
+            cnt, si, sj, qi, qj = "_n", f"s{i}", f"s{j}", f"p{i}_{i}", f"p{j}_{j}"
         else:
-            cnt, si, sj = F.col(f"n{i}_{j}"), F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
-            qi, qj = F.col(f"q{i}_{j}"), F.col(f"r{i}_{j}")
-        return F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                        F.lit(const[i] or const[j]).alias("k"), cnt.cast("double").alias("n"),
-                        si.alias("si"), sj.alias("sj"), qi.alias("qi"), qj.alias("qj"),
-                        F.col(f"p{i}_{j}").alias("pij"))
-
-    long = wide.select(F.inline(F.array(*[moments(i, j) for i, j in pairs])))
-    cnt = F.col("n")
-    mi, mj = F.col("si") / cnt, F.col("sj") / cnt
-    vi, vj = F.col("qi") / cnt - mi * mi, F.col("qj") / cnt - mj * mj
-    cov = F.col("pij") / cnt - mi * mj
-    tiny = F.lit(1e-14)
-    r = (F.when(F.col("k") | (vi <= tiny * F.col("qi") / cnt) | (vj <= tiny * F.col("qj") / cnt),
-                F.lit(None).cast("double"))
-          .otherwise(F.try_divide(cov, F.sqrt(vi * vj))))
+            cnt, si, sj, qi, qj = f"n{i}_{j}", f"a{i}_{j}", f"b{i}_{j}", f"q{i}_{j}", f"r{i}_{j}"
+        return (f"named_struct('col_a', {_sql_string(cols[i])}, 'col_b', {_sql_string(cols[j])}, "
+                f"'k', {str(const[i] or const[j]).lower()}, 'n', CAST({cnt} AS DOUBLE), "
+                f"'si', {si}, 'sj', {sj}, 'qi', {qi}, 'qj', {qj}, 'pij', p{i}_{j})")
+
+    long = wide.selectExpr(f"inline(array({', '.join(moments(i, j) for i, j in pairs)}))")
+    vi, vj = "(qi / n - (si / n) * (si / n))", "(qj / n - (sj / n) * (sj / n))"
+    r = (f"CASE WHEN k OR {vi} <= 1e-14D * qi / n OR {vj} <= 1e-14D * qj / n THEN CAST(NULL AS DOUBLE) "
+         f"ELSE try_divide(pij / n - (si / n) * (sj / n), sqrt({vi} * {vj})) END")
     # mirror the off-diagonal pairs
-    mirrored = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b"))).otherwise(
-        F.array(F.struct("col_a", "col_b"),
-                F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"))))
-    return long.select(mirrored.alias("ab"), r.alias("r")).select(F.inline("ab"), "r")
+    mirrored = ("inline(CASE WHEN col_a = col_b THEN array(named_struct('col_a', col_a, 'col_b', col_b)) "
+                "ELSE array(named_struct('col_a', col_a, 'col_b', col_b), "
+                "named_struct('col_a', col_b, 'col_b', col_a)) END)")
+    return long.selectExpr("col_a", "col_b", f"{r} AS r").selectExpr(mirrored, "r")
 
 
 def moving_avg_rows(df: DataFrame, order_cols: list[str], value: str,

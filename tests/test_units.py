@@ -180,6 +180,18 @@ def test_constant_column_correlation_is_null(spark):
     assert r[("a", "b")] is None
 
 
+def test_correlation_pairwise_complete_matches_pandas(spark):
+    import pandas as pd
+    rows = [(1.0, 2.0, None), (2.0, 3.5, 1.0), (3.0, 2.5, 4.0), (4.0, None, 2.0), (5.0, 7.0, 3.5),
+            (6.0, 5.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, `b'x` double, c double")
+    got = {(x.col_a, x.col_b): x.r for x in chartdata.correlation(df).collect()}
+    want = pd.DataFrame(rows, columns=["a", "b'x", "c"]).corr()   # pairwise complete
+    assert len(got) == 9
+    for (a, b), r in got.items():
+        assert abs(r - want.loc[a, b]) < 1e-12
+
+
 def test_moving_average_short_input_is_null(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, v double")
     out = trailing_means(df, ["id"], "v", [7], block=16)
