@@ -97,14 +97,17 @@ def sales_view(spark: SparkSession, sf_dir: str, materialized: bool = True,
 
 
 def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Hash of the input files' names, sizes and modification times (a
-    metadata listing on the driver, as the file index does anyway)."""
+    """Hash of each input's recursive content summary (total bytes, file
+    and folder counts) and modification time: a few metadata calls per
+    table on the driver, however many files or partition folders it has."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     h = hashlib.sha1()
     for p in paths:
         jp = jvm.org.apache.hadoop.fs.Path(p)
-        for st in jp.getFileSystem(conf).listStatus(jp):
-            h.update(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()};".encode())
+        fs = jp.getFileSystem(conf)
+        cs, st = fs.getContentSummary(jp), fs.getFileStatus(jp)
+        h.update(f"{st.getPath()}|{cs.getLength()}|{cs.getFileCount()}|{cs.getDirectoryCount()}|"
+                 f"{st.getModificationTime()};".encode())
     return h.hexdigest()[:20]
 
 
