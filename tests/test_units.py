@@ -392,3 +392,20 @@ def test_quick_statistics_lines(spark):
     assert out[2] == "Total Records: 10"
     assert out[1].split("\n") == ["Total Records: 10", "Total Sales: $100.00", "Average Sale: $10.00",
                                    "Total Regions: 2"]
+
+
+# ------------------------------------------------------------ prepared table
+def test_prepared_table_equals_lazy_join_and_is_reused(spark, sf001):
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources.tables import prepared_sales, sales_view
+    lazy = sales_view(spark, sf001, materialized=False)
+    prep = prepared_sales(spark, sf001, refresh=True)
+    assert prep.schema == lazy.schema
+    assert prep.exceptAll(lazy).isEmpty() and lazy.exceptAll(prep).isEmpty()
+    # a second call finds the complete table and reads the same files
+    assert sorted(prepared_sales(spark, sf001).inputFiles()) == sorted(prep.inputFiles())
+    tables = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "tables")
+    assert not [d for d in os.listdir(tables) if ".staging-" in d]   # staging renamed or removed
+    # multi-pass readers prune columns at the scan
+    plan = prep.select("sales")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<sales:decimal(18,4)>" in plan or "struct<sales:decimal(18,4)>" in plan
