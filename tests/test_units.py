@@ -409,3 +409,21 @@ def test_prepared_table_equals_lazy_join_and_is_reused(spark, sf001):
     # multi-pass readers prune columns at the scan
     plan = prep.select("sales")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<sales:decimal(18,4)>" in plan or "struct<sales:decimal(18,4)>" in plan
+
+
+# ------------------------------------------------------------ exact quantiles
+@pytest.mark.parametrize("cap", [200_000, 3])
+def test_exact_quantiles_match_builtin_percentile(spark, cap):
+    from tessera.plans.quantiles import exact_quantiles
+    rng = np.random.default_rng(7)
+    hot = [5.0] * 400                                   # one value holds a third of the rows
+    rows = [(float(v), None if i % 9 == 0 else float(i % 13), 2.5, None)
+            for i, v in enumerate(list(rng.normal(0, 100, 800)) + hot)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c", "d"], probs, cap=cap)
+    want = df.agg(*[F.percentile(c, probs).alias(c) for c in "abcd"]).first()
+    for c in "abcd":
+        for j, p in enumerate(probs):
+            w = want[c][j] if want[c] is not None else None
+            assert got[(c, p)] == w, (c, p, got[(c, p)], w)
