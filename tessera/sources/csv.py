@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Cells read as missing (pandas' default NA markers, which
 # already include the five the reference lists).
@@ -15,19 +16,50 @@ NULL_MARKERS = (
 )
 
 
+def header_names(cells: list, case_sensitive: bool = False) -> list[str]:
+    """Column names from the header cells the way pandas names them: a
+    blank cell is ``Unnamed: <position>``; a repeated name gets ``.1``,
+    ``.2``, ... (skipping names already taken).  pandas compares names
+    case-sensitively; a Spark session that resolves names without case
+    (the default) cannot hold ``A`` next to ``a``, so there names equal
+    ignoring case count as repeats.  (Spark's own header handling appends
+    the position instead.)"""
+    key = (lambda n: n) if case_sensitive else str.lower
+    used: dict[str, int] = {}
+    out = []
+    for i, cell in enumerate(cells):
+        name = cell if cell not in (None, "") else f"Unnamed: {i}"
+        k = used.get(key(name), 0)
+        while k > 0:
+            used[key(name)] = k + 1
+            name = f"{name}.{k}"
+            k = used.get(key(name), 0)
+        used[key(name)] = k + 1
+        out.append(name)
+    return out
+
+
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Header row, all columns as strings, NA markers to NULL.
 
     ``path`` may be a file, a directory or a glob: a directory of files is
-    one table (S10).  Spark's own ``nullValue`` takes a single marker, so
-    the markers are applied as one ``when`` per column in the same
-    projection.  ``multiline`` allows quoted line breaks but stops file
-    splitting."""
+    one table (S10).  The header row is read once (a one-row job) and named
+    by ``header_names``; the scan then uses that all-text schema and skips
+    each file's header line.  Spark's own ``nullValue`` takes a single
+    marker, so the markers are applied as one ``when`` per column in the
+    same projection.  ``multiline`` allows quoted line breaks but stops
+    file splitting."""
+    def reader():
+        return (spark.read.option("inferSchema", False).option("escape", '"')
+                .option("multiLine", multiline).option("nullValue", None).option("emptyValue", ""))
     try:
-        raw = (spark.read.option("header", True).option("inferSchema", False)
-               .option("escape", '"').option("multiLine", multiline)
-               .option("nullValue", None).option("emptyValue", "")
-               .csv(path))
+        head = reader().option("header", False).csv(path).first()
+        raw = reader().option("header", True)
+        if head is not None:
+            cs = spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+            names = header_names(list(head), case_sensitive=cs)
+            raw = raw.schema(StructType([StructField(n, StringType()) for n in names]))
+        raw = raw.csv(path)
     except AnalysisException as e:  # S2: missing path
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"File not found: {path}") from None

@@ -95,6 +95,17 @@ def test_all_missing_column(spark):
     assert [r.e for r in _norm(spark, rows, "e string, k string", fill=False).collect()] == [None, None]
 
 
+def test_csv_header_names_like_pandas(spark):
+    from tessera.sources.csv import header_names
+    assert header_names(["a", "a", "a"]) == ["a", "a.1", "a.2"]
+    assert header_names(["a", "a.1", "a"]) == ["a", "a.1", "a.1.1"]
+    assert header_names(["x", "", "X"], case_sensitive=True) == ["x", "Unnamed: 1", "X"]
+    assert header_names(["x", "", "X"]) == ["x", "Unnamed: 1", "X.1"]
+    df = scan_csv(spark, _csv(["1,2,3,4"], "a,a,,A"))
+    assert df.columns == ["a", "a.1", "Unnamed: 2", "A.2"]
+    assert [tuple(r) for r in df.collect()] == [("1", "2", "3", "4")]
+
+
 def test_missing_and_empty_csv(spark):
     with pytest.raises(FileNotFoundError):
         scan_csv(spark, "/tmp/does-not-exist-tessera/x.csv")
