@@ -238,18 +238,29 @@ def moving_avg_rows(df: DataFrame, order_cols: list[str], value: str,
     return trailing_means(df, order_cols, value, list(sizes), block=block)
 
 
-def moving_avg_days(df: DataFrame, date_col: str, value: str, sizes=(7, 30)) -> DataFrame:
+def moving_avg_days(df: DataFrame, date_col: str, value: str, sizes=(7, 30),
+                    block_days: int = 4096) -> DataFrame:
     """Calendar-day moving averages of the daily totals.
 
     Daily totals first (partial aggregation, one row per day), then a range
-    frame over the day number.  The global window sees one row per calendar
-    day, so its size follows the time span, not the row count."""
+    frame over the day number, run per block of ``block_days`` day numbers:
+    each day is also copied into the next block when it lies within the
+    largest frame of that block's start, so every frame is complete inside
+    one block and no window gathers all days into one task."""
     day = F.to_date(_c(date_col))
     daily = (df.where(day.isNotNull()).groupBy(day.alias("day"))
                .agg(F.sum(_c(value)).alias("daily_total"), F.count(F.lit(1)).alias("n_rows")))
+    halo = max(sizes) - 1
+    if block_days <= halo:
+        raise ValueError("block_days must exceed the largest frame")
     dn = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
-    out = daily.withColumn("_dn", dn)
+    home = F.floor(F.col("_dn") / F.lit(block_days))
+    reach = F.floor((F.col("_dn") + F.lit(halo)) / F.lit(block_days))
+    out = (daily.withColumn("_dn", dn).withColumn("_home", home)
+                .withColumn("_blk", F.explode(F.when(reach != F.col("_home"),
+                                                     F.array(F.col("_home"), reach))
+                                              .otherwise(F.array(F.col("_home"))))))
     for n in sizes:
-        w = Window.orderBy("_dn").rangeBetween(-(n - 1), 0)
+        w = Window.partitionBy("_blk").orderBy("_dn").rangeBetween(-(n - 1), 0)
         out = out.withColumn(f"ma{n}d", F.avg("daily_total").over(w))
-    return out.drop("_dn")
+    return out.where(F.col("_blk") == F.col("_home")).drop("_dn", "_home", "_blk")

@@ -203,6 +203,15 @@ def test_correlation_pairwise_complete_matches_pandas(spark):
         assert abs(r - want.loc[a, b]) < 1e-12
 
 
+def test_blocked_day_moving_average_equals_one_block(spark, sf001):
+    ev = read_table(spark, sf001, "events").select("ts", "value")
+    def run(block):
+        out = chartdata.moving_avg_days(ev, "ts", "value", (3, 5), block_days=block)
+        return {r.day: (r.n_rows, round(r.ma3d, 9), round(r.ma5d, 9)) for r in out.collect()}
+    small, whole = run(6), run(1 << 20)
+    assert small == whole and len(small) > 3 * 6
+
+
 def test_moving_average_short_input_is_null(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, v double")
     out = trailing_means(df, ["id"], "v", [7], block=16)
@@ -438,3 +447,27 @@ def test_exact_quantiles_match_builtin_percentile(spark, cap):
         for j, p in enumerate(probs):
             w = want[c][j] if want[c] is not None else None
             assert got[(c, p)] == w, (c, p, got[(c, p)], w)
+
+
+# ------------------------------------------------------- plan shape, all queries
+def test_no_pair_products_and_single_partition_only_after_partial_aggregates(spark, sf001):
+    """Every registered batch query: no cartesian or nested-loop join, and
+    every exchange into a single partition carries partial aggregates (at
+    most one row per map task) or the per-partition row counts of the
+    global row index (one row per partition), never raw rows."""
+    from tessera.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.adaptive.enabled", "false")   # static plan: every exchange visible
+    try:
+        for name in sorted(QUERIES):
+            if name.startswith("stream"):
+                continue
+            lines = QUERIES[name](spark, sf001)._jdf.queryExecution().executedPlan().toString().split("\n")
+            text = "\n".join(lines)
+            assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+            for i, line in enumerate(lines):
+                if "Exchange SinglePartition" in line and "ReusedExchange" not in line:
+                    below = lines[i + 1]
+                    assert "Aggregate" in below and ("partial_" in below or "keys=[_pid" in below), \
+                        (name, below[:200])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
