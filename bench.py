@@ -24,6 +24,16 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+def calibrate() -> float:
+    """Seconds for a fixed single-core Python workload: lets runs on a host
+    whose speed varies be compared (not part of the total)."""
+    t0 = time.perf_counter()
+    acc = 0
+    for i in range(3_000_000):
+        acc += (i * i) % 7
+    return round(time.perf_counter() - t0, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -33,6 +43,7 @@ def main() -> None:
     from tessera.plans.catalog import QUERIES
     from tessera.session import build_session
 
+    cal = calibrate()
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="tessera-bench")
     names = only or sorted(QUERIES)
 
@@ -55,7 +66,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir).replace("sf", "")
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-           "cpus": cpus, "n_queries": len(times), "failed": failed, "repeat": repeat,
+           "cpus": cpus, "n_queries": len(times), "failed": failed, "repeat": repeat, "calibration_sec": cal,
            "spark": spark.version}
     print(json.dumps(out))
     spark.stop()
