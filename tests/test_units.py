@@ -333,6 +333,27 @@ def test_knn_matches_brute_force_and_blocks(spark, sf001):
         assert [x[1] for x in sorted(res[qi])] == [ids[i] for i in order]
 
 
+def test_knn_cosine_matches_brute_force(spark, sf001):
+    emb = read_table(spark, sf001, "embeddings")
+    rows = emb.collect()
+    m = np.array([r.embedding for r in rows], dtype=np.float64)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    unit = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)],
+                                 "vec_id long, embedding array<double>")
+    q = unit.where("vec_id % 7 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    got = vector.knn(unit, q, k=4, id_col="vec_id", query_id="qid", metric="cosine")
+    res = {}
+    for r in got.collect():
+        res.setdefault(r.query_id, []).append((r.rank, r.id, r.distance))
+    assert set(res) == {int(i) for i in ids if i % 7 == 0}
+    for qi, hits in res.items():
+        d = 1.0 - m @ m[ids == qi][0]
+        order = sorted(range(len(ids)), key=lambda i: (round(d[i], 12), ids[i]))[:4]
+        assert [h[1] for h in sorted(hits)] == [ids[i] for i in order]
+        assert all(abs(h[2] - d[ids == h[1]][0]) < 1e-9 for h in hits)
+
+
 # ------------------------------------------------------------------ M7
 def test_stream_memory_out_of_order(spark, sf001):
     from tessera.streaming.memory_state import stream_memory
