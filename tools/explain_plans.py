@@ -20,7 +20,8 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 HEADLINE = ["regional_statistics", "sales_trend_m", "product_topn", "doc_groups", "question_stats",
-            "memory_lastk", "moving_avg_rows", "vector_topk", "correlation", "intent", "simple_match"]
+            "memory_lastk", "moving_avg_rows", "moving_avg_days", "vector_topk", "correlation", "intent",
+            "simple_match"]
 
 
 def main(argv=None):
