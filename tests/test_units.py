@@ -492,3 +492,14 @@ def test_no_pair_products_and_single_partition_only_after_partial_aggregates(spa
                         (name, below[:200])
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_spread_adds_no_exchange_to_an_input_with_enough_splits(spark):
+    from tessera.plans.rolling import spread
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread(many) is many                      # real-size input: unchanged, no shuffle
+    one = spark.range(0, 1000, numPartitions=1)
+    out = spread(one)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in out.collect()) == list(range(1000))
