@@ -503,3 +503,18 @@ def test_spread_adds_no_exchange_to_an_input_with_enough_splits(spark):
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.id for r in out.collect()) == list(range(1000))
+
+
+def test_sales_queries_scan_the_prepared_table_with_pruned_columns(spark, sf001):
+    from tessera.plans.catalog import QUERIES
+    for name, cols in [("sales_trend_m", {"order_date", "sales"}), ("sales_trend_y", {"order_date", "sales"}),
+                       ("histogram", {"acctbal"})]:
+        df = QUERIES[name](spark, sf001)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "/tables/sales-" in plan and "lineitem" not in plan, name
+        schemas = [line.split("ReadSchema: struct<")[1].split(">")[0]
+                   for line in plan.split("\n") if "ReadSchema: struct<" in line]
+        import re
+        names = [set(re.findall(r"(?:^|,)(\w+):", s)) for s in schemas]
+        assert names and all(n and n <= cols for n in names), (name, schemas)
