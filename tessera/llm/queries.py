@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, topk_search, url_filter
+from . import bpe, jaccard_join, topk_search, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,24 @@ def op8(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op9_jaccard_join", f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 4
+               then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+               when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+n as (select doc_id, cast(len(s) as bigint) as n_shingles from s),
+x as (select doc_id, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from x a join x b on a.g = b.g and a.doc_id <> b.doc_id
+      group by all),
+l as (select a, b from p join n i on i.doc_id = a join n j on j.doc_id = b
+      where 100 * k >= 85 * (i.n_shingles + j.n_shingles - k)),
+r(a, b) as (select doc_id, doc_id from n union select r.a, l.b from r join l on r.b = l.a)
+select a as doc_id, any_value(n_shingles) as n_shingles, min(b) as component_id
+from r join n on n.doc_id = a group by a""")
+def op9(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, num=85, den=100)
