@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, topk_search, url_filter
+from . import bpe, jaccard_join, line_dedup, topk_search, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,26 @@ select a as doc_id, any_value(n_shingles) as n_shingles, min(b) as component_id
 from r join n on n.doc_id = a group by a""")
 def op9(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, num=85, den=100)
+
+
+@register("op6_line_dedup", """
+with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos,
+                  unnest(string_split(text, chr(10))) as raw from documents),
+t as (select doc_id, pos, raw, trim(raw, concat(' ', chr(9), chr(11), chr(12), chr(13))) as line from l),
+f as (select line, min((doc_id, pos)) as f, length(line) as n from t where length(line) >= 20 group by line),
+near as (select distinct b.line from f a join f b
+         on b.n between a.n - 2 and a.n + 2 and a.f < b.f
+            and (contains(b.line, substr(a.line, 1, a.n // 3)) or contains(b.line, substr(a.line, a.n // 3 + 1, a.n // 3))
+                 or contains(b.line, substr(a.line, 2 * (a.n // 3) + 1, a.n // 3)))
+         where levenshtein(a.line, b.line) <= 2),
+j as (select t.*, f.f is not null and (f.f <> (t.doc_id, t.pos) or t.line in (select line from near)) as gone
+      from t left join f on t.line = f.line)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+       sha256(coalesce(string_agg(raw, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from j group by doc_id
+union all
+select doc_id, 0, 0, sha256('') from documents where text is null""")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_dedup.dedup(docs, min_chars=20).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
