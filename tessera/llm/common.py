@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.rolling import spread
 from ..session import ensure_checkpoint_dir
@@ -173,3 +174,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """The rows, marked for broadcast if they are counted to be at most ``limit``."""
+    return F.broadcast(df) if df.count() <= limit else df

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, signed, text_buffer, word_runs, written
+from .common import U64, Words, mix, signed, small, text_buffer, word_runs, written
 from .components import components
 
 FLUSH_KEYS = 2_000_000        # keys a task packs at once
@@ -280,8 +280,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
     """(a, b) of the pairs of ids that link, decided on the whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small(ids, BROADCAST_IDS)
     # repeated rows of one id: the classes' representatives are single rows of it
     texts = src.join(ids, F.col("id") == F.col("want"), "left_semi")
     texts = written(texts.select("id", "text").distinct(), "texts")

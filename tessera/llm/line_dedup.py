@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 MAX_EDITS = 2                 # the three-segment layout is for two edits
 BROADCAST_ROWS = 200_000      # document ids sent to all executors at most; more are joined by a shuffle
@@ -110,9 +110,7 @@ def near_pairs(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     ends = [F.struct(*[F.col(p + c).alias(c) for c in ("doc", "pos", "h")]) for p in ("x_", "y_")]
     want = cand.select(F.explode(F.array(*ends)).alias("w")).select("w.doc", "w.pos", "w.h").distinct()
     ids = want.select(F.col("doc").alias("want")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    some = docs.join(ids, F.col(id_col) == F.col("want"), "left_semi")
+    some = docs.join(small(ids, BROADCAST_ROWS), F.col(id_col) == F.col("want"), "left_semi")
     got = (split_lines(some, id_col, text_col).withColumn("h", F.xxhash64("line"))
            .join(want, ["doc", "pos", "h"]).distinct())
     side = lambda p: got.select(*[F.col(c).alias(p + c) for c in got.columns])
@@ -139,8 +137,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     if min_chars < 12:
         raise ValueError("judged lines need 12 characters at least")
     drop = written(removed_positions(docs, id_col, text_col, min_chars), "line-drops")
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
+    drop = small(drop, BROADCAST_ROWS)
     parts = F.split(F.col(text_col), "\n")
     # runs of kept lines lie between the removed positions: linear in the lines, whatever their number
     stops = F.concat(F.array(F.lit(-1)), F.col("drop"), F.array(F.size(parts)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, topk_search, url_filter
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality, topk_search, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,18 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return line_dedup.dedup(docs, min_chars=20).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op5_quality_classifier")
+def op5(spark, sf_dir):
+    out = quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("keep"))
+
+
+@register("op10_decontamination")
+def op10(spark, sf_dir):
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return out.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_items"),
+                      F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+                      F.transform("leaks", lambda x: x["edits"]).alias("edits"))
