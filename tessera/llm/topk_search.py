@@ -72,28 +72,35 @@ def top_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     for a in range(0, len(c), tile):
         part, ids = c[a:a + tile], c_ids[a:a + tile]
         floor = best_s[:, -1]
-        alive = np.ones((nq, len(part)), bool)
-        for s, stat in zip(levels, qs):
-            cs = segment_stats(part, s)
-            if alive.mean() > 0.2:
-                bound = stat @ cs.T
-                alive &= bound + SLACK * (1 + np.abs(bound)) >= floor[:, None]
+        own = q_ids[:, None] == ids[None, :]
+        if not np.isfinite(floor).all():   # some query has fewer than k so far: nothing to prune with
+            score = np.where(own, -np.inf, q @ part.T)
+            kth = np.partition(score, -k, axis=1)[:, -k] if len(part) > k else np.full(nq, -np.inf)
+            i, j = np.nonzero((score >= np.maximum(kth, floor)[:, None]) & ~own)
+            score = score[i, j]
+        else:
+            alive = ~own
+            for s, stat in zip(levels, qs):
+                cs = segment_stats(part, s)
+                if alive.mean() > 0.1:
+                    bound = stat @ cs.T
+                    alive &= bound + SLACK * (1 + np.abs(bound)) >= floor[:, None]
+                else:
+                    i, j = np.nonzero(alive)
+                    bound = np.einsum("ij,ij->i", stat[i], cs[j])
+                    alive[i, j] = bound + SLACK * (1 + np.abs(bound)) >= floor[i]
+            if alive.mean() > 0.05:
+                score = q @ part.T
+                i, j = np.nonzero(alive & (score >= floor[:, None]))
+                score = score[i, j]
             else:
                 i, j = np.nonzero(alive)
-                bound = np.einsum("ij,ij->i", stat[i], cs[j])
-                alive[i, j] = bound + SLACK * (1 + np.abs(bound)) >= floor[i]
-        alive &= q_ids[:, None] != ids[None, :]
-        i, j = np.nonzero(alive)
+                score = np.einsum("ij,ij->i", q[i], part[j])
+                i, j, score = i[score >= floor[i]], j[score >= floor[i]], score[score >= floor[i]]
         if not len(i):
             continue
-        score = np.empty(len(i))
-        if len(i) > 0.05 * alive.size:
-            score[:] = (q @ part.T)[i, j]
-        else:
-            score[:] = np.einsum("ij,ij->i", q[i], part[j])
         # survivors and the best so far, by query, score (falling), id
-        old = np.isfinite(best_s)
-        oi, oj = np.nonzero(old)
+        oi, oj = np.nonzero(np.isfinite(best_s))
         qi = np.concatenate([oi, i])
         sc = np.concatenate([best_s[oi, oj], score])
         ci = np.concatenate([best_i[oi, oj], ids[j]])
