@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality, topk_search, url_filter
+from . import (bpe, decontaminate, jaccard_join, line_dedup, quality, substring_dedup, topk_search,
+               url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,21 @@ def op10(spark, sf_dir):
     return out.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_items"),
                       F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
                       F.transform("leaks", lambda x: x["edits"]).alias("edits"))
+
+
+@register("op2_substring_dedup", """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(len(w) - 19)) as s from w where len(w) >= 20),
+g as (select p.doc_id, s, array_to_string(w[s + 1:s + 20], ' ') as t from p join w using (doc_id)),
+f as (select doc_id, s, row_number() over (partition by t order by doc_id, s) as k from g),
+gone as (select doc_id, list(s) as starts from f where k > 1 group by doc_id),
+hit as (select distinct doc_id, unnest(range(s, s + 20)) as i from (select doc_id, unnest(starts) as s from gone)),
+v as (select doc_id, generate_subscripts(w, 1) - 1 as i, unnest(w) as x from w),
+kept as (select v.doc_id, count(*) as n, string_agg(x, ' ' order by v.i) as t
+         from v left join hit h on v.doc_id = h.doc_id and v.i = h.i where h.i is null group by v.doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from w left join kept on w.doc_id = kept.doc_id""")
+def op2(spark, sf_dir):
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
