@@ -24,7 +24,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20     # text handled at once inside a task (a longer document is handled alone)
+CHUNK_BYTES = 512 << 10   # text handled at once inside a task (a longer document is handled alone)
 
 _rng = np.random.default_rng(20240607)
 _BYTE_CODES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * U64(2) + U64(1)
@@ -38,10 +38,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per worker and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64, kept per worker and grown by a quarter at least."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * (0 if have is None else len(have)))
+        size = max(n, 1 << 16, (0 if have is None else len(have)) * 5 // 4)
         seq = np.full(size, base, dtype=np.uint64)
         seq[0] = 1
         have = _powers[base] = np.multiply.accumulate(seq)

@@ -47,10 +47,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, signed, small, text_buffer, word_runs, written
+from .common import CHUNK_BYTES, U64, Words, mix, signed, small, text_buffer, word_runs, written
 from .components import components
 
-FLUSH_KEYS = 2_000_000        # keys a task packs at once
+FLUSH_KEYS = 400_000        # keys a task packs at once
 BUCKET_BYTES = 24 << 20       # text bytes whose keys share a bucket
 BROADCAST_IDS = 1_000_000     # ids sent to all executors at most; more are joined by a shuffle
 SKETCH_WORDS = 8              # parity sketch of 8 * 64 bits
@@ -293,7 +293,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
             size = np.maximum.reduce([np.diff(text_buffer(batch.column(i))[1]) for i in (2, 3)])
             cut = [0]
             while cut[-1] < batch.num_rows:
-                far = np.searchsorted(np.cumsum(size[cut[-1]:]), 2 << 20, "right")
+                far = np.searchsorted(np.cumsum(size[cut[-1]:]), CHUNK_BYTES, "right")
                 cut.append(min(batch.num_rows, cut[-1] + max(1, int(far))))
             for lo, hi in zip(cut[:-1], cut[1:]):
                 part, sets = batch.slice(lo, hi - lo), []
