@@ -27,10 +27,12 @@ bucket's task sorts them and keeps the keys that several classes share.
 3. In each such key every class is paired with the key's first class only (a
 star, never all pairs), pairs that a parity sketch of the sets proves too
 different are discarded, the rest are verified on the whole texts, and
-components are formed.  4. Sharers of a key that are still in different
-components are paired and verified as well, so that in the end every pair with
-a common key is either verified or already connected.  Groups of similar
-copies are connected by step 3 and never expanded.
+components are formed.  4. While keys with sharers in different components
+still hold many pairs, stars around each key's best linked class are verified:
+a group of copies hangs together by the text they were made from.  5. Sharers
+of a key that are still apart are paired and verified in full, so that in the
+end every pair with a common key is ruled out, verified or connected.  Groups
+of similar copies are connected by steps 3 and 4 and never expanded.
 
 Rows with a null id get component null and link nothing; repeated rows are
 rows of one class; a null or empty text is an empty set, whose component is
@@ -47,13 +49,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, U64, Words, mix, signed, small, text_buffer, word_runs, written
+from .common import CHUNK_BYTES, U64, Words, lean, mix, signed, small, text_buffer, word_runs, written
 from .components import components
 
 FLUSH_KEYS = 400_000        # keys a task packs at once
 BUCKET_BYTES = 24 << 20       # text bytes whose keys share a bucket
 BROADCAST_IDS = 1_000_000     # ids sent to all executors at most; more are joined by a shuffle
 SKETCH_WORDS = 8              # parity sketch of 8 * 64 bits
+HUB_ROUNDS = 2                # star rounds at most before what is still apart is paired in full
 
 
 class Bands:
@@ -186,6 +189,7 @@ def memberships(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, cls long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in word_runs(batch.column(1), lower=True):
@@ -203,6 +207,7 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     """(key, cls, head): the classes of every key that several classes share; head is its first class."""
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         keys, nodes, held = [], [], 0
@@ -288,6 +293,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
                  .join(_side(texts, "b_"), F.col("b") == F.col("b_id"))
                  .select("a", "b", F.col("a_text").alias("x"), F.col("b_text").alias("y")))
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.maximum.reduce([np.diff(text_buffer(batch.column(i))[1]) for i in (2, 3)])
@@ -332,23 +338,48 @@ def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_co
                      .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
                      .where("a < b").distinct())
 
-    stars = written(candidates(shared.where("cls <> head").select(F.col("head").alias("x"), F.col("cls").alias("y")).distinct()), "stars")
-    links = written(verify(stars, docs, id_col, text_col, shingle, num, den), "links")
-    known = components(links, "a", "b")
+    def apart(known: DataFrame) -> DataFrame:
+        """Rows of the keys whose classes are still in several components."""
+        place = classes.join(known, F.col("rep") == F.col("node"), "left").select(
+            "cls", "rep", "n", *sk, F.coalesce("component", "rep").alias("comp"))
+        placed = shared.select("key", "cls").join(place, "cls").drop("cls")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return written(placed.join(mixed, "key"), "apart")
+
+    def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+        return written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
 
-    # sharers of a key that are still apart
-    place = classes.join(known, F.col("rep") == F.col("node"), "left").select(
-        *classes.columns, F.coalesce("component", "rep").alias("comp"))
-    placed = shared.join(place, "cls")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = written(placed.join(mixed, "key").select("key", "rep", "comp", "n", *sk), "rest")
+    tried = written(candidates(shared.where("cls <> head").select(F.col("head").alias("x"), F.col("cls").alias("y")).distinct()), "pairs")
+    links = written(verify(tried, docs, id_col, text_col, shingle, num, den), "links")
+    known = components(links, "a", "b")
+    rest = apart(known)
+    for _ in range(HUB_ROUNDS):
+        rows, pairs = rest.groupBy("key").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
+        if (pairs or 0) <= 2 * (rows or 0):
+            break
+        # large groups: a star around each key's member with the most links so far
+        degree = links.select(F.explode(F.array("a", "b")).alias("d_rep")).groupBy("d_rep").count()
+        rated = rest.join(degree, F.col("rep") == F.col("d_rep"), "left")
+        hubs = rated.groupBy(F.col("key").alias("x_key")).agg(F.max(F.struct(
+            F.coalesce("count", F.lit(0)), -F.col("rep"), *[F.col(c).alias("x_" + c) for c in ("rep", "comp", "n", *sk)])).alias("hub"))
+        hubs = hubs.select("x_key", *[f"hub.x_{c}" for c in ("rep", "comp", "n", *sk)])
+        y = _side(rest, "y_")
+        stars = untried(hubs.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp"))
+                                  & _may_link("x_", "y_", num, den)), tried)
+        more = written(verify(stars, docs, id_col, text_col, shingle, num, den), "links")
+        tried = tried.unionByName(stars)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        known = components(links, "a", "b")
+        rest = apart(known)
+
+    # what is still apart is paired in full
     y = _side(rest, "y_")
-    apart = (_side(rest, "x_").join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") < F.col("y_comp"))
-                                    & _may_link("x_", "y_", num, den))
-             .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    apart = written(apart, "apart")
-    more = verify(apart, docs, id_col, text_col, shingle, num, den)
+    last = untried(_side(rest, "x_").join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") < F.col("y_comp"))
+                                          & _may_link("x_", "y_", num, den)), tried)
+    more = verify(last, docs, id_col, text_col, shingle, num, den)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
 
     reps = classes.select(F.col("cls").alias("c_cls"), "rep")
