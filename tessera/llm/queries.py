@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, decontaminate, jaccard_join, line_dedup, quality, substring_dedup, topk_search,
-               url_filter)
+               toxicity, url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,11 @@ from w left join kept on w.doc_id = kept.doc_id""")
 def op2(spark, sf_dir):
     out = substring_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
