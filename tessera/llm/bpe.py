@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, U64, inverse, mix, powers, runs, text_buffer
+from .common import CHUNK_BYTES, U64, inverse, lean, mix, powers, runs, text_buffer
 
 REMEMBER = 300_000
 _BASE = 0xD1342543DE82EF95
@@ -205,6 +205,7 @@ def encode_decode(df: DataFrame, vocab_path: str, pattern: str, text_col: str =
     schema = T.StructType([src.schema[c] for c in keep]
                           + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared, pattern)
         for batch in batches:

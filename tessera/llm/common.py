@@ -10,6 +10,8 @@ a bit mixer.  Two bases give two independent 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
 from collections.abc import Iterator
@@ -157,6 +159,22 @@ def word_runs(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> I
         yield a, b, Words(data[off[a]:off[b]], off[a:b + 1] - off[a], lower)
 
 
+def lean(work):
+    """Wrap a task's batch generator: the memory it has freed goes back to the
+    system when the task ends, as Python workers outlive their tasks."""
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):   # another C library
+                pass
+    return run
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, mix, text_buffer, word_runs
+from .common import U64, Words, lean, mix, text_buffer, word_runs
 
 WALKS = 4
 PAD = U64(0x0123456789ABCDEF)
@@ -218,34 +218,40 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block: int, block_words
         yield ids, texts
 
 
+def _finder(shared):
+    """Arrow function: texts -> leaks of one block of items."""
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
+
+    @lean
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = shared.value
+        for col in batches:
+            leaks: list[list[dict]] = [[] for _ in range(len(col))]
+            for a, _, words in word_runs(col, lower=True):
+                for r, found in find(words, items).items():
+                    best: dict[int, int] = {}
+                    for i, d in found.items():
+                        k = items.ids[i]
+                        best[k] = min(d, best.get(k, d))
+                    leaks[a + r] = [{"item_id": k, "edits": d} for k, d in sorted(best.items())]
+            yield pa.array(leaks, kind)
+
+    return work
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, max_ratio: float = 0.2, sample: int = 2, target_recall: float = 0.99,
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = 2000,
                   block_words: int = 200_000, out_col: str = "leaks") -> DataFrame:
     """The documents' columns and ``leaks``: array of (item_id, edits) of the items held, by item id."""
     spark = docs.sparkSession
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())]))
-    out = docs.withColumn(out_col, F.array().cast(kind))
-    at = out.columns.index(text_col)
+    out, found_cols = docs, []
     for ids, texts in blocks(items, item_id, item_text, block, block_words):
         shared = spark.sparkContext.broadcast(Items(ids, texts, max_ratio, sample, target_recall))
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block_items = shared.value
-            for batch in batches:
-                for a, b, words in word_runs(batch.column(at), lower=True):
-                    part = batch.slice(a, b - a)
-                    hits = find(words, block_items)
-                    old = part.column(part.num_columns - 1)
-                    if hits:
-                        new = old.to_pylist()
-                        for r, found in hits.items():
-                            best = {x["item_id"]: x["edits"] for x in new[r]}
-                            for i, d in found.items():
-                                k = block_items.ids[i]
-                                best[k] = min(d, best.get(k, d))
-                            new[r] = [{"item_id": k, "edits": d} for k, d in sorted(best.items())]
-                        old = pa.array(new, old.type)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], old], schema=part.schema)
-
-        out = out.mapInArrow(work, out.schema)
-    return out
+        found_cols.append(f"_{out_col}_{len(found_cols)}")
+        out = out.withColumn(found_cols[-1], F.arrow_udf(_finder(shared), kind).asNondeterministic()(text_col))
+    # an id may come in two blocks with two texts: its fewest edits count
+    merged = F.sort_array(F.concat(F.array().cast(kind), *found_cols))
+    return out.withColumn(out_col, F.filter(merged, lambda x, i: (i == 0) | (
+        F.element_at(merged, F.greatest(i, F.lit(1)))["item_id"] != x["item_id"]))).drop(*found_cols)

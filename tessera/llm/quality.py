@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, mix, text_buffer, word_runs
+from .common import U64, Words, lean, mix, runs, text_buffer, word_runs
 
 DIM = 1 << 12
-FIT_ROWS = 8_000
+FIT_ROWS = 4_000
 
 # character classes: lower, capital, digit, space, line feed, sentence marks, symbols, beyond ASCII
 _CLASS = np.full(256, 6, np.uint8)
@@ -149,31 +149,32 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, labellers: int, roun
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Logistic weights (bias last) on soft labels, both classes weighted alike, by Adam."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    used = np.flatnonzero(np.abs(x).sum(axis=0) > 0)
-    xs = x[:, used].astype(np.float64)
-    w, m, s = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+    w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    pos, neg = y / max(y.sum(), 1e-9), (1 - y) / max((1 - y).sum(), 1e-9)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(xs @ w, -50, 50)))
-        pos, neg = y / max(y.sum(), 1e-9), (1 - y) / max((1 - y).sum(), 1e-9)
-        g = xs.T @ (neg * p - pos * (1 - p)) / 2 + decay * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -50, 50)))
+        g = x.T @ ((neg * p - pos * (1 - p)) / 2).astype(np.float32) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-8) * (1 - t / (rounds + 1))
-    out = np.zeros(DIM + 1)
-    out[used] = w
-    return out
+        w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-8) * (1 - t / (rounds + 1))
+    return w
 
 
-def _runs(col: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
-    _, off = text_buffer(col)
-    for a, b, words in word_runs(col):
-        yield a, b, words, off[a:b + 1] - off[a]
+def _slices(col: pa.Array, limit: int = 256) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """(first row, Words, offsets) of at most ``limit`` rows each, as inputs are dense."""
+    data, off = text_buffer(col)
+    for a, b in runs(off):
+        for lo in range(a, b, limit):
+            hi = min(b, lo + limit)
+            part = off[lo:hi + 1] - off[lo]
+            yield lo, Words(data[off[lo]:off[hi]], part), part
 
 
 def vote_patterns(docs: DataFrame, text_col: str) -> DataFrame:
     """(pattern) of every document that has words."""
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words, _ in _runs(batch.column(0)):
+            for a, b, words in word_runs(batch.column(0)):
                 p = pattern(votes(statistics(words, b - a)))[np.diff(words.first) > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(p)], names=["pattern"])
 
@@ -192,23 +193,20 @@ def classify(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS,
     if len(post) and post.min() < 0.5 < post.max():
         weights = _fit(docs, text_col, seen, post, fit_rows)
     shared = spark.sparkContext.broadcast(weights)
-    at, names = docs.columns.index(text_col), [*docs.columns, score_col]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
-        for batch in batches:
-            for a, b, words, off in _runs(batch.column(at)):
-                score = np.zeros(b - a)
-                for lo in range(0, b - a, 512):  # a slice of the run at a time: inputs are dense
-                    hi = min(b - a, lo + 512)
-                    sub = words if hi - lo == b - a else Words(words.data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                    x = inputs(sub, hi - lo, statistics(sub, hi - lo), off[lo:hi + 1] - off[lo])
-                    z = x @ w[:-1].astype(np.float32) + w[-1]
-                    score[lo:hi] = np.where(np.diff(sub.first) > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score)], names=names)
+        for col in batches:
+            score = np.zeros(len(col))
+            for at, sub, off in _slices(col):
+                x = inputs(sub, len(off) - 1, statistics(sub, len(off) - 1), off)
+                z = x @ w[:-1].astype(np.float32) + w[-1]
+                score[at:at + len(z)] = np.where(np.diff(sub.first) > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
+            yield pa.array(score)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(work, schema)
+    # not deterministic to the optimizer: a filter on the score must not compute it twice
+    return docs.withColumn(score_col, F.arrow_udf(work, T.DoubleType()).asNondeterministic()(text_col))
 
 
 def _fit(docs: DataFrame, text_col: str, seen: np.ndarray, post: np.ndarray, fit_rows: int) -> np.ndarray:
@@ -218,26 +216,29 @@ def _fit(docs: DataFrame, text_col: str, seen: np.ndarray, post: np.ndarray, fit
     edge = few.agg(F.max("h")).first()[0]
     posterior = dict(zip(seen.tolist(), post.tolist()))
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words, off in _runs(batch.column(0)):
-                for lo in range(0, b - a, 512):
-                    hi = min(b - a, lo + 512)
-                    sub = Words(words.data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                    stats = statistics(sub, hi - lo)
-                    x = inputs(sub, hi - lo, stats, off[lo:hi + 1] - off[lo])
-                    p = pattern(votes(stats))
-                    has = np.flatnonzero(np.diff(sub.first) > 0)
-                    slots = [np.flatnonzero(r) for r in x[has]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([posterior.get(i, 0.5) for i in p[has].tolist()], pa.float64()),
-                         pa.array([s.astype(np.int32).tobytes() for s in slots], pa.binary()),
-                         pa.array([x[i][s].tobytes() for i, s in zip(has, slots)], pa.binary())],
-                        names=["y", "slot", "value"])
+            for _, sub, off in _slices(batch.column(0)):
+                stats = statistics(sub, len(off) - 1)
+                x = inputs(sub, len(off) - 1, stats, off)
+                p = pattern(votes(stats))
+                has = np.flatnonzero(np.diff(sub.first) > 0)
+                slots = [np.flatnonzero(r) for r in x[has]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([posterior.get(i, 0.5) for i in p[has].tolist()], pa.float64()),
+                     pa.array([s.astype(np.int32).tobytes() for s in slots], pa.binary()),
+                     pa.array([x[i][s].tobytes() for i, s in zip(has, slots)], pa.binary())],
+                    names=["y", "slot", "value"])
 
     sample = docs.where(F.col(text_col).isNotNull() & (h <= F.lit(edge))).select(text_col).dropDuplicates([text_col])
     rows = sample.mapInArrow(work, "y double, slot binary, value binary").collect()
-    x = np.zeros((len(rows), DIM), np.float32)
+    slots = [np.frombuffer(r["slot"], np.int32) for r in rows]
+    used = np.unique(np.concatenate(slots)) if slots else np.zeros(0, np.int32)
+    x = np.zeros((len(rows), len(used)), np.float32)
     for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["slot"], np.int32)] = np.frombuffer(r["value"], np.float32)
-    return fit_scorer(x, np.array([r["y"] for r in rows]))
+        x[i, np.searchsorted(used, slots[i])] = np.frombuffer(r["value"], np.float32)
+    fitted = fit_scorer(x, np.array([r["y"] for r in rows]))
+    out = np.zeros(DIM + 1)
+    out[used], out[-1] = fitted[:-1], fitted[-1]
+    return out

@@ -37,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, mix, text_buffer, word_runs, written
+from .common import U64, Words, lean, mix, word_runs, written
 
 FLUSH_ROWS = 400_000
 BUCKET_BYTES = 32 << 20      # text bytes whose edges share a bucket
@@ -139,6 +140,7 @@ FOUND = "doc long, start int, n int, kind byte"
 
 def _reduce(packed: DataFrame) -> DataFrame:
     """Bucket rows -> FOUND rows.  Spans that a task has decided itself (bucket -1) are only unpacked."""
+    @lean
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, s, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -160,6 +162,7 @@ def edges(docs: DataFrame, window: int, k: int, buckets: int, hot: np.ndarray) -
     """Packed path occurrences of (doc, text) rows."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, rows = shared.value, Rows()
         for batch in batches:
@@ -193,6 +196,7 @@ def edges(docs: DataFrame, window: int, k: int, buckets: int, hot: np.ndarray) -
 
 def windows_at(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """Packed single windows of (doc, text, at) rows; at: array of (start, n)."""
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows()
         for batch in batches:
@@ -224,6 +228,7 @@ def frequent_edges(docs: DataFrame, window: int, k: int, total: int) -> np.ndarr
     share = min(1.0, SAMPLE_DOCS / max(total, 1))
     few = docs.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(share * 1_000_000))
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in word_runs(batch.column(1)):
@@ -261,30 +266,32 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id",
     spans = repeated_spans(src, window, k)
     by_doc = spans.groupBy(F.col("doc").alias("s_doc")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = docs.join(by_doc, F.col(id_col) == F.col("s_doc"), "left").drop("s_doc")
-    at, names = joined.columns.index(text_col), docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
-                           T.StructField(out_col, T.StringType())])
-    labels = [*names, "n_words", "n_removed", out_col]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, words in word_runs(batch.column(at)):
-                part = batch.column(batch.num_columns - 1).slice(a, b - a).fill_null([])
-                size = np.diff(part.offsets.to_numpy())
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+                         T.StructField(out_col, T.StringType())])
+
+    @lean
+    def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            done = []
+            for a, b, words in word_runs(texts):
+                part = spans.slice(a, b - a)
+                size = np.nan_to_num(pa.compute.list_value_length(part).to_numpy(zero_copy_only=False)).astype(np.int64)
                 flat = part.flatten()
                 start, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 row = np.repeat(np.arange(b - a), size)
-                lo = words.first[row] + start
+                lo = np.minimum(words.first[row] + start, words.first[row + 1])
                 hi = np.minimum(lo + n + window - 1, words.first[row + 1])
-                cover = np.bincount(np.minimum(lo, hi), minlength=len(words) + 1) - np.bincount(hi, minlength=len(words) + 1)
+                cover = np.bincount(lo, minlength=len(words) + 1) - np.bincount(hi, minlength=len(words) + 1)
                 keep = np.cumsum(cover)[:len(words)] <= 0
                 left = np.bincount(words.row[keep], minlength=b - a)
-                text = _join(words, keep, b - a)
                 total = np.diff(words.first)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns[:len(names)], pa.array(total), pa.array(total - left), text], names=labels)
+                done.append(pa.StructArray.from_arrays([pa.array(total), pa.array(total - left), _join(words, keep, b - a)],
+                                                       names=["n_words", "n_removed", out_col]))
+            yield pa.concat_arrays(done) if done else pa.array([], pa.struct(
+                [("n_words", pa.int64()), ("n_removed", pa.int64()), (out_col, pa.string())]))
 
-    return joined.mapInArrow(work, schema)
+    out = joined.withColumn("_x", F.arrow_udf(work, kind).asNondeterministic()(text_col, "spans"))
+    return out.select(*docs.columns, "_x.n_words", "_x.n_removed", f"_x.{out_col}")
 
 
 def _join(words: Words, keep: np.ndarray, rows: int) -> pa.Array:
