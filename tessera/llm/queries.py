@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, jaccard_join, line_dedup, quality, substring_dedup, topk_search,
-               toxicity, url_filter)
+from . import (bpe, decontaminate, html_extract, jaccard_join, line_dedup, quality, substring_dedup,
+               topk_search, toxicity, url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,15 @@ def op7(spark, sf_dir):
     model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op4_html_extraction", r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as x from pages),
+b as (select page_id, url, list_transform(string_split_regex(x, '</?(h1|p)>'), lambda t: trim(regexp_replace(
+        replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'),
+          '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) as l from a)
+select page_id, url, array_to_string(list_filter(l, lambda t: t <> ''), chr(10) || chr(10)) as text,
+       cast(length(array_to_string(list_filter(l, lambda t: t <> ''), chr(10) || chr(10))) as bigint) as n_chars from b""")
+def op4(spark, sf_dir):
+    out = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
