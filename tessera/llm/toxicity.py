@@ -1,24 +1,23 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A word, marked at both ends,
-gives its byte n-grams of 3 to 5 bytes and itself; each is hashed to one of
-``BUCKETS`` vectors.  The vectors of ``WINDOW`` consecutive words are averaged and
-fed to a linear two-class softmax; a document's logit is the largest of its
-windows', so a few toxic words are not diluted in a long text.  Misspellings
-share most n-grams with the word they come from.
+gives its byte n-grams of 3 to 6 bytes and itself; each is hashed to one of
+``BUCKETS`` vectors.  The vectors of a word, and the words of ``WINDOW`` consecutive
+ones, are averaged and fed to a linear two-class softmax; a document is judged
+by its largest window logits, so a few toxic words are not diluted in a long
+text.  Misspellings share most n-grams with the word they come from.
 
 Vectors and softmax are trained together in numpy by full-batch Adam on at
-most ``fit_rows`` documents of each label (smallest hashes of the id; texts of
+most ``fit_rows`` clean and toxic documents (smallest hashes of the id; texts of
 at most ``FIT_CHARS`` characters, both bounds for fitting only).  The label belongs
 to the document, not to the window, so after a first pass only the windows
 that stand out from all clean ones, and each toxic document's best, stay
-positive.  Logits become scores by logistic regression on the fitted
-documents.  With two classes the averaged vectors enter the softmax only by
+positive.  The largest logits, the share of toxic windows and the length
+become the score by logistic regression on the fitted documents.  With two classes the averaged vectors enter the softmax only by
 their projection on the difference of its columns, so a task scores with one
 number for each bucket.
 
-Null and empty texts have the logit 0 windows give: the lowest logit seen in
-fitting.  Without labels of both classes every score is 0.  Null ids are not
+Null and empty texts have the lowest logit seen in fitting.  Without labels of both classes every score is 0.  Null ids are not
 held out.  Repeated rows stay repeated; a repeated label row counts once, a
 document labelled both ways is toxic.  Empty tables give no rows.
 """
@@ -37,10 +36,11 @@ from .common import U64, Words, inverse, lean, mix, powers, small, text_buffer,
 
 BUCKETS = 1 << 17
 DIM = 8
-WINDOW = 8
-SIZES = (3, 4, 5)
-FIT_ROWS = 1500
+WINDOW = 2
+SIZES = (3, 4, 5, 6)
+FIT_ROWS = (1200, 600)     # clean and toxic documents to fit on at most
 FIT_CHARS = 20_000
+DECAY = 1e-6
 _BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -73,32 +73,51 @@ def window_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, words.row[new]
 
 
+TOP = 3
+
+
+def features(z: np.ndarray, row: np.ndarray, rows: int, low: float) -> np.ndarray:
+    """A document's inputs to its last layer: its TOP largest window logits
+    (``low`` where it has fewer), the share of toxic windows, its length."""
+    out = np.full((rows, TOP + 2), low)
+    o = np.lexsort((-z, row))
+    z, row = z[o], row[o]
+    count = np.bincount(row, minlength=rows)
+    rank = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    for k in range(TOP):
+        out[row[rank == k], k] = z[rank == k]
+    out[:, TOP] = np.bincount(row, _sigmoid(z), minlength=rows) / np.maximum(count, 1)
+    out[:, TOP + 1] = np.log1p(count)
+    return out
+
+
 class Model:
     def __init__(self):
         self.value = np.zeros(BUCKETS)     # projection of each bucket's vector
-        self.bias, self.a, self.b, self.low = 0.0, 0.0, -50.0, 0.0
-
-    def logits(self, words: Words, rows: int) -> np.ndarray:
-        out = np.full(rows, self.low)
-        if len(words):
-            bucket, word = ngrams(words)
-            win, row = window_of(words)
-            w = win[word]
-            z = np.bincount(w, self.value[bucket], minlength=len(row)) / np.bincount(w, minlength=len(row)) + self.bias
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            out[row[first]] = np.maximum.reduceat(z, first)
-        return out
+        self.bias, self.low = 0.0, 0.0
+        self.mid, self.width = np.zeros(TOP + 2), np.ones(TOP + 2)
+        self.last = np.append(np.zeros(TOP + 2), -50.0)
+
+    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, row) of every window: the mean of its words' means of n-grams."""
+        if not len(words):
+            return np.zeros(0), np.zeros(0, np.int64)
+        bucket, word = ngrams(words)
+        win, row = window_of(words)
+        mean = np.bincount(word, self.value[bucket]) / np.bincount(word)
+        return np.bincount(win, mean) / np.bincount(win) + self.bias, row
 
     def scores(self, words: Words, rows: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * self.logits(words, rows) + self.b, -50, 50)))
+        x = (features(*self.windows(words), rows, self.low) - self.mid) / self.width
+        return _sigmoid(x @ self.last[:-1] + self.last[-1])
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (40, 40, 40), rate: float = 0.2) -> Model:
-    """Train vectors and softmax on labelled texts."""
+def fit(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (30, 30, 30), rate: float = 0.2) -> Model:
+    """Train vectors and softmax, then the last layer, on labelled texts."""
     model = Model()
     if not len(texts) or toxic.all() or not toxic.any():
         return model
@@ -107,67 +126,62 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (40, 40,
     bucket, word = ngrams(words)
     win, row = window_of(words)
     w = win[word]
-    o = np.argsort(w, kind="stable")
-    bucket, w = bucket[o], w[o]
-    size = np.bincount(w, minlength=len(row)).astype(float)
+    part = ((1 / np.bincount(word)) / np.bincount(win)[win]).astype(np.float32)[word]   # each n-gram's part of its window
+    w = w.astype(np.int32)
+    del word
     label = toxic[row].astype(float)
     rng = np.random.default_rng(5)
-    used, bucket = np.unique(bucket, return_inverse=True)
-    vec = rng.normal(0, 0.05, (len(used), DIM))
-    soft = rng.normal(0, 0.5, DIM)
-    bias = 0.0
+    seen = np.bincount(bucket, minlength=BUCKETS) > 0
+    used, bucket = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)[bucket]
+    vec, soft, bias = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.5, DIM), 0.0
+    speed = [np.zeros_like(vec), np.zeros(DIM), 0.0]
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    docs = row[first]
+    logits = lambda: np.bincount(w, part * (vec @ soft).astype(np.float32)[bucket], minlength=len(row)) + bias
     weight = np.ones(len(row))
-    state = [np.zeros_like(vec), np.zeros(DIM), 0.0]
     for stage, count in enumerate(rounds):
         pos, neg = weight * label, weight * (1 - label)
         per = pos / pos.sum() + neg / neg.sum()
         for _ in range(count):
-            value = vec @ soft
-            z = np.bincount(w, value[bucket], minlength=len(row)) / size + bias
-            g = per * (_sigmoid(z) - label)
-            share = np.bincount(bucket, (g / size)[w], minlength=len(used))
-            grads = (np.outer(share, soft) + 1e-6 * vec, vec.T @ share + 1e-6 * soft, g.sum())
+            g = per * (_sigmoid(logits()) - label)
+            share = np.bincount(bucket, part * g.astype(np.float32)[w], minlength=len(used))
             # one step size for all vectors: n-grams seen in few windows move little
             new = []
-            for i, (x, d) in enumerate(zip((vec, soft, bias), grads)):
-                state[i] = 0.9 * state[i] + 0.1 * d
-                new.append(x - rate * state[i] / (np.abs(state[i]).max() + 1e-12) * (1 if i < 2 else 0.5))
+            for i, (x, d) in enumerate(zip((vec, soft, bias), (np.outer(share, soft) + DECAY * vec, vec.T @ share, g.sum()))):
+                speed[i] = 0.9 * speed[i] + 0.1 * d
+                new.append(x - rate * speed[i] / (np.abs(speed[i]).max() + 1e-12) * (1 if i < 2 else 0.5))
             vec, soft, bias = new
-        z = np.bincount(w, (vec @ soft)[bucket], minlength=len(row)) / size + bias
-        top = np.maximum.reduceat(z, first)
+        z = logits()
         if stage + 1 < len(rounds):
             clear = np.quantile(z[label == 0], 0.999)
-            best = np.repeat(top, np.diff(np.append(first, len(row))))
+            best = np.repeat(np.maximum.reduceat(z, first), np.diff(np.append(first, len(row))))
             weight = np.where(label == 0, 1.0, ((z >= clear) | (z >= best)).astype(float))
     model.value[used] = vec @ soft
-    model.bias, model.low = float(bias), float(top.min())
-    model.a, model.b = _calibrate(top, toxic[docs].astype(float))
+    model.bias, model.low = float(bias), float(z.min())
+    x = features(z, row, len(texts), model.low)
+    model.mid, model.width = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    model.last = _logistic((x - model.mid) / model.width, toxic.astype(float))
     return model
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the logit (Newton, lightly regularised)."""
-    mid, width = np.median(z), max(np.std(z), 1e-6)
-    x = np.stack([(z - mid) / width, np.ones(len(z))], axis=1)
-    y = np.where(y > 0, 1 - 1e-3, 1e-3)
-    c = np.zeros(2)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
+    """Weights, bias last (Newton steps)."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    c = np.zeros(x.shape[1])
+    for _ in range(60):
         p = _sigmoid(x @ c)
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - y) + 1e-2 * c)
-        c = c - np.clip(step, -3, 3)
+        h = x.T @ (x * (p * (1 - p))[:, None]) + decay * np.eye(len(c))
+        step = np.linalg.solve(h, x.T @ (p - y) + decay * c)
+        c = c - step * min(1.0, 3 / np.abs(step).max()) if np.abs(step).max() > 0 else c
         if np.abs(step).max() < 1e-6:
             break
-    return float(c[0] / width), float(c[1] - c[0] * mid / width)
+    return c
 
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
                    .groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).alias("y")))
@@ -176,9 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     rows: list = []
     for y in (0, 1):
         # smallest hashes of the ids; some more than needed, as an id may have no short text
-        few = known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(2 * fit_rows)
+        few = known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(2 * fit_rows[y])
         rows += (texts.join(small(few), F.col("id") == F.col("l_id"))
-                      .orderBy(F.xxhash64("id"), "id", "text").limit(fit_rows).select("text", "y").collect())
+                      .orderBy(F.xxhash64("id"), "id", "text").limit(fit_rows[y]).select("text", "y").collect())
     return fit([r["text"] for r in rows], np.array([r["y"] > 0 for r in rows], bool))
 
 
