@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edge tables counted to have at most this many rows are worked on in one task, without shuffles.
+ONE_TASK = 50_000
+
 
 def _mark(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -18,11 +21,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Every round is two aggregations with map-side combine and two joins whose
     skewed keys AQE splits; rounds grow with the logarithm of the node count.
-    The table of each round is written to the shared folder."""
+    The table of each round is written to the shared folder.  Once at most
+    ``ONE_TASK`` edges are counted the same plan runs in a single task."""
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if mark[0] <= ONE_TASK:
+            e = e.coalesce(1)
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -56,7 +56,8 @@ FLUSH_KEYS = 400_000        # keys a task packs at once
 BUCKET_BYTES = 24 << 20       # text bytes whose keys share a bucket
 BROADCAST_IDS = 1_000_000     # ids sent to all executors at most; more are joined by a shuffle
 SKETCH_WORDS = 8              # parity sketch of 8 * 64 bits
-HUB_ROUNDS = 2                # star rounds at most before what is still apart is paired in full
+FEW_LINKS = 100               # a star round that finds fewer is the last
+HUB_ROUNDS = 4                # star rounds at most before what is still apart is paired in full
 
 
 class Bands:
@@ -369,11 +370,13 @@ def join(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_co
                                   & _may_link("x_", "y_", num, den)), tried)
         more = written(verify(stars, docs, id_col, text_col, shingle, num, den), "links")
         tried = tried.unionByName(stars)
-        if more.isEmpty():
+        found = more.count()
+        if found:
+            links = links.unionByName(more)
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+            rest = apart(known)
+        if found < FEW_LINKS:
             break
-        links = links.unionByName(more)
-        known = components(links, "a", "b")
-        rest = apart(known)
 
     # what is still apart is paired in full
     y = _side(rest, "y_")
