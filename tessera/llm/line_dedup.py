@@ -19,10 +19,13 @@ the start of a band are indexed in the band below as well.
 
 Candidates are pairs with an equal substring whose lengths differ by at most
 two and whose letter counts in the first and in the last half differ by at
-most four together; both are necessary, are tested inside the join, and keep
-hot substrings from emitting pairs.  The equi-join is on the substring's
-hash and AQE splits skewed ones.  Lines of surviving pairs are then fetched
-and verified with the built-in banded ``levenshtein(a, b, threshold)``.
+most four together; both are necessary and are tested inside the join.  A
+line needs only one earlier partner: each is first compared with the earliest
+line of its keys, and only lines that this does not settle are joined with all
+earlier sharers, so groups of similar lines do not emit their pairs.  The
+joins are on the substring's hash and AQE splits skewed ones.  Lines of
+candidate pairs are then fetched and verified with the built-in banded
+``levenshtein(a, b, threshold)``.
 
 Null ids: the row is kept unchanged and judges nothing.  Null texts stay null
 and have no lines.  Rows that repeat an id count as the same document.
@@ -73,62 +76,88 @@ def _signature_distance(a: Column, b: Column) -> Column:
     return out
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """Index and probe rows of distinct lines (doc, pos, h, line)."""
-    n = F.length("line")
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """One row for each distinct judged line: its first place (doc, pos), two
+    hashes h and g, length n, number of places c, and its index and probe
+    substrings as (key, sig).  Equal lines are combined before the shuffle."""
+    lines = split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
+    one = (lines.groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"))
+                .select("f.doc", "f.pos", "c", "line", F.length("line").alias("n")))
+    n = F.col("n")
     band = _band(n)
     below = F.when(band <= 64, band - 4).otherwise(band - 16)
-    one = (lines.withColumn("n", n).withColumn("b", F.explode(
-        F.when(n - band < MAX_EDITS, F.array(band, below)).otherwise(F.array(band)))))
-    a = F.floor(F.col("b") / 3).cast("int")
-    cut = (one.withColumn("a", a).withColumn("sig", _signature(F.col("line"), F.floor(F.col("b") / 2).cast("int"))))
-    piece = lambda no, start, role: F.struct(F.lit(no).alias("no"), F.substring(F.col("line"), start, F.col("a")).alias("s"),
-                                             F.lit(role).alias("role"))
-    rows = F.array(piece(1, F.lit(1), 0), piece(2, F.col("a") + 1, 0), piece(2, F.col("a"), 1), piece(2, F.col("a") + 2, 1),
-                   F.struct(F.lit(3).alias("no"), F.right(F.col("line"), F.col("a")).alias("s"), F.lit(0).alias("role")))
-    return (cut.select("doc", "pos", "h", "n", "b", "sig", F.explode(rows).alias("x"))
-               .select(F.xxhash64("b", "x.no", "x.s").alias("key"), F.col("x.role").cast("byte").alias("role"),
-                       "doc", "pos", "h", F.col("n").cast("int").alias("n"), "sig"))
-
-
-def near_pairs(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(h, g) hash pairs of the distinct lines for which an earlier line is within the edits."""
-    lines = split_lines(docs, id_col, text_col)
-    distinct = (lines.where(F.length("line") >= min_chars).groupBy("line")
-                     .agg(F.min(F.struct("doc", "pos")).alias("f"))
-                     .select("f.doc", "f.pos", F.xxhash64("line").alias("h"), "line"))
-    seg = segments(distinct)
-    x, y = (seg.select(*[F.col(c).alias(p + c) for c in seg.columns]) for p in ("x_", "y_"))
-    earlier = F.struct("x_doc", "x_pos", "x_h") < F.struct("y_doc", "y_pos", "y_h")
-    cand = written(
-        x.join(y, (F.col("x_key") == F.col("y_key"))
-               & (F.col("x_role") + F.col("y_role") <= 1) & earlier
-               & (F.abs(F.col("x_n") - F.col("y_n")) <= MAX_EDITS)
-               & (_signature_distance(F.col("x_sig"), F.col("y_sig")) <= 2 * MAX_EDITS))
-         .select("x_doc", "x_pos", "x_h", "y_doc", "y_pos", "y_h").distinct(), "line-pairs")
-    # fetch the lines of the pairs from their documents
-    ends = [F.struct(*[F.col(p + c).alias(c) for c in ("doc", "pos", "h")]) for p in ("x_", "y_")]
-    want = cand.select(F.explode(F.array(*ends)).alias("w")).select("w.doc", "w.pos", "w.h").distinct()
-    ids = want.select(F.col("doc").alias("want")).distinct()
-    some = docs.join(small(ids, BROADCAST_ROWS), F.col(id_col) == F.col("want"), "left_semi")
-    got = (split_lines(some, id_col, text_col).withColumn("h", F.xxhash64("line"))
-           .join(want, ["doc", "pos", "h"]).distinct())
+
+    def cut(b: Column) -> Column:
+        line, a = F.col("line"), F.floor(b / 3).cast("int")
+        sig = _signature(line, F.floor(b / 2).cast("int"))
+        piece = lambda no, x: F.struct(F.xxhash64(b, F.lit(no), x).alias("key"), sig.alias("sig"))
+        return F.array(piece(1, F.substring(line, F.lit(1), a)), piece(2, F.substring(line, a + 1, a)),
+                       piece(2, F.substring(line, a, a)), piece(2, F.substring(line, a + 2, a)), piece(3, F.right(line, a)))
+
+    cuts = F.when(n - band < MAX_EDITS, F.concat(cut(band), cut(below))).otherwise(cut(band))
+    return one.select("doc", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"),
+                      n.cast("int").alias("n"), "c", cuts.alias("segs"))
+
+
+PLACE = ("doc", "pos", "h")
+
+
+def _fits(x: str, y: str) -> Column:
+    """Necessary for two lines within the edits; x is the earlier one."""
+    place = lambda p: F.struct(*[F.col(p + c) for c in PLACE])
+    return ((place(x) < place(y)) & (F.abs(F.col(x + "n") - F.col(y + "n")) <= MAX_EDITS)
+            & (_signature_distance(F.col(x + "sig"), F.col(y + "sig")) <= 2 * MAX_EDITS))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Places (doc, pos, h) of the later lines of the pairs that are within the edits."""
+    ends = [F.struct(*[F.col(p + c).alias(c) for c in PLACE]) for p in ("x_", "y_")]
+    want = pairs.select(F.explode(F.array(*ends)).alias("w")).select(*[f"w.{c}" for c in PLACE]).distinct()
+    some = docs.join(small(want.select(F.col("doc").alias("want")).distinct(), BROADCAST_ROWS), F.col(id_col) == F.col("want"), "left_semi")
+    got = written(split_lines(some, id_col, text_col).withColumn("h", F.xxhash64("line")).join(want, [*PLACE]).distinct(), "line-texts")
     side = lambda p: got.select(*[F.col(c).alias(p + c) for c in got.columns])
-    return (cand.join(side("x_"), ["x_doc", "x_pos", "x_h"]).join(side("y_"), ["y_doc", "y_pos", "y_h"])
-                .where(F.levenshtein(F.col("x_line"), F.col("y_line"), MAX_EDITS) >= 0)
-                .select(F.col("y_h").alias("h"), F.xxhash64(F.lit("second"), "y_line").alias("g")).distinct())
+    return (pairs.join(side("x_"), ["x_" + c for c in PLACE]).join(side("y_"), ["y_" + c for c in PLACE])
+                 .where(F.levenshtein(F.col("x_line"), F.col("y_line"), MAX_EDITS) >= 0)
+                 .select(*[F.col("y_" + c).alias(c) for c in PLACE]).distinct())
+
+
+def near_lines(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Places of the distinct lines that have an earlier line within the edits.
+
+    First every line is compared with the earliest line of each of its keys,
+    which settles groups of similar lines without pairing them; then the lines
+    that are not settled are compared with all earlier sharers of their keys."""
+    seg = lines.select(*PLACE, "n", F.explode(F.array_distinct("segs")).alias("x")).select("x.key", *PLACE, "n", "x.sig")
+    head = (seg.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "sig")).alias("m"), F.max(F.struct(*PLACE)).alias("last"))
+               .where(F.struct(*[F.col(f"m.{c}") for c in PLACE]) != F.col("last"))
+               .select(F.col("key").alias("x_key"), *[F.col(f"m.{c}").alias("x_" + c) for c in (*PLACE, "n", "sig")]))
+    y = seg.select(*[F.col(c).alias("y_" + c) for c in seg.columns])
+    shared = written(head.join(y, F.col("x_key") == F.col("y_key")), "line-keys")
+    pair = ["x_" + c for c in PLACE] + ["y_" + c for c in PLACE]
+    first = written(shared.where(_fits("x_", "y_")).select(*pair).distinct(), "line-pairs")
+    near = written(_verified(first, docs, id_col, text_col), "line-near")
+    mine = shared.select("y_key", *["y_" + c for c in PLACE], "y_n", "y_sig")
+    # the earliest line of a key has no earlier partner there
+    open_ = shared.where(F.struct(*["x_" + c for c in PLACE]) != F.struct(*["y_" + c for c in PLACE])).select(*mine.columns)
+    done = near.select(*[F.col(c).alias("y_" + c) for c in PLACE])
+    open_ = open_.join(done, ["y_" + c for c in PLACE], "left_anti")
+    x = mine.select(*[F.col(c).alias("x_" + c[2:]) for c in mine.columns])
+    rest = written(x.join(open_, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct()
+                    .join(first, pair, "left_anti"), "line-pairs")
+    return near.unionByName(_verified(rest, docs, id_col, text_col))
 
 
 def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """(doc, drop): the positions of the removed lines of each document that has some."""
-    near = near_pairs(docs, id_col, text_col, min_chars)
+    lines = written(distinct_lines(docs, id_col, text_col, min_chars), "lines")
+    near = near_lines(lines, docs, id_col, text_col).withColumn("is_near", F.lit(True))
+    judged = (lines.select(*PLACE, "g", "c").join(near, [*PLACE], "left").where("c > 1 or is_near")
+                   .select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"),
+                           F.coalesce("is_near", F.lit(False)).alias("is_near")))
     at = (split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
           .select("doc", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g")))
-    first = at.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"))
-    judged = (first.join(near.withColumn("is_near", F.lit(True)), ["h", "g"], "left")
-                   .where("c > 1 or is_near").select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), "f", "is_near"))
     gone = (at.join(judged, (F.col("h") == F.col("j_h")) & (F.col("g") == F.col("j_g")))
-              .where("is_near or doc <> f.doc or pos <> f.pos"))
+              .where("is_near or doc <> f_doc or pos <> f_pos"))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
