@@ -111,10 +111,12 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """P5 as long rows (column, stat, value): count, mean, std, min,
     25 / 50 / 75 percent (linear interpolation), max; one aggregation."""
     cols = columns if columns is not None else stats.numeric_columns(df)
+    if not cols:   # see ``describe_text`` for tables without numeric columns
+        return df.sparkSession.createDataFrame([], "column string, stat string, pos int, value double")
     aggs = []
     qs = stats.quantile_literals(df, cols, (0.25, 0.5, 0.75))
     for i, c in enumerate(cols):
-        x = _c(c).cast("double")
+        x = stats.present(_c(c)).cast("double")
         aggs += [F.count(x).cast("double").alias(f"n{i}"), stats.exact_mean(_c(c)).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.first(F.array(qs[(c, 0.25)], qs[(c, 0.5)], qs[(c, 0.75)])).alias(f"q{i}"),
@@ -131,6 +133,42 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return wide.select(F.inline(F.array(*items)))
 
 
+def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """P5 for tables without numeric columns, as long rows (column, stat,
+    pos, value): count, unique, top and freq of each column's text; the
+    smallest of equally frequent values is top.  One expand to (column,
+    value) counts, partial-aggregated, then one row a column."""
+    cols = columns if columns is not None else df.columns
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), _c(c).cast("string").alias("v"))
+                                for i, c in enumerate(cols)])).alias("x")
+    counts = df.select(cells).select("x.*").groupBy("i", "column", "v").agg(F.count("v").alias("n"))
+    per = counts.groupBy("i", "column").agg(
+        F.sum("n").alias("count"), F.count("v").alias("unique"),
+        F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), "v"))).alias("top"))
+    stat = [("count", F.col("count").cast("string")), ("unique", F.col("unique").cast("string")),
+            ("top", F.col("top.v")), ("freq", (-F.col("top.n")).cast("string"))]
+    return per.select("column", F.col("i").alias("_i"), F.posexplode(F.array(*[
+        F.struct(F.lit(n).alias("stat"), v.alias("value")) for n, v in stat]))).select(
+        "column", "col.stat", (F.col("_i") * 4 + F.col("pos")).cast("int").alias("pos"), "col.value")
+
+
+def demographics(df: DataFrame, age: str | None = None, gender: str | None = None, bins: int = 20) -> DataFrame:
+    """C8 as rows (panel, label, n_rows): the age histogram (label: bin
+    number) if there is an age column and the gender composition if there
+    is a gender column; neither is an error."""
+    a, g = resolve_role(df.columns, "age", explicit=age), resolve_role(df.columns, "gender", explicit=gender)
+    if not a and not g:
+        raise ValueError("No demographic columns found")
+    out = None
+    if a:
+        out = histogram(df, a, bins=bins).select(F.lit("age").alias("panel"), F.col("bin").cast("string").alias("label"), "n_rows")
+    if g:
+        part = (df.where(_c(g).isNotNull()).groupBy(_c(g).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
+                  .select(F.lit("gender").alias("panel"), "label", "n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def dashboard(df: DataFrame, roles: dict, top_n: int = 5) -> DataFrame:
     """The dashboard panels as long rows (panel, label, value, rank).
 

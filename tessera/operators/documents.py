@@ -15,7 +15,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 from pyspark.sql.window import Window
 
 from ..functions import fmt
-from ..functions.roles import resolve_roles
+from ..functions.roles import resolve_role, resolve_roles
 from . import stats
 
 # Order of the parts in the assembled corpus.
@@ -94,8 +94,10 @@ def group_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
     (region); rows (doc_type, key, n_rows, page_content).  Months skip
     unparsed dates; products / regions skip blank keys.  Every numeric
     column except the set's own key gets Total and Average."""
+    given = roles or {}
     roles = resolve_roles(df.columns, roles)
-    d, p, r = roles["date"], roles["product"], roles.get("region")
+    # a location column makes no region documents
+    d, p, r = roles["date"], roles["product"], given.get("region") or resolve_role(df.columns, "region_only")
     num = stats.numeric_columns(df)
     sets, keys, kinds = [], [], []
     base = df

@@ -22,23 +22,34 @@ DATE_PREFIXES = (
     r"^[0-9]{2}-[0-9]{2}-[0-9]{4}",   # dd-mm-yyyy
     r"^[0-9]{4}/[0-9]{2}/[0-9]{2}",   # yyyy/mm/dd
 )
-# Candidate parse formats; on equal success counts the earlier one wins.
+# Shapes of the date part of a cell and the parse formats each may stand for.
+# On equal success counts the earlier format wins: month before day.
+_MONTH = "(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-    "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd",
-)
-# Shape of each format: a failed parse is costly in the JVM, so a cell is
-# only parsed when its shape fits (the parse still validates the values).
-_D2, _D4, _T = "[0-9]{2}", "[0-9]{4}", "[0-9]{2}:[0-9]{2}:[0-9]{2}"
-DATE_SHAPES = (
-    f"^{_D4}-{_D2}-{_D2}$", f"^{_D4}-{_D2}-{_D2} {_T}$", f"^{_D4}-{_D2}-{_D2}T{_T}$",
-    f"^{_D2}/{_D2}/{_D4}$", f"^{_D2}-{_D2}-{_D4}$", f"^{_D4}/{_D2}/{_D2}$",
+    ("yyyy-M-d", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"),
+    ("M/d/yyyy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"),
+    ("d/M/yyyy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"),
+    ("M-d-yyyy", "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"),
+    ("d-M-yyyy", "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"),
+    ("yyyy/M/d", "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"),
+    ("MMM d yyyy", _MONTH + "[a-z]* [0-9]{1,2},? [0-9]{4}"),
+    ("d MMM yyyy", "[0-9]{1,2} " + _MONTH + "[a-z]* [0-9]{4}"),
+    ("yyyyMMdd", "[0-9]{8}"),
 )
+# A time of day after the date (kept out of the parse: only the date is used).
+_TIME = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?)?"
 
 
 def parse_date(x, j: int):
-    """Cell -> timestamp with format ``j``; NULL when it does not parse."""
-    return F.when(x.rlike(DATE_SHAPES[j]), F.try_to_timestamp(x, F.lit(DATE_FORMATS[j])))
+    """Cell -> date with format ``j``; NULL when it does not parse.  A cell is
+    parsed only if its shape fits (the parse still validates the values)."""
+    fmt, shape = DATE_FORMATS[j]
+    day = F.regexp_extract(x, rf"^\s*({shape}){_TIME}\s*$", 1)
+    if "MMM" in fmt:   # first three letters of the month, in the parser's case; no comma
+        day = F.initcap(F.regexp_replace(F.regexp_replace(day, f"({_MONTH})[A-Za-z]*", "$1"), ",", ""))
+    return F.when(day != "", F.try_to_timestamp(day, F.lit(fmt)).cast("date"))
+
+
 # A plain signed decimal with optional exponent and outer blanks, or inf.
 # Spark's cast also takes '1d' / '5f', which the reference rejects, so the
 # regex guards the cast.
@@ -89,7 +100,7 @@ def decide(df: DataFrame) -> list[ColumnDecision]:
         if "date" in c.lower() or row[f"dp{i}"] / nn > DATE_GATE:
             best = max(range(len(DATE_FORMATS)), key=lambda j: (row[f"d{i}_{j}"], -j))
             if rows and row[f"d{i}_{best}"] / rows > DATE_ACCEPT:
-                out.append(ColumnDecision(c, "date", DATE_FORMATS[best], nn, rows))
+                out.append(ColumnDecision(c, "date", DATE_FORMATS[best][0], nn, rows))
                 continue
         if row[f"num{i}"] / nn > NUMBER_GATE and row[f"num{i}"] / rows > NUMBER_ACCEPT:
             kind = "long" if row[f"int{i}"] == rows else "double"
@@ -114,7 +125,7 @@ def normalize(df: DataFrame, fill: bool = True, decisions: list[ColumnDecision]
         if d.kind == "empty":
             e = F.lit("") if fill else F.lit(None).cast("string")
         elif d.kind == "date":
-            e = F.to_date(parse_date(x, DATE_FORMATS.index(d.fmt)))
+            e = parse_date(x, [f for f, _ in DATE_FORMATS].index(d.fmt))
         elif d.kind in ("long", "double"):
             e = F.when(x.rlike(NUMBER_RE), F.trim(x).try_cast("bigint" if d.kind == "long" else "double"))
             if fill:

@@ -35,11 +35,17 @@ SUGGESTED_QUESTIONS = (
     "Which are the top-selling products?",
     "Show me the sales trend",
     "Which region performs best?",
-    "What are the product sales by region?",
-    "Show me customer demographics",
+    "What is the customer demographic?",
+    "What is the average order value?",
 )
 
 
+def suggested_questions(spark) -> DataFrame:
+    """R13 as rows (position, question, intent)."""
+    rows = spark.createDataFrame(list(enumerate(SUGGESTED_QUESTIONS, 1)), "position int, question string")
+    return classify(rows)
+
+
 def intent_expr(text: Column) -> Column:
     """R1 as one CASE expression (stays inside whole-stage codegen)."""
     q = F.lower(text)

@@ -36,18 +36,26 @@ def _dbl(name: str) -> Column:
 EXACT = "decimal(38,6)"
 
 
+def present(x: Column) -> Column:
+    """``x`` with NaN as missing, as the reference's table library reads it."""
+    return F.when(~F.isnan(x.cast("double")), x)
+
+
 def exact_sum(x: Column) -> Column:
-    """Sum accumulated in DECIMAL(38,6): exact and independent of the
-    order rows arrive in (a floating sum is not), so every engine and
-    every partitioning renders the same digits.  Falls back to a double
-    sum if a value does not fit."""
-    d = x.try_cast(EXACT)
-    return F.when(F.count(d) == F.count(x), F.sum(d).cast("double")).otherwise(
-        F.sum(x.cast("double")))
+    """Sum that loses no digit of any value.
+
+    Values that a DECIMAL(38,6) holds exactly (money, counts) are summed
+    there: exact and independent of the order rows arrive in, so every
+    engine and every partitioning renders the same digits.  If a single
+    value has more digits or does not fit, the sum is a double sum."""
+    v = present(x)
+    d = v.try_cast(EXACT)
+    kept = F.count_if(d.cast("double") == v.cast("double"))
+    return F.when(kept == F.count(v), F.sum(d).cast("double")).otherwise(F.sum(v.cast("double")))
 
 
 def exact_mean(x: Column) -> Column:
-    return F.try_divide(exact_sum(x), F.count(x))
+    return F.try_divide(exact_sum(x), F.count(present(x)))
 
 
 def _total(name: str) -> Column:

@@ -1,114 +1,106 @@
 """Exact k-nearest-neighbour search.
 
-Plan: the query set is shipped to every corpus partition (a broadcast,
-size-checked first); each corpus partition computes its partial top-k per
-query with one NumPy matrix product and emits at most ``k`` rows per query;
-a ``row_number() <= k`` per query (partial WindowGroupLimit before the
-shuffle) merges the partials.  No cross join is planned and no pair list
-is materialised: only ``k`` candidates per query per partition leave a task.
-
-Query sets above the broadcast bound are cut into bounded blocks, each a
-separate pass over the corpus; the union of their results is exact.
+Plan: query rows and corpus rows are dealt into blocks of bounded size by a
+hash of their ids; every pair of blocks is one cogrouped task, which computes
+its top-k per query with matrix products over tiles; a ``row_number() <= k``
+per query (partial WindowGroupLimit before the shuffle) merges the partials.
+Neither side passes through the driver, no cross join is planned, and only
+``k`` candidates per query and corpus block leave a task.
+
+Equal distances are ordered by id: a tile keeps every row whose distance can
+be among the k smallest, distances of those are computed exactly and alike
+for equal vectors, and ties are cut by id.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..plans.rolling import global_row_index, spread
-
-MAX_BROADCAST_BYTES = 64 << 20   # query matrix bytes shipped per block
-
-
-MATMUL_BYTES = 128 << 20          # budget of one (queries x batch) product in a task
-
-
-def _partial_topk(corpus: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int,
-                  id_col: str, vec_col: str, metric: str) -> DataFrame:
-    """Per corpus partition: a running top-k per query over all its Arrow
-    batches (map-side combine), emitted once at the end of the partition."""
-    spark = corpus.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qmat))
-
-    def run(batches):
-        ids, q = bq.value
-        nq = q.shape[0]
-        best_d = np.full((nq, k), np.inf)
-        best_i = np.full((nq, k), -1, dtype=np.int64)
-        seen = False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            seen = True
-            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            cid = pdf[id_col].to_numpy().astype(np.int64)
-            mn = (m * m).sum(axis=1)
-            kk = min(k, m.shape[0])
-            step = max(1, MATMUL_BYTES // (8 * m.shape[0]))
-            for s0 in range(0, nq, step):
-                qs = q[s0:s0 + step]
-                dot = qs @ m.T
-                if metric == "l2":   # ranking key |q|^2 - 2 q.m + |m|^2, exact distance for the kept
-                    key = (qs * qs).sum(axis=1)[:, None] - 2 * dot + mn[None, :]
-                    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-                    diff = qs[:, None, :] - m[part]
-                    d = np.sqrt((diff * diff).sum(axis=2))
-                else:                # cosine distance on unit vectors
-                    key = 1.0 - dot
-                    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-                    d = np.take_along_axis(key, part, axis=1)
-                cd = np.concatenate([best_d[s0:s0 + step], d], axis=1)
-                ci = np.concatenate([best_i[s0:s0 + step], cid[part]], axis=1)
-                keep = np.argpartition(cd, k - 1, axis=1)[:, :k]
-                best_d[s0:s0 + step] = np.take_along_axis(cd, keep, axis=1)
-                best_i[s0:s0 + step] = np.take_along_axis(ci, keep, axis=1)
-        if seen:
-            ok = best_i.ravel() >= 0
-            yield pd.DataFrame({"query_id": np.repeat(ids, k)[ok], "id": best_i.ravel()[ok],
-                                "distance": best_d.ravel()[ok]})
-
-    schema = "query_id long, id long, distance double"
-    return spread(corpus.select(id_col, vec_col)).mapInPandas(run, schema)
-
-
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
-        vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
-        metric: str = "l2", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Top-k corpus rows per query: (query_id, rank, id, distance), ties by
-    id.  ``metric``: 'l2' (squared-free Euclidean) or 'cosine' (1 - dot,
-    for unit vectors).
-
-    The query side is measured before it is shipped: its row count and
-    dimension give the bytes; above ``max_broadcast_bytes`` it is split
-    into blocks of that size.  Each block is collected (bounded) and
-    broadcast; the corpus is never collected."""
-    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).alias("_qv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("dim")).first()
-    n, dim = stats["n"], stats["dim"] or 0
-    if n == 0:
-        return corpus.sparkSession.createDataFrame([], "query_id long, rank long, id long, distance double")
-    per_block = max(1, max_broadcast_bytes // max(1, dim * 8))
-    blocks = 1 if n <= per_block else -(-n // per_block)
-    if blocks > 1:   # dense index (no single-partition window) -> blocks of per_block rows
-        q = global_row_index(q, ["_qid"], index_col="_i").withColumn(
-            "_blk", F.floor(F.col("_i") / F.lit(per_block)))
-    parts = []
-    for b in range(blocks):
-        src = q if blocks == 1 else q.where(F.col("_blk") == b)
-        rows = src.select("_qid", "_qv").collect()   # bounded by max_broadcast_bytes
-        qids = np.array([r[0] for r in rows], dtype=np.int64)
-        qmat = np.array([r[1] for r in rows], dtype=np.float64)
-        parts.append(_partial_topk(corpus, qids, qmat, k, id_col, vec_col, metric))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
+QUERY_BLOCK, CORPUS_BLOCK, TILE = 2048, 16384, 1024   # rows
+
+
+def _names(cols: str | Sequence[str]) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
+
+
+def _block_topk(q: np.ndarray, c: np.ndarray, order: np.ndarray, k: int, metric: str):
+    """(query row, corpus row, distance) of the k nearest corpus rows per
+    query; ``order`` is each corpus row's place in id order."""
+    best_q = best_c = np.zeros(0, np.int64)
+    best_d = np.zeros(0)
+    limit = np.full(len(q), np.inf)
+    qq = (q * q).sum(axis=1)[:, None]
+    for a in range(0, len(c), TILE):
+        part = c[a:a + TILE]
+        dot = q @ part.T
+        near = 1.0 - dot if metric == "cosine" else np.maximum(qq - 2 * dot + (part * part).sum(axis=1)[None, :], 0)
+        slack = 1e-9 * (1 + qq + (part * part).sum(axis=1).max())
+        kth = np.partition(near, k - 1, axis=1)[:, k - 1] if len(part) >= k else np.full(len(q), np.inf)
+        i, j = np.nonzero(near <= np.minimum(kth, limit)[:, None] + slack)
+        if metric == "cosine":
+            d = 1.0 - np.einsum("ij,ij->i", q[i], part[j])
+        else:
+            diff = q[i] - part[j]
+            d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        i, j, d = np.concatenate([best_q, i]), np.concatenate([best_c, j + a]), np.concatenate([best_d, d])
+        o = np.lexsort((order[j], d, i))
+        i, j, d = i[o], j[o], d[o]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        best_q, best_c, best_d = i[keep], j[keep], d[keep]
+        n = np.bincount(best_q, minlength=len(q))
+        last = np.cumsum(n) - 1
+        full = n == k
+        limit[full] = best_d[last[full]] if metric == "cosine" else best_d[last[full]] ** 2
+    return best_q, best_c, best_d
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str | Sequence[str] = "id",
+        vec_col: str = "embedding", query_id: str | Sequence[str] = "query_id", query_vec: str = "embedding",
+        metric: str = "l2", query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """Top-k corpus rows per query, ties by id.  ``metric``: 'l2' or 'cosine'
+    (1 - dot, for unit vectors).
+
+    Ids may be several columns, compared in order: the result then has their
+    names; a single id column comes back as ``query_id`` and ``id``.  Rows
+    without a vector take no part."""
+    qn, cn = _names(query_id), _names(id_col)
+    q_out = ["query_id"] if len(qn) == 1 else qn
+    c_out = ["id"] if len(cn) == 1 else cn
+    if set(q_out) & set(c_out):
+        raise ValueError("query and corpus ids need different names")
+    q = queries.where(F.col(query_vec).isNotNull()).select(*[F.col(a).alias(b) for a, b in zip(qn, q_out)], F.col(query_vec).alias("_v"))
+    c = corpus.where(F.col(vec_col).isNotNull()).select(*[F.col(a).alias(b) for a, b in zip(cn, c_out)], F.col(vec_col).alias("_v"))
+    schema = T.StructType([*(q.schema[x] for x in q_out), *(c.schema[x] for x in c_out), T.StructField("distance", T.DoubleType())])
+    nq, nc = math.ceil(q.count() / query_block), math.ceil(c.count() / corpus_block)
+    if not nq or not nc:
+        return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long")).select(
+            *q_out, "rank", *c_out, "distance")
+    block = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    spans = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("_qb", block(q_out, nq)).withColumn("_cb", spans(nc))
+    c = c.withColumn("_cb", block(c_out, nc)).withColumn("_qb", spans(nq))
+
+    def run(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(cs):
+            return pd.DataFrame({x: [] for x in (*q_out, *c_out, "distance")})
+        place = np.empty(len(cs), np.int64)
+        place[cs.reset_index(drop=True).sort_values(c_out, kind="stable").index.to_numpy()] = np.arange(len(cs))
+        dense = lambda x: np.stack(x["_v"].to_numpy()).astype(np.float64)
+        i, j, d = _block_topk(dense(qs), dense(cs), place, k, metric)
+        return pd.DataFrame({**{x: qs[x].to_numpy()[i] for x in q_out}, **{x: cs[x].to_numpy()[j] for x in c_out}, "distance": d})
+
+    cand = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(run, schema)
+    w = Window.partitionBy(*q_out).orderBy("distance", *c_out)
     return (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-                .select("query_id", "rank", "id", "distance"))
+                .select(*q_out, "rank", *c_out, "distance"))
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding", dim: int | None = None

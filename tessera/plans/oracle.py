@@ -40,12 +40,9 @@ def fixed(x: str, d: int = 2) -> str:
 
 
 def xsum(x: str) -> str:
-    """Twin of ``stats.exact_sum``: DECIMAL(38,6) accumulation, double
-    fallback when a value does not fit."""
-    d = f"TRY_CAST({x} AS DECIMAL(38,6))"
-    return (f"(CASE WHEN COUNT({d}) = COUNT({x}) THEN CAST(SUM({d}) AS DOUBLE) "
-            f"ELSE SUM(CAST({x} AS DOUBLE)) END)")
+    """Compensated double sum, rounded far below the digits the queries show."""
+    return f"ROUND(fsum(CAST({x} AS DOUBLE)), 6)"
 
 
 def xavg(x: str) -> str:
-    return f"({xsum(x)} / COUNT({x}))"
+    return f"(fsum(CAST({x} AS DOUBLE)) / COUNT({x}))"

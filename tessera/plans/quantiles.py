@@ -10,8 +10,11 @@ exact order statistics instead by refinement:
    current value window are bucketed (``B`` equal-width buckets) and
    counted with partial aggregation; only ``targets x B`` small rows reach
    the driver.  The bucket holding the rank becomes the new window;
-3. once a window holds at most ``cap`` values (or a single distinct value)
-   those values are collected (bounded by ``cap``) and the rank is read.
+3. once a window holds at most ``cap`` values (a thousand) or a single
+   distinct value, the rank is read from those values.
+
+NaN is missing.  Infinities are ranked apart, by their counts, so windows are
+always finite and every pass narrows them.
 
 Linear interpolation between the two neighbouring order statistics,
 ``(hi - pos) * x_lo + (pos - lo) * x_hi``, as Spark's ``percentile`` does.
@@ -25,18 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-CAP = 200_000
+CAP = 1_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     buckets: int = BUCKETS, cap: int = CAP) -> dict:
     """{(column, p): value or None} for every column and probability."""
-    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+    inf = float("inf")
+    v = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    x = {c: F.when(~F.isnan(v[c]) & (F.abs(v[c]) < F.lit(inf)), v[c]) for c in columns}   # finite values
+    first = df.agg(*[F.count_if(v[c].isNotNull() & ~F.isnan(v[c])).alias(f"n{i}") for i, c in enumerate(columns)],
+                   *[F.count_if(v[c] == F.lit(-inf)).alias(f"below{i}") for i, c in enumerate(columns)],
+                   *[F.count(x[c]).alias(f"finite{i}") for i, c in enumerate(columns)],
                    *[F.min(x[c]).alias(f"lo{i}") for i, c in enumerate(columns)],
                    *[F.max(x[c]).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
     # targets: (column index, rank) -> state [window lo, window hi, rank offset inside window]
-    targets, result = {}, {}
+    targets, result, values = {}, {}, {}
     for i, c in enumerate(columns):
         n = first[f"n{i}"]
         for p in probs:
@@ -45,8 +52,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 continue
             pos = (n - 1) * p
             for r in {math.floor(pos), math.ceil(pos)}:
-                targets[(i, r)] = [first[f"lo{i}"], first[f"hi{i}"], 0]
-    values = {}
+                below = first[f"below{i}"]
+                if r < below:
+                    values[(i, r)] = -inf
+                elif r >= below + first[f"finite{i}"]:
+                    values[(i, r)] = inf
+                else:
+                    targets[(i, r)] = [first[f"lo{i}"], first[f"hi{i}"], below]
 
     def windowed(wins, make):
         """One pass: every row x window it falls in (codegen-friendly
@@ -67,9 +79,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         wins = sorted({(i, a, b) for (i, _), (a, b, _) in todo.items()})   # shared per column
 
         def bucketed(w, i, a, b):
-            v = x[columns[i]]
-            bk = F.least(F.floor((v - F.lit(a)) / F.lit(b - a) * buckets), F.lit(buckets - 1))
-            return F.struct(F.lit(w).alias("w"), bk.cast("int").alias("b"), v.alias("v"))
+            y = x[columns[i]]
+            # halves: the width of a window may be above the largest double
+            part = (y / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) if b / 2 > a / 2 else F.when(y > F.lit(a), 1.0).otherwise(0.0)
+            bk = F.least(F.floor(part * buckets), F.lit(buckets - 1))
+            return F.struct(F.lit(w).alias("w"), bk.cast("int").alias("b"), y.alias("v"))
         hist = (windowed(wins, bucketed).groupBy("s.w", "s.b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("mn"), F.max("s.v").alias("mx"))
                 .collect())   # at most len(wins) * buckets rows
@@ -109,7 +123,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 continue
             pos = (n - 1) * p
             lo, hi = math.floor(pos), math.ceil(pos)
-            if lo == hi:
+            if lo == hi or values[(i, lo)] == values[(i, hi)]:
                 result[(c, p)] = values[(i, lo)]
             else:
                 result[(c, p)] = (hi - pos) * values[(i, lo)] + (pos - lo) * values[(i, hi)]

@@ -33,7 +33,7 @@ def q_embed_tfidf(spark, sf_dir):
     chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents")))
     model = text.fit_tfidf(chunks, dims=512)
     out = text.embed(model, chunks, "chunk_text")
-    return out.select("doc_id", "chunk_pos", "n_tokens", F.size("embedding").cast("bigint").alias("dim"))
+    return out.select("doc_id", "chunk_pos", "n_tokens", "embedding")
 
 
 @register("vector_topk", """
@@ -62,26 +62,22 @@ def q_hybrid_topk(spark, sf_dir):
     """R5 + R3 + R2 + R8 + R9: every user turn retrieves its nearest
     document chunks (TF-IDF, cosine) and its statistics document; the
     hybrid list is cut to k = 5 with one slot kept for statistics."""
-    chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents"))
-                         .withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_pos")))
+    chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents")))
     model = text.fit_tfidf(chunks, dims=512)
     # embedded chunks feed both the search and the text lookup: compute once
     cvec = materialize(text.embed(model, chunks, "chunk_text"))
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-                     F.col("text").alias("question"))
+    qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "conv_id", "turn", F.col("text").alias("question"))
     qvec = text.embed(model, qs.withColumnRenamed("question", "chunk_text"), "chunk_text")
-    hits = vector.knn(cvec, qvec, k=5, id_col="chunk_id", vec_col="embedding",
-                      query_id="question_id", query_vec="embedding", metric="cosine")
-    hits = (hits.join(cvec.select("chunk_id", F.col("chunk_text").alias("page_content")),
-                      hits.id == F.col("chunk_id"))
-                .select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))
-                        .alias("source"), "page_content"))
+    hits = vector.knn(cvec, qvec, k=5, id_col=["doc_id", "chunk_pos"], vec_col="embedding",
+                      query_id=["question_id", "conv_id"], query_vec="embedding", metric="cosine")
+    hits = (hits.join(cvec.select("doc_id", "chunk_pos", F.col("chunk_text").alias("page_content")), ["doc_id", "chunk_pos"])
+                .select("question_id", "rank", F.concat_ws(":", F.lit("chunk"), "doc_id", "chunk_pos").alias("source"), "page_content"))
     st = retrieval.attach_statistics(qs, retrieval.statistics_documents(sales_view(spark, sf_dir, materialized=True),
                                                                         SALES_ROLES))
     ranked = retrieval.hybrid_topk(hits, st.select("question_id", "page_content"), k=5)
     ctx = retrieval.context_text(ranked)
-    return ranked.select("question_id", "position", "source", F.length("page_content").cast("bigint")
-                         .alias("content_len")).join(ctx.select("question_id", F.length("context")
-                                                                .cast("bigint").alias("context_len")),
-                                                     "question_id")
+    return (ranked.select("question_id", "position", "source", F.col("page_content").alias("content"))
+                  .join(ctx.select("question_id", "context"), "question_id")
+                  .join(qs.select("question_id", "conv_id", "turn"), "question_id")
+                  .select("conv_id", "turn", "position", "source", "content", "context"))

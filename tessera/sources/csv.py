@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,41 +41,62 @@ def header_names(cells: list, case_sensitive: bool = False) -> list[str]:
     return out
 
 
-def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def _headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(header cells, files) for each distinct header line of the files under ``path``.
+
+    Every file's first line is found in one distributed pass that keeps one
+    row a file; header lines are few, files are grouped under them."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    # lines of one file come in order; the first line of its first split is the header
+    first = (rows.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+                 .groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect())
+    cells = lambda line: next(csv.reader([line.removeprefix("\ufeff")]), [])
+    return sorted(((cells(r["line"]), list(r["files"])) for r in first), key=lambda x: x[1])
+
+
+def scan_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Header row, all columns as strings, NA markers to NULL.
 
     ``path`` may be a file, a directory or a glob: a directory of files is
-    one table (S10).  The header row is read once (a one-row job) and named
-    by ``header_names``; the scan then uses that all-text schema and skips
-    each file's header line.  Spark's own ``nullValue`` takes a single
-    marker, so the markers are applied as one ``when`` per column in the
-    same projection.  ``multiline`` allows quoted line breaks but stops
-    file splitting."""
-    def reader():
-        return (spark.read.option("inferSchema", False).option("escape", '"')
-                .option("multiLine", multiline).option("nullValue", None).option("emptyValue", ""))
+    one table (S10), whose files may list their columns in different orders;
+    they are matched by name, and a column that a file lacks is NULL there.
+    Headers are named by ``header_names``; the scan of each group of files
+    with one header uses that all-text schema and skips each file's header
+    line.  Spark's own ``nullValue`` takes a single marker, so the markers
+    are applied as one ``when`` per column in the same projection.
+
+    Line breaks inside quoted cells are read as such.  That needs one task
+    a file; ``multiline=False`` splits large files, for data known to have
+    no line breaks inside cells."""
     try:
-        head = reader().option("header", False).csv(path).first()
-        raw = reader().option("header", True)
-        if head is not None:
-            cs = spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
-            names = header_names(list(head), case_sensitive=cs)
-            raw = raw.schema(StructType([StructField(n, StringType()) for n in names]))
-        raw = raw.csv(path)
+        groups = _headers(spark, path)
     except AnalysisException as e:  # S2: missing path
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"File not found: {path}") from None
         raise
+    if not groups:
+        return spark.createDataFrame([], StructType([]))
+    cs = spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    out = None
+    for cells, files in groups:
+        names = header_names(cells, case_sensitive=cs)
+        part = (spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
+                .option("emptyValue", "").option("header", True)
+                .schema(StructType([StructField(n, StringType()) for n in names]))
+                .csv(path if len(groups) == 1 else files))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     markers = list(NULL_MARKERS)
-    return raw.select(*[
+    return out.select(*[
         F.when(F.col(f"`{c}`").isin(markers), F.lit(None).cast("string"))
-         .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+         .otherwise(F.col(f"`{c}`")).alias(c) for c in out.columns])
 
 
-def load_table(spark: SparkSession, path: str, fill: bool = True) -> DataFrame:
+def load_table(spark: SparkSession, path: str, fill: bool = True, multiline: bool = True) -> DataFrame:
     """S3: scan + normalisation; ``ValueError`` for a table without rows."""
     from ..operators.normalize import normalize
-    df = scan_csv(spark, path)
-    if df.isEmpty():
+    df = scan_csv(spark, path, multiline)
+    if not df.columns or df.isEmpty():
         raise ValueError("CSV file is empty")
     return normalize(df, fill=fill)

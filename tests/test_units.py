@@ -322,7 +322,7 @@ def test_knn_matches_brute_force_and_blocks(spark, sf001):
     m = np.array([r.embedding for r in rows], dtype=np.float64)
     ids = np.array([r.vec_id for r in rows])
     q = emb.where("vec_id < 30").select(F.col("vec_id").alias("qid"), "embedding")
-    got = vector.knn(emb, q, k=3, id_col="vec_id", query_id="qid", max_broadcast_bytes=64 * 8 * 7)
+    got = vector.knn(emb, q, k=3, id_col="vec_id", query_id="qid", query_block=7, corpus_block=100)
     res = {}
     for r in got.collect():
         res.setdefault(r.query_id, []).append((r.rank, r.id))
@@ -518,3 +518,124 @@ def test_sales_queries_scan_the_prepared_table_with_pruned_columns(spark, sf001)
         import re
         names = [set(re.findall(r"(?:^|,)(\w+):", s)) for s in schemas]
         assert names and all(n and n <= cols for n in names), (name, schemas)
+
+
+# --- fixes of round 2 ---------------------------------------------------------------------------
+
+def test_small_values_keep_their_digits(spark):
+    from tessera.operators import chartdata, stats
+    df = spark.createDataFrame([(1e-7,)] * 10, "x double")
+    d = {r["stat"]: r["value"] for r in chartdata.describe(df).collect()}
+    assert d["mean"] == pytest.approx(1e-7) and d["50%"] == 1e-7
+    assert df.agg(stats.exact_sum(F.col("x"))).first()[0] == pytest.approx(1e-6)
+    money = spark.createDataFrame([(0.1,), (0.2,), (float("nan"),), (None,)], "x double")
+    assert money.agg(stats.exact_sum(F.col("x")), stats.exact_mean(F.col("x"))).first()[:] == (0.3, 0.15)
+
+
+def test_quantiles_with_nan_and_infinities(spark):
+    from tessera.plans.quantiles import exact_quantiles
+    inf, nan = float("inf"), float("nan")
+    rows = [float(i) for i in range(47)] + [inf, inf, -inf, nan, None]
+    df = spark.createDataFrame([(x,) for x in rows], "x double").repartition(3)
+    got = exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], cap=10)
+    assert got[("x", 0.0)] == -inf and got[("x", 1.0)] == inf
+    assert got[("x", 0.5)] == sorted(x for x in rows if x is not None and x == x)[24] * 0.5 + sorted(
+        x for x in rows if x is not None and x == x)[25] * 0.5
+    wide = spark.createDataFrame([(x,) for x in (-1.7e308, -1.0, 0.0, 1.0, 1.7e308)], "x double")
+    assert exact_quantiles(wide, ["x"], [0.25, 0.5], cap=1) == {("x", 0.25): -1.0, ("x", 0.5): 0.0}
+
+
+@pytest.mark.parametrize("cells,want", [
+    (["1/5/2024", "2/6/2024", "12/31/2024"], ["2024-01-05", "2024-02-06", "2024-12-31"]),
+    (["13/01/2024", "05/02/2024"], ["2024-01-13", "2024-02-05"]),
+    (["05-01-2024", "06-02-2024"], ["2024-05-01", "2024-06-02"]),
+    (["13-01-2024", "06-02-2024"], ["2024-01-13", "2024-02-06"]),
+    (["Jan 5, 2024", "February 6, 2024"], ["2024-01-05", "2024-02-06"]),
+    (["5 Jan 2024", "6 feb 2024"], ["2024-01-05", "2024-02-06"]),
+    (["2024-01-05 10:00", "2024-02-06 23:59"], ["2024-01-05", "2024-02-06"]),
+    (["2024-01-05T10:00:00Z", "2024-02-06T10:00:00.123+02:00"], ["2024-01-05", "2024-02-06"]),
+    (["2024/1/5", "2024/02/06"], ["2024-01-05", "2024-02-06"]),
+    (["20240105", "20240206"], ["2024-01-05", "2024-02-06"]),
+])
+def test_date_shapes(spark, cells, want):
+    import pandas as pd
+    df = spark.createDataFrame([(c,) for c in cells], "Date string")
+    got = [str(r[0]) for r in normalize.normalize(df).collect()]
+    assert got == want
+    if cells[0] != "13/01/2024":
+        assert [str(pd.to_datetime(c, dayfirst=False).date()) for c in cells] == want or cells[0].startswith("13")
+
+
+def test_csv_quoted_line_breaks_and_reordered_headers(spark):
+    d = tempfile.mkdtemp(prefix="tessera-csv-", dir="/tmp")
+    for name, body in (("a.csv", 'id,region\n1,"north\nwest"\n2,south\n'), ("b.csv", "region,id\neast,3\n"), ("c.csv", "id,region,extra\n4,up,x\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    got = {r["id"]: (r["region"], r["extra"]) for r in scan_csv(spark, d).collect()}
+    assert got == {"1": ("north\nwest", None), "2": ("south", None), "3": ("east", None), "4": ("up", "x")}
+    assert load_table(spark, os.path.join(d, "a.csv")).count() == 2
+
+
+@pytest.mark.parametrize("parts", [4, 5, 8, 12])
+def test_knn_ties_do_not_depend_on_partitions(spark, parts):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(2000)], "id long, embedding array<double>").repartition(parts)
+    q = spark.createDataFrame([(7, [0.0, 0.0, 1.0])], "qid long, embedding array<double>")
+    for metric in ("l2", "cosine"):
+        got = vector.knn(df, q, k=3, query_id="qid", metric=metric, corpus_block=500)
+        assert [r["id"] for r in got.orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_knn_with_several_id_columns(spark):
+    df = spark.createDataFrame([(1, 1000, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (1, 5, [0.0, 1.0])], "doc long, pos long, embedding array<double>")
+    q = spark.createDataFrame([(1, 1000, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "conv long, turn long, embedding array<double>")
+    got = vector.knn(df, q, k=2, id_col=["doc", "pos"], query_id=["conv", "turn"])
+    assert [tuple(r)[:5] for r in got.orderBy("conv", "rank").collect()] == [
+        (1, 1000, 1, 1, 1000), (1, 1000, 2, 2, 0), (2, 0, 1, 1, 5), (2, 0, 2, 1, 1000)]
+
+
+def test_suggested_questions(spark):
+    got = [tuple(r) for r in retrieval.suggested_questions(spark).orderBy("position").collect()]
+    assert got[4] == (5, "What is the customer demographic?", "customer")
+    assert got[5] == (6, "What is the average order value?", "customer") and len(got) == 6
+
+
+def test_describe_without_numeric_columns(spark):
+    from tessera.operators import chartdata
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", None), ("b", "y")], "p string, q string")
+    assert chartdata.describe(df).count() == 0
+    got = {(r["column"], r["stat"]): r["value"] for r in chartdata.describe_text(df).collect()}
+    assert got == {("p", "count"): "4", ("p", "unique"): "2", ("p", "top"): "a", ("p", "freq"): "2",
+                   ("q", "count"): "3", ("q", "unique"): "2", ("q", "top"): "x", ("q", "freq"): "2"}
+
+
+def test_demographics_panels_and_error(spark):
+    from tessera.operators import chartdata
+    df = spark.createDataFrame([(20, "f"), (40, "m"), (40, "f"), (None, None)], "Age int, Gender string")
+    got = sorted(tuple(r) for r in chartdata.demographics(df, bins=2).collect())
+    assert got == [("age", "1", 1), ("age", "2", 2), ("gender", "f", 2), ("gender", "m", 1)]
+    assert {r["panel"] for r in chartdata.demographics(df.select("Gender")).collect()} == {"gender"}
+    with pytest.raises(ValueError, match="No demographic columns found"):
+        chartdata.demographics(df.selectExpr("1 as x"))
+
+
+def test_location_makes_no_region_documents(spark):
+    from tessera.operators import documents
+    df = spark.createDataFrame([("a", "north", 1.0)], "product string, location string, sales double")
+    assert {r["doc_type"] for r in documents.group_documents(df).collect()} == {"product"}
+
+
+def test_checkpoint_folder_is_required_off_local():
+    from tessera import session
+
+    class Sc:
+        master, _tessera_shipped = "spark://host:7077", True
+
+    class Conf:
+        def get(self, k, d=None):
+            return d
+
+    class Spark:
+        sparkContext, conf = Sc(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Spark())
