@@ -37,12 +37,18 @@ def last_k(messages: DataFrame, k: int = 5, session: str = "conv_id", order: str
 
 def last_k_per_session(messages: DataFrame, settings: DataFrame, default_k: int = 5,
                        session: str = "conv_id") -> DataFrame:
-    """M5: a per-session ``k`` from a settings table ``(session, k)``; the
-    rank limit is then a filter against the joined ``k``."""
-    w = Window.partitionBy(session).orderBy(F.col("turn").desc())
-    m = memory_messages(messages).join(settings, session, "left")
-    return (m.withColumn("pos", F.row_number().over(w).cast("bigint"))
-             .where(F.col("pos") <= 2 * F.coalesce(F.col("k"), F.lit(default_k))).drop("k"))
+    """M5: a per-session ``k`` from a settings table ``(session, k)``.
+
+    The rank is first limited by the largest ``k`` (one number), a literal
+    that Spark applies before the shuffle, so a long session ships few
+    rows; each session's own ``k`` then filters what is left.  Of several
+    settings rows of one session the largest counts."""
+    own = (settings.where(F.col(session).isNotNull() & F.col("k").isNotNull())
+                   .groupBy(F.col(session).alias("_s")).agg(F.max("k").alias("_k")))
+    largest = max(default_k, own.agg(F.max("_k")).first()[0] or 0)
+    newest = last_k(messages, largest, session)
+    return (newest.join(own, F.col(session) == F.col("_s"), "left")
+                  .where(F.col("pos") <= 2 * F.coalesce(F.col("_k"), F.lit(default_k))).drop("_s", "_k"))
 
 
 def save_context(exchanges: DataFrame, session: str = "conv_id") -> DataFrame:

@@ -174,3 +174,16 @@ def q_moving_avg_days(spark, sf_dir):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"),
                       F.round("daily_total", 6).alias("daily_total"), "n_rows",
                       F.round("ma7d", 6).alias("ma7d"), F.round("ma30d", 6).alias("ma30d"))
+
+
+@register("demographics", with_sales("""
+SELECT 'age' AS panel, CAST(bin AS VARCHAR) AS label, COUNT(*) AS n_rows
+FROM (SELECT CAST(CASE WHEN hi - lo = 0 THEN 1
+                       ELSE LEAST(FLOOR((x - lo) / (hi - lo) * 20) + 1, 20) END AS BIGINT) AS bin
+      FROM (SELECT CAST(acctbal AS DOUBLE) AS x FROM sales WHERE acctbal IS NOT NULL) v,
+           (SELECT MIN(CAST(acctbal AS DOUBLE)) AS lo, MAX(CAST(acctbal AS DOUBLE)) AS hi FROM sales) m) b
+GROUP BY bin
+UNION ALL
+SELECT 'gender', segment, COUNT(*) FROM sales WHERE segment IS NOT NULL GROUP BY segment"""))
+def q_demographics(spark, sf_dir):
+    return chartdata.demographics(sales_view(spark, sf_dir), R["age"], R["gender"])

@@ -78,3 +78,27 @@ SELECT conv_id, COUNT(*) AS n_messages, MIN(turn) AS first_turn, MAX(turn) AS la
 FROM {_MEM} GROUP BY conv_id""")
 def q_sessions(spark, sf_dir):
     return memory.sessions(_conv(spark, sf_dir), k=5)
+
+
+@register("memory_own_k", f"""
+SELECT conv_id, turn, role, text, pos FROM (
+  SELECT conv_id, turn, role, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM {_MEM})
+WHERE pos <= CASE WHEN conv_id % 3 = 0 THEN 10 ELSE 2 * (1 + conv_id % 3) END""")
+def q_memory_own_k(spark, sf_dir):
+    """Sessions with settings of their own (derived from their ids), the others with the default."""
+    c = _conv(spark, sf_dir)
+    settings = c.select("conv_id").distinct().where("conv_id % 3 <> 0").select("conv_id", (1 + F.col("conv_id") % 3).cast("int").alias("k"))
+    return memory.last_k_per_session(c, settings, default_k=5)
+
+
+@register("session_control", """
+SELECT c.conv_id, turn, role, text FROM conversations c
+WHERE conv_id % 5 <> 1 AND NOT (conv_id % 5 = 2 AND turn <= COALESCE((SELECT MIN(turn) FROM conversations d
+                                                             WHERE d.conv_id = c.conv_id AND role = 'assistant'), -1))""")
+def q_session_control(spark, sf_dir):
+    """Some sessions deleted, some cleared at their first answer."""
+    c = _conv(spark, sf_dir)
+    deleted = c.where("conv_id % 5 = 1").select("conv_id", "turn", F.lit("delete").alias("op"))
+    cleared = (c.where("conv_id % 5 = 2 and role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("turn"))
+                .select("conv_id", "turn", F.lit("clear").alias("op")))
+    return memory.apply_controls(c, deleted.unionByName(cleared)).select("conv_id", "turn", "role", "text")

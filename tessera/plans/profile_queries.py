@@ -114,3 +114,48 @@ def q_validate(spark, sf_dir):
 SELECT * FROM lineitem ORDER BY {", ".join(_LI_COLS)} LIMIT 20""")
 def q_browse(spark, sf_dir):
     return profile.browse(read_table(spark, sf_dir, "lineitem"), 20)
+
+
+_DATE_LOOKS = {"iso": "yyyy-MM-dd", "us": "M/d/yyyy", "dashes": "dd-MM-yyyy", "name": "MMM d, yyyy", "stamp": "yyyy-MM-dd'T'HH:mm:ss"}
+
+
+@register("normalize_dates", "SELECT o_orderkey AS key, " + ", ".join(
+    f"strftime(o_orderdate, '%Y-%m-%d') AS {n}_date" for n in _DATE_LOOKS) + " FROM orders")
+def q_normalize_dates(spark, sf_dir):
+    """Order dates written in several shapes and read back as dates."""
+    o = read_fact(spark, sf_dir, "orders")
+    shapes = o.select(F.col("o_orderkey").cast("string").alias("key"),
+                      *[F.date_format("o_orderdate", f).alias(f"{n}_date") for n, f in _DATE_LOOKS.items()])
+    back = norm.normalize(shapes)
+    return back.select("key", *[F.date_format(f"{n}_date", "yyyy-MM-dd").alias(f"{n}_date") for n in _DATE_LOOKS])
+
+
+@register("csv_scan", """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations""")
+def q_csv_scan(spark, sf_dir):
+    """Conversations written as CSV under the shared folder in two column
+    orders (texts hold line breaks) and scanned as one table."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv import scan_csv
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    for part, cols in ((0, c.columns), (1, c.columns[::-1])):
+        (c.where(F.col("conv_id") % 2 == part).select(*cols).write.mode("append").option("header", True)
+          .option("quoteAll", True).option("escape", '"').csv(base))
+    return scan_csv(spark, base).select("conv_id", "turn", "role", "text")
+
+
+@register("describe_text", """
+WITH v AS (SELECT 0 AS i, 'c_name' AS "column", c_name AS v FROM customer
+           UNION ALL SELECT 1, 'c_mktsegment', c_mktsegment FROM customer),
+c AS (SELECT i, "column", v, COUNT(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
+s AS (SELECT i, "column", SUM(n) AS total, COUNT(*) AS u, MAX(n) AS freq FROM c GROUP BY ALL),
+t AS (SELECT c.i, MIN(v) AS top FROM c JOIN s ON c.i = s.i AND c.n = s.freq GROUP BY c.i)
+SELECT "column", stat, CAST(s.i * 4 + p AS INTEGER) AS pos, value FROM s JOIN t ON s.i = t.i,
+LATERAL (VALUES ('count', 0, CAST(total AS VARCHAR)), ('unique', 1, CAST(u AS VARCHAR)), ('top', 2, top),
+                ('freq', 3, CAST(freq AS VARCHAR))) x(stat, p, value)""")
+def q_describe_text(spark, sf_dir):
+    from ..operators.chartdata import describe_text
+    return describe_text(read_table(spark, sf_dir, "customer").select("c_name", "c_mktsegment"))

@@ -81,3 +81,18 @@ def q_hybrid_topk(spark, sf_dir):
                   .join(ctx.select("question_id", "context"), "question_id")
                   .join(qs.select("question_id", "conv_id", "turn"), "question_id")
                   .select("conv_id", "turn", "position", "source", "content", "context"))
+
+
+@register("chunk_invariants", """
+SELECT doc_id, TRUE AS sizes_ok, TRUE AS words_kept, TRUE AS overlap_ok FROM documents WHERE length(text) > 0""")
+def q_chunk_invariants(spark, sf_dir):
+    """Per document: no chunk above 1000 characters, every word in some chunk, no more than 200
+    characters repeated from chunk to chunk."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > 0)
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    per = (text.chunk_recursive(docs).groupBy(F.col("doc_id").alias("c_doc"))
+           .agg(F.max("chunk_len").alias("longest"), F.sum("chunk_len").alias("total"), F.count(F.lit(1)).alias("n"),
+                F.array_distinct(F.flatten(F.collect_list(words("chunk_text")))).alias("got")))
+    return docs.join(per, F.col("doc_id") == F.col("c_doc")).select(
+        "doc_id", (F.col("longest") <= 1000).alias("sizes_ok"), (F.size(F.array_except(words("text"), "got")) == 0).alias("words_kept"),
+        (F.col("total") <= F.length("text") + 200 * (F.col("n") - 1)).alias("overlap_ok"))

@@ -97,33 +97,33 @@ def sales_view(spark: SparkSession, sf_dir: str, materialized: bool = True,
 
 
 def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Hash of each input's recursive content summary (total bytes, file
-    and folder counts) and modification time: a few metadata calls per
-    table on the driver, however many files or partition folders it has."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Hash of path, length and modification time of every input file,
+    nested partition folders included.  The listing is a Spark job; only
+    one row a table comes back."""
     h = hashlib.sha1()
     for p in paths:
-        jp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = jp.getFileSystem(conf)
-        cs, st = fs.getContentSummary(jp), fs.getFileStatus(jp)
-        h.update(f"{st.getPath()}|{cs.getLength()}|{cs.getFileCount()}|{cs.getDirectoryCount()}|"
-                 f"{st.getModificationTime()};".encode())
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p)
+                 .select("path", "length", "modificationTime"))
+        n, mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+        h.update(f"{p}|{n}|{mark};".encode())
     return h.hexdigest()[:20]
 
 
 def prepared_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The business table prepared once, like the reference's load step.
 
-    The star join is written as Parquet to ``tables/sales-<fingerprint>``
-    under the shared folder named by ``spark.checkpoint.dir`` and read back.
+    The star join is written as Parquet under ``tables/sales-<fingerprint>``
+    in the shared folder named by ``spark.checkpoint.dir`` and read back.
     The fingerprint covers the six input tables' files, so changed inputs
-    give a new table; an existing complete table is reused by every later
-    query and session that names the same folder (``refresh=True`` rebuilds
-    it).  The write goes to a unique staging folder that is then renamed
-    into place, so concurrent sessions never read a half-written table.
-    Readers get column pruning and pushed filters, which a row checkpoint
-    cannot give.
+    give a new table; a complete table is reused by every later query and
+    session that names the same folder.  Each write is a version of its own
+    that counts once its success marker is there; nothing is renamed,
+    overwritten or deleted, so readers of an older version are not
+    disturbed and object stores without atomic renames do.  ``refresh=True``
+    writes a new version, and the newest complete one is read.  Readers get
+    column pruning and pushed filters, which a row checkpoint cannot give.
     """
+    import time
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -132,18 +132,14 @@ def prepared_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> D
               for t in ("lineitem", "orders", "customer", "nation", "region", "part")]
     path = f"{base}/tables/sales-{_fingerprint(spark, inputs)}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if refresh or not fs.exists(target):
-        staging = f"{path}.staging-{uuid.uuid4().hex}"
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
+    found = marker.getFileSystem(conf).globStatus(marker) or []
+    versions = sorted(str(f.getPath().getParent()) for f in found)
+    if refresh or not versions:
+        versions = [f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex}"]
         # spread: the written table then has at least one file per core
-        sales_view(spark, sf_dir, materialized=False, spread_fact=True).write.parquet(staging)
-        if refresh and fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
-            # another session put the same table in place first
-            fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
-    return spark.read.parquet(path)
+        sales_view(spark, sf_dir, materialized=False, spread_fact=True).write.parquet(versions[0])
+    return spark.read.parquet(versions[-1])
 
 
 # Roles of the canonical view, passed explicitly (FIXTURES.md section 2).

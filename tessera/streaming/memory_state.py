@@ -57,6 +57,17 @@ class LastKMemory(StatefulProcessor):
         pass
 
 
+def trim(k: int):
+    """Batch function that keeps the newest ``2k`` messages of each session in
+    an Arrow batch: what reaches a session's state is small, however long
+    the session is."""
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["role"].isin(["user", "assistant"])]
+            yield pdf.sort_values("turn", kind="stable").groupby("conv_id", sort=False).tail(2 * k)
+    return run
+
+
 def stream_memory(spark: SparkSession, source_path: str, k: int = 5,
                   max_files_per_trigger: int = 1, out_dir: str | None = None) -> DataFrame:
     """Run the stateful stream over the parquet files at ``source_path`` to
@@ -64,17 +75,21 @@ def stream_memory(spark: SparkSession, source_path: str, k: int = 5,
     batch DataFrame (conv_id, turn, role, text, pos)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = out_dir or f"{base}/streams/memory-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = spark.read.parquet(source_path).schema
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_path).select("conv_id", "turn", "role", "text"))
-    out = src.groupBy("conv_id").transformWithStateInPandas(
+    out = src.mapInPandas(trim(k), src.schema).groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=LastKMemory(k), outputStructType=OUT_SCHEMA,
         outputMode="Append", timeMode="None")
-    q = (out.writeStream.format("parquet").option("path", f"{run}/out")
-         .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    # the operator needs this state store; the session gets its own setting back
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (out.writeStream.format("parquet").option("path", f"{run}/out")
+             .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return latest_windows(spark.read.schema(OUT_SCHEMA).parquet(f"{run}/out"))
 
 
