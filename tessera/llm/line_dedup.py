@@ -18,8 +18,9 @@ substrings and probes two more (the middle one shifted either way); lines at
 the start of a band are indexed in the band below as well.
 
 Candidates are pairs with an equal substring whose lengths differ by at most
-two and whose letter counts in the first and in the last half differ by at
-most four together; both are necessary and are tested inside the join.  A
+two and whose letter counts, some in the whole line, some in its first and
+last half, differ by at most four together; both are necessary and are tested
+inside the join.  A
 line needs only one earlier partner: each is first compared with the earliest
 line of its keys, and only lines that this does not settle are joined with all
 earlier sharers, so groups of similar lines do not emit their pairs.  The
@@ -42,7 +43,8 @@ from .common import small, written
 MAX_EDITS = 2                 # the three-segment layout is for two edits
 BROADCAST_ROWS = 200_000      # document ids sent to all executors at most; more are joined by a shuffle
 BLANKS = " \t\r\x0b\x0c"
-COUNTED = "enir"              # letters counted in either half
+COUNTED = "enir"              # letters counted in the first and in the last half
+ALSO_COUNTED = "astoldu "     # letters counted in the whole line
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,56 +59,70 @@ def _band(n: Column) -> Column:
     return F.when(n < 64, n - n % 4).otherwise(n - n % 16)
 
 
-def _signature(line: Column, half: Column) -> Column:
-    """Counts (modulo 256) of the counted letters in the first and last ``half`` characters, a byte each."""
-    sides = (F.substring(line, F.lit(1), half), F.right(line, half))
+def _counts(parts: list[tuple[Column, str]]) -> Column:
+    """Counts (modulo 256) of letters in strings, a byte each."""
     out = F.lit(0).cast("long")
-    for s in sides:
-        for c in COUNTED:
-            count = (F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))) % 256
+    for text, letters in parts:
+        for c in letters:
+            count = (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) % 256
             out = F.shiftleft(out, 8).bitwiseOR(count.cast("long"))
     return out
 
 
-def _signature_distance(a: Column, b: Column) -> Column:
+def _bytes_apart(a: Column, b: Column) -> Column:
     out = F.lit(0)
-    for i in range(2 * len(COUNTED)):
+    for i in range(8):
         d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
         out = out + F.least(d, 256 - d)
     return out
 
 
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """One row for each distinct judged line: its first place (doc, pos), two
-    hashes h and g, length n, number of places c, and its index and probe
-    substrings as (key, sig).  Equal lines are combined before the shuffle."""
-    lines = split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
-    one = (lines.groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"))
-                .select("f.doc", "f.pos", "c", "line", F.length("line").alias("n")))
-    n = F.col("n")
-    band = _band(n)
-    below = F.when(band <= 64, band - 4).otherwise(band - 16)
+def judged_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    return split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
 
-    def cut(b: Column) -> Column:
-        line, a = F.col("line"), F.floor(b / 3).cast("int")
-        sig = _signature(line, F.floor(b / 2).cast("int"))
-        piece = lambda no, x: F.struct(F.xxhash64(b, F.lit(no), x).alias("key"), sig.alias("sig"))
-        return F.array(piece(1, F.substring(line, F.lit(1), a)), piece(2, F.substring(line, a + 1, a)),
-                       piece(2, F.substring(line, a, a)), piece(2, F.substring(line, a + 2, a)), piece(3, F.right(line, a)))
 
-    cuts = F.when(n - band < MAX_EDITS, F.concat(cut(band), cut(below))).otherwise(cut(band))
-    return one.select("doc", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"),
-                      n.cast("int").alias("n"), "c", cuts.alias("segs"))
+def substring_keys(lines: DataFrame) -> DataFrame:
+    """(key, h): the index and probe substrings of every line."""
+    n = F.length("line")
+    band = _band(n)
+    below = F.when(band <= 64, band - 4).otherwise(band - 16)
+    one = lines.select("h", "line", F.explode(F.when(n - band < MAX_EDITS, F.array(band, below)).otherwise(F.array(band))).alias("b"))
+    one = one.withColumn("a", F.floor(F.col("b") / 3).cast("int"))
+    key = lambda no, x: F.xxhash64("b", F.lit(no), x)
+    line, a = F.col("line"), F.col("a")
+    return one.select(F.explode(F.array(
+        key(1, F.substring(line, F.lit(1), a)), key(2, F.substring(line, a + 1, a)), key(2, F.substring(line, a, a)),
+        key(2, F.substring(line, a + 2, a)), key(3, F.right(line, a)))).alias("key"), "h")
+
+
+def line_table(lines: DataFrame) -> DataFrame:
+    """One row for each distinct line h: second hash g, first place (doc, pos),
+    number of places c, length n and letter counts."""
+    line, n = F.col("line"), F.length("line")
+    # halves of one length for all lines of a band and of the bands next to it: the
+    # longest that fits the shortest of them
+    half = F.floor((F.when(n < 64, n - n % 4 - 4).when(n < 80, 60).otherwise(n - n % 16 - 16)) / 2).cast("int")
+    low = F.floor(half / 8).cast("int") * 8
+    cols = lines.select("h", "doc", "pos", F.xxhash64(F.lit("second"), "line").alias("g"), n.cast("int").alias("n"),
+                        _counts([(line, ALSO_COUNTED)]).alias("whole"), low.alias("half"), line)
+    cols = cols.withColumn("halves", _counts([(F.substring(line, F.lit(1), F.col("half")), COUNTED), (F.right(line, F.col("half")), COUNTED)]))
+    return cols.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"),
+                                 *[F.first(x).alias(x) for x in ("g", "n", "whole", "half", "halves")]).select(
+        "h", "g", "f.doc", "f.pos", "c", "n", "whole", "half", "halves")
 
 
 PLACE = ("doc", "pos", "h")
+FACTS = (*PLACE, "n", "whole", "half", "halves")
 
 
 def _fits(x: str, y: str) -> Column:
-    """Necessary for two lines within the edits; x is the earlier one."""
+    """Necessary for two lines within the edits; x is the earlier one.  An
+    edit changes at most two of the counts by one each; halves are compared
+    if they have the same length."""
     place = lambda p: F.struct(*[F.col(p + c) for c in PLACE])
+    halves = F.when(F.col(x + "half") == F.col(y + "half"), _bytes_apart(F.col(x + "halves"), F.col(y + "halves"))).otherwise(0)
     return ((place(x) < place(y)) & (F.abs(F.col(x + "n") - F.col(y + "n")) <= MAX_EDITS)
-            & (_signature_distance(F.col(x + "sig"), F.col(y + "sig")) <= 2 * MAX_EDITS))
+            & (_bytes_apart(F.col(x + "whole"), F.col(y + "whole")) + halves <= 2 * MAX_EDITS))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,41 +137,40 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                  .select(*[F.col("y_" + c).alias(c) for c in PLACE]).distinct())
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_lines(lines: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Places of the distinct lines that have an earlier line within the edits.
 
-    First every line is compared with the earliest line of each of its keys,
-    which settles groups of similar lines without pairing them; then the lines
-    that are not settled are compared with all earlier sharers of their keys."""
-    seg = lines.select(*PLACE, "n", F.explode(F.array_distinct("segs")).alias("x")).select("x.key", *PLACE, "n", "x.sig")
-    head = (seg.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "sig")).alias("m"), F.max(F.struct(*PLACE)).alias("last"))
-               .where(F.struct(*[F.col(f"m.{c}") for c in PLACE]) != F.col("last"))
-               .select(F.col("key").alias("x_key"), *[F.col(f"m.{c}").alias("x_" + c) for c in (*PLACE, "n", "sig")]))
-    y = seg.select(*[F.col(c).alias("y_" + c) for c in seg.columns])
-    shared = written(head.join(y, F.col("x_key") == F.col("y_key")), "line-keys")
+    Keys that only one line has are dropped first, before anything but hashes
+    is moved.  Then every line is compared with the earliest line of each of
+    its keys, which settles groups of similar lines without pairing them, and
+    the lines that are not settled with all earlier sharers of their keys."""
+    keys = substring_keys(lines)
+    live = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    sharers = keys.join(live, "key").distinct()
+    y = written(sharers.join(facts.select(*FACTS), "h").select("key", *FACTS), "line-keys")
+    head = y.groupBy(F.col("key").alias("x_key")).agg(F.min(F.struct(*FACTS)).alias("m")).select(
+        "x_key", *[F.col(f"m.{c}").alias("x_" + c) for c in FACTS])
+    y = y.select(*[F.col(c).alias("y_" + c) for c in y.columns])
     pair = ["x_" + c for c in PLACE] + ["y_" + c for c in PLACE]
-    first = written(shared.where(_fits("x_", "y_")).select(*pair).distinct(), "line-pairs")
+    first = written(head.join(y, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct(), "line-pairs")
     near = written(_verified(first, docs, id_col, text_col), "line-near")
-    mine = shared.select("y_key", *["y_" + c for c in PLACE], "y_n", "y_sig")
-    # the earliest line of a key has no earlier partner there
-    open_ = shared.where(F.struct(*["x_" + c for c in PLACE]) != F.struct(*["y_" + c for c in PLACE])).select(*mine.columns)
     done = near.select(*[F.col(c).alias("y_" + c) for c in PLACE])
-    open_ = open_.join(done, ["y_" + c for c in PLACE], "left_anti")
-    x = mine.select(*[F.col(c).alias("x_" + c[2:]) for c in mine.columns])
-    rest = written(x.join(open_, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct()
+    left = y.join(done, ["y_" + c for c in PLACE], "left_anti")
+    x = y.select(*[F.col(c).alias("x_" + c[2:]) for c in y.columns])
+    rest = written(x.join(left, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct()
                     .join(first, pair, "left_anti"), "line-pairs")
     return near.unionByName(_verified(rest, docs, id_col, text_col))
 
 
 def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """(doc, drop): the positions of the removed lines of each document that has some."""
-    lines = written(distinct_lines(docs, id_col, text_col, min_chars), "lines")
-    near = near_lines(lines, docs, id_col, text_col).withColumn("is_near", F.lit(True))
-    judged = (lines.select(*PLACE, "g", "c").join(near, [*PLACE], "left").where("c > 1 or is_near")
+    lines = judged_lines(docs, id_col, text_col, min_chars)
+    facts = written(line_table(lines), "lines")
+    near = near_lines(lines, facts, docs, id_col, text_col).select("h").withColumn("is_near", F.lit(True))
+    judged = (facts.select(*PLACE, "g", "c").join(near, "h", "left").where("c > 1 or is_near")
                    .select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"),
                            F.coalesce("is_near", F.lit(False)).alias("is_near")))
-    at = (split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
-          .select("doc", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g")))
+    at = lines.select("doc", "pos", "h", F.xxhash64(F.lit("second"), "line").alias("g"))
     gone = (at.join(judged, (F.col("h") == F.col("j_h")) & (F.col("g") == F.col("j_g")))
               .where("is_near or doc <> f_doc or pos <> f_pos"))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
@@ -167,14 +182,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         raise ValueError("judged lines need 12 characters at least")
     drop = written(removed_positions(docs, id_col, text_col, min_chars), "line-drops")
     drop = small(drop, BROADCAST_ROWS)
-    parts = F.split(F.col(text_col), "\n")
+    # a column of its own: it is split once a row, not once a run
+    parts = F.col("_parts")
     # runs of kept lines lie between the removed positions: linear in the lines, whatever their number
-    stops = F.concat(F.array(F.lit(-1)), F.col("drop"), F.array(F.size(parts)))
+    stops = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size(parts)))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(stops) - 1), lambda i: F.slice(
         parts, F.element_at(stops, i) + 2, F.element_at(stops, i + 1) - F.element_at(stops, i) - 1)))
-    joined = docs.join(drop, F.col(id_col) == F.col("doc"), "left")
+    joined = (docs.join(drop.withColumnRenamed("drop", "_drop").withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left")
+                  .withColumn("_parts", F.split(F.col(text_col), "\n")))
     return joined.select(
-        *[F.col(c) if c != text_col else F.when(F.col("drop").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c)
+        *[F.col(c) if c != text_col else F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c)
           for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
