@@ -22,8 +22,8 @@ two and whose letter counts, some in the whole line, some in its first and
 last half, differ by at most four together; both are necessary and are tested
 inside the join.  A
 line needs only one earlier partner: each is first compared with the earliest
-line of its keys, and only lines that this does not settle are joined with all
-earlier sharers, so groups of similar lines do not emit their pairs.  The
+and the most frequent line of its keys, and only lines that these do not
+settle are joined with all earlier sharers, so groups of similar lines do not emit their pairs.  The
 joins are on the substring's hash and AQE splits skewed ones.  Lines of
 candidate pairs are then fetched and verified with the built-in banded
 ``levenshtein(a, b, threshold)``.
@@ -78,37 +78,37 @@ def _bytes_apart(a: Column, b: Column) -> Column:
 
 
 def judged_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(doc, pos, line, h) of the lines that are judged."""
     return split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
-def substring_keys(lines: DataFrame) -> DataFrame:
-    """(key, h): the index and probe substrings of every line."""
-    n = F.length("line")
+def with_keys(lines: DataFrame) -> DataFrame:
+    """Lines without their texts: (doc, pos, h, g, n, keys), g a second hash
+    and keys the hashes of the index and probe substrings."""
+    line, n = F.col("line"), F.length("line")
     band = _band(n)
     below = F.when(band <= 64, band - 4).otherwise(band - 16)
-    one = lines.select("h", "line", F.explode(F.when(n - band < MAX_EDITS, F.array(band, below)).otherwise(F.array(band))).alias("b"))
-    one = one.withColumn("a", F.floor(F.col("b") / 3).cast("int"))
-    key = lambda no, x: F.xxhash64("b", F.lit(no), x)
-    line, a = F.col("line"), F.col("a")
-    return one.select(F.explode(F.array(
-        key(1, F.substring(line, F.lit(1), a)), key(2, F.substring(line, a + 1, a)), key(2, F.substring(line, a, a)),
-        key(2, F.substring(line, a + 2, a)), key(3, F.right(line, a)))).alias("key"), "h")
-
-
-def line_table(lines: DataFrame) -> DataFrame:
-    """One row for each distinct line h: second hash g, first place (doc, pos),
-    number of places c, length n and letter counts."""
+
+    def cut(b: Column) -> Column:
+        a = F.floor(b / 3).cast("int")
+        key = lambda no, x: F.xxhash64(b, F.lit(no), x)
+        return F.array(key(1, F.substring(line, F.lit(1), a)), key(2, F.substring(line, a + 1, a)), key(2, F.substring(line, a, a)),
+                       key(2, F.substring(line, a + 2, a)), key(3, F.right(line, a)))
+
+    keys = F.when(n - band < MAX_EDITS, F.concat(cut(band), cut(below))).otherwise(cut(band))
+    return lines.select("doc", "pos", "h", F.xxhash64(F.lit("second"), "line").alias("g"), n.cast("int").alias("n"),
+                        F.array_distinct(keys).alias("keys"))
+
+
+def letter_counts(lines: DataFrame) -> DataFrame:
+    """(h, whole, half, halves) of the distinct lines."""
     line, n = F.col("line"), F.length("line")
-    # halves of one length for all lines of a band and of the bands next to it: the
-    # longest that fits the shortest of them
+    # halves of one length for most lines of a band and of the bands next to it
     half = F.floor((F.when(n < 64, n - n % 4 - 4).when(n < 80, 60).otherwise(n - n % 16 - 16)) / 2).cast("int")
-    low = F.floor(half / 8).cast("int") * 8
-    cols = lines.select("h", "doc", "pos", F.xxhash64(F.lit("second"), "line").alias("g"), n.cast("int").alias("n"),
-                        _counts([(line, ALSO_COUNTED)]).alias("whole"), low.alias("half"), line)
-    cols = cols.withColumn("halves", _counts([(F.substring(line, F.lit(1), F.col("half")), COUNTED), (F.right(line, F.col("half")), COUNTED)]))
-    return cols.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"),
-                                 *[F.first(x).alias(x) for x in ("g", "n", "whole", "half", "halves")]).select(
-        "h", "g", "f.doc", "f.pos", "c", "n", "whole", "half", "halves")
+    one = (lines.groupBy("h").agg(F.first("line").alias("line"))
+                .withColumn("half", F.floor(half / 8).cast("int") * 8))
+    return one.select("h", _counts([(line, ALSO_COUNTED)]).alias("whole"), "half", _counts(
+        [(F.substring(line, F.lit(1), F.col("half")), COUNTED), (F.right(line, F.col("half")), COUNTED)]).alias("halves"))
 
 
 PLACE = ("doc", "pos", "h")
@@ -137,20 +137,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                  .select(*[F.col("y_" + c).alias(c) for c in PLACE]).distinct())
 
 
-def near_lines(lines: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_lines(lines: DataFrame, keyed: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Places of the distinct lines that have an earlier line within the edits.
 
     Keys that only one line has are dropped first, before anything but hashes
-    is moved.  Then every line is compared with the earliest line of each of
-    its keys, which settles groups of similar lines without pairing them, and
-    the lines that are not settled with all earlier sharers of their keys."""
-    keys = substring_keys(lines)
+    is moved.  Then every line is compared with the earliest and with the most
+    frequent line of each of its keys, which settles groups of similar lines
+    without pairing them, and the lines that are not settled with all earlier
+    sharers of their keys."""
+    keys = keyed.select(F.explode("keys").alias("key"), "h")
     live = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    sharers = keys.join(live, "key").distinct()
-    y = written(sharers.join(facts.select(*FACTS), "h").select("key", *FACTS), "line-keys")
-    head = y.groupBy(F.col("key").alias("x_key")).agg(F.min(F.struct(*FACTS)).alias("m")).select(
+    sharers = written(keys.join(live, "key").distinct(), "line-keys")
+    texts = lines.select("h", "line").join(small(sharers.select(F.col("h").alias("want")).distinct(), BROADCAST_ROWS),
+                                           F.col("h") == F.col("want"), "left_semi")
+    y = written(sharers.join(facts.join(letter_counts(texts), "h").select(*FACTS, "c"), "h").select("key", *FACTS, "c"), "line-keys")
+    one = F.struct(*FACTS)
+    head = y.groupBy(F.col("key").alias("x_key")).agg(F.min(one).alias("m"), F.max(F.struct("c", one.alias("m")))["m"].alias("k"))
+    head = head.select("x_key", F.explode(F.array_distinct(F.array("m", "k"))).alias("m")).select(
         "x_key", *[F.col(f"m.{c}").alias("x_" + c) for c in FACTS])
-    y = y.select(*[F.col(c).alias("y_" + c) for c in y.columns])
+    y = y.drop("c").select(*[F.col(c).alias("y_" + c) for c in ("key", *FACTS)])
     pair = ["x_" + c for c in PLACE] + ["y_" + c for c in PLACE]
     first = written(head.join(y, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct(), "line-pairs")
     near = written(_verified(first, docs, id_col, text_col), "line-near")
@@ -165,14 +170,16 @@ def near_lines(lines: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str,
 def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """(doc, drop): the positions of the removed lines of each document that has some."""
     lines = judged_lines(docs, id_col, text_col, min_chars)
-    facts = written(line_table(lines), "lines")
-    near = near_lines(lines, facts, docs, id_col, text_col).select("h").withColumn("is_near", F.lit(True))
-    judged = (facts.select(*PLACE, "g", "c").join(near, "h", "left").where("c > 1 or is_near")
+    keyed = written(with_keys(lines), "lines")
+    facts = (keyed.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"),
+                                    F.first("g").alias("g"), F.first("n").alias("n"))
+                  .select("h", "g", "f.doc", "f.pos", "c", "n"))
+    near = near_lines(lines, keyed, facts, docs, id_col, text_col).select("h").withColumn("is_near", F.lit(True))
+    judged = (facts.join(near, "h", "left").where("c > 1 or is_near")
                    .select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"),
                            F.coalesce("is_near", F.lit(False)).alias("is_near")))
-    at = lines.select("doc", "pos", "h", F.xxhash64(F.lit("second"), "line").alias("g"))
-    gone = (at.join(judged, (F.col("h") == F.col("j_h")) & (F.col("g") == F.col("j_g")))
-              .where("is_near or doc <> f_doc or pos <> f_pos"))
+    gone = (keyed.select("doc", "pos", "h", "g").join(judged, (F.col("h") == F.col("j_h")) & (F.col("g") == F.col("j_g")))
+                 .where("is_near or doc <> f_doc or pos <> f_pos"))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
