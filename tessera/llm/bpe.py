@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import CHUNK_BYTES, U64, inverse, lean, mix, powers, runs, text_buffer
 
-REMEMBER = 300_000
+REMEMBER = 200_000
 _BASE = 0xD1342543DE82EF95
 _STEP = 0x9E3779B97F4A7C15
 
@@ -114,31 +114,35 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of one pre-token: merge the lowest-ranked adjacent pair (leftmost
     of equals) until none is in the vocabulary."""
     n = len(piece)
+    bits = n.bit_length()
+    low = (1 << bits) - 1
     nxt = list(range(1, n + 1))
     prv = list(range(-1, n - 1))
     get = ranks.get
-    pair = [get(piece[i:i + 2], -1) for i in range(n - 1)]
-    pair.append(-1)
-    heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+    pair = [get(piece[i:i + 2]) for i in range(n - 1)]
+    pair.append(None)
+    heap = [r << bits | i for i, r in enumerate(pair) if r is not None]
     heapify(heap)
     while heap:
-        r, i = divmod(heappop(heap), n)
-        if pair[i] != r:
+        r = heappop(heap)
+        i = r & low
+        if pair[i] != r >> bits:   # a neighbour was merged meanwhile
             continue
         j = nxt[i]
         k = nxt[i] = nxt[j]
-        pair[j] = pair[i] = -1
+        pair[j] = None
         if k < n:
             prv[k] = i
-            r = get(piece[i:nxt[k]], -1)
-            if r >= 0:
-                pair[i] = r
-                heappush(heap, r * n + i)
-        p = prv[i]
-        if p >= 0:
-            r = pair[p] = get(piece[p:k], -1)
-            if r >= 0:
-                heappush(heap, r * n + p)
+            r = pair[i] = get(piece[i:nxt[k]])
+            if r is not None:
+                heappush(heap, r << bits | i)
+        else:
+            pair[i] = None
+        i = prv[i]
+        if i >= 0:
+            r = pair[i] = get(piece[i:k])
+            if r is not None:
+                heappush(heap, r << bits | i)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:nxt[i]]])
@@ -154,6 +158,7 @@ class Coder:
         self.ranks = {t: i for i, t in enumerate(vocab.tokens)}
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
         items = list(words)
@@ -173,10 +178,14 @@ class Coder:
         words = self.find(text)
         new = set(words).difference(self.known)
         if new:
-            if len(self.known) > REMEMBER:
-                self.known = {}
+            if len(self.known) > REMEMBER:   # the words of late stay within reach
+                self.older, self.known = self.known, {}
                 new = set(words)
-            self.learn(new)
+            for w in new.intersection(self.older):
+                self.known[w] = self.older[w]
+            new.difference_update(self.known)
+            if new:
+                self.learn(new)
         return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
     def decode(self, ids) -> bytes:
