@@ -159,6 +159,15 @@ def word_runs(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> I
         yield a, b, Words(data[off[a]:off[b]], off[a:b + 1] - off[a], lower)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):   # another C library
+        pass
+
+
 def lean(work):
     """Wrap a task's batch generator: the memory it has freed goes back to the
     system when the task ends, as Python workers outlive their tasks."""
@@ -167,11 +176,7 @@ def lean(work):
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):   # another C library
-                pass
+            give_back()
     return run
 
 

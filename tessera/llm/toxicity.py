@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, inverse, lean, mix, powers, small, text_buffer, word_runs
+from .common import U64, Words, give_back, inverse, lean, mix, powers, small, text_buffer, word_runs
 
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 2
 SIZES = (3, 4, 5, 6)
-FIT_ROWS = (1200, 600)     # clean and toxic documents to fit on at most
-FIT_CHARS = 20_000
+FIT_ROWS = (1000, 500)     # clean and toxic documents to fit on at most
+FIT_CHARS = 12_000
 DECAY = 1e-6
 _BASE = 0xC2B2AE3D27D4EB4F
 
@@ -58,12 +58,13 @@ def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     back = powers(inverse(_BASE), len(marked) + 1)
     word = np.repeat(np.arange(n), size)
     left = end[word] - np.arange(len(marked)) if n else word
-    hashes, owners = [mix((total[end] - total[begin]) * back[begin] + U64(99))], [np.arange(n)]
+    slot = lambda h: (mix(h) % U64(BUCKETS)).astype(np.int32)
+    slots, owners = [slot((total[end] - total[begin]) * back[begin] + U64(99))], [np.arange(n, dtype=np.int32)]
     for k in SIZES:
         p = np.flatnonzero(left >= k)
-        hashes.append(mix((total[p + k] - total[p]) * back[p] + U64(k)))
-        owners.append(word[p])
-    return (np.concatenate(hashes) % U64(BUCKETS)).astype(np.int32), np.concatenate(owners)
+        slots.append(slot((total[p + k] - total[p]) * back[p] + U64(k)))
+        owners.append(word[p].astype(np.int32))
+    return np.concatenate(slots), np.concatenate(owners)
 
 
 def window_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_RO
         few = known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(2 * fit_rows[y])
         rows += (texts.join(small(few), F.col("id") == F.col("l_id"))
                       .orderBy(F.xxhash64("id"), "id", "text").limit(fit_rows[y]).select("text", "y").collect())
-    return fit([r["text"] for r in rows], np.array([r["y"] > 0 for r in rows], bool))
+    model = fit([r["text"] for r in rows], np.array([r["y"] > 0 for r in rows], bool))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
