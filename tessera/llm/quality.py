@@ -6,8 +6,11 @@ labeller casts each vote on good and on junk documents; it needs only the
 number of documents for each combination of votes, which is one aggregation
 over all documents (at most 3 ** labellers rows).  The posterior of a
 combination labels its documents, and a hashed linear scorer (logistic, soft
-labels) learns these labels from ``fit_rows`` documents at most, taken by the
-smallest hash of their text.  The scorer then scores every whole document.
+labels) learns these labels from ``fit_rows`` documents at most: of those with a
+posterior below 0.5 and of the others apart, the ones with the smallest hashes
+of their text.  The scorer then scores every whole document.  If one side has
+fewer than ``LEAST_ROWS`` different texts there is nothing to learn it from, and
+the posterior of a document's votes is its score.
 
 Labellers look at the share of symbols, capitals, words that repeat the word
 before, repeated word triples, words without letters or digits, and at
@@ -29,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, lean, mix, runs, text_buffer, word_runs
+from .common import U64, Words, lean, mix, runs, text_buffer, word_runs, written
 
 DIM = 1 << 12
 FIT_ROWS = 4_000
+LEAST_ROWS = 50           # different texts that the scorer needs of either side
 
 # character classes: lower, capital, digit, space, line feed, sentence marks, symbols, beyond ASCII
 _CLASS = np.full(256, 6, np.uint8)
@@ -122,7 +126,9 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, labellers: int, roun
 
     Starts from the majority of votes; a labeller's junk votes stay likelier
     on junk than on good documents (and good votes the other way round), so
-    the classes cannot swap."""
+    the classes cannot swap.  An abstention is no junk vote: combinations
+    without one stay at 0.95 or more, else the junk class of a corpus with
+    next to no junk would drift to the clean documents with abstentions."""
     v = (patterns[:, None] // 3 ** np.arange(labellers)) % 3
     junk, good = (v == 1).sum(axis=1), (v == 2).sum(axis=1)
     post = np.where(junk == 0, 0.95, np.where(junk * 2 >= good, 0.05, 0.3))
@@ -139,7 +145,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, labellers: int, roun
         prior = np.clip((post * counts).sum() / counts.sum(), 0.01, 0.99)
         log = [np.log(p) + sum(np.log(table[y, j, v[:, j]]) for j in range(labellers))
                for y, p in enumerate((1 - prior, prior))]
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        new = np.maximum(1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))), np.where(junk == 0, 0.95, 0.0))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
@@ -147,10 +153,14 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, labellers: int, roun
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Logistic weights (bias last) on soft labels, both classes weighted alike, by Adam."""
+    """Logistic weights (bias last) on soft labels by Adam; the rows below 0.5
+    and the others weigh alike, so what is left to junk of many nearly certain
+    good rows does not stand in for junk."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    pos, neg = y / max(y.sum(), 1e-9), (1 - y) / max((1 - y).sum(), 1e-9)
+    side = y < 0.5
+    each = np.where(side, 1 / max(side.sum(), 1), 1 / max((~side).sum(), 1))
+    pos, neg = each * y, each * (1 - y)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -50, 50)))
         g = x.T @ ((neg * p - pos * (1 - p)) / 2).astype(np.float32) + decay * w
@@ -170,51 +180,61 @@ def _slices(col: pa.Array, limit: int = 256) -> Iterator[tuple[int, Words, np.nd
 
 
 def vote_patterns(docs: DataFrame, text_col: str) -> DataFrame:
-    """(pattern) of every document that has words."""
+    """(pattern, h) of every document that has words, h the hash of its text."""
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in word_runs(batch.column(0)):
-                p = pattern(votes(statistics(words, b - a)))[np.diff(words.first) > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(p)], names=["pattern"])
+                has = np.diff(words.first) > 0
+                p = pattern(votes(statistics(words, b - a)))[has]
+                yield pa.RecordBatch.from_arrays([pa.array(p), batch.column(1).slice(a, b - a).filter(pa.array(has))], names=["pattern", "h"])
 
-    return docs.select(text_col).mapInArrow(work, "pattern long")
+    return docs.select(text_col, F.xxhash64(text_col).alias("h")).mapInArrow(work, "pattern long, h long")
 
 
 def classify(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS, score_col: str = "quality_score") -> DataFrame:
     """The documents' columns and the score (0 to 1, higher: better; below 0.5: rejected)."""
     spark = docs.sparkSession
     k = len(LABELLERS)
-    counted = sorted((r[0], r[1]) for r in vote_patterns(docs, text_col).groupBy("pattern").count().collect())  # 3 ** k rows at most
+    voted = written(vote_patterns(docs, text_col), "votes")
+    counted = sorted((r[0], r[1]) for r in voted.groupBy("pattern").count().collect())  # 3 ** k rows at most
     seen = np.array([r[0] for r in counted], np.int64)
     post = fit_labellers(seen, np.array([r[1] for r in counted], float), k) if counted else np.zeros(0)
-    weights = np.zeros(DIM + 1)
-    weights[-1] = 1.0
-    if len(post) and post.min() < 0.5 < post.max():
-        weights = _fit(docs, text_col, seen, post, fit_rows)
-    shared = spark.sparkContext.broadcast(weights)
+    posterior = dict(zip(seen.tolist(), post.tolist()))
+    shared = spark.sparkContext.broadcast((posterior, _fit(docs, text_col, voted, posterior, fit_rows)))
 
     @lean
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        w = shared.value
+        known, w = shared.value
         for col in batches:
             score = np.zeros(len(col))
             for at, sub, off in _slices(col):
-                x = inputs(sub, len(off) - 1, statistics(sub, len(off) - 1), off)
-                z = x @ w[:-1].astype(np.float32) + w[-1]
-                score[at:at + len(z)] = np.where(np.diff(sub.first) > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
+                stats = statistics(sub, len(off) - 1)
+                if w is None:
+                    s = np.array([known.get(i, 1.0) for i in pattern(votes(stats)).tolist()])
+                else:
+                    z = inputs(sub, len(off) - 1, stats, off) @ w[:-1].astype(np.float32) + w[-1]
+                    s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+                score[at:at + len(s)] = np.where(np.diff(sub.first) > 0, s, 0.0)
             yield pa.array(score)
 
     # not deterministic to the optimizer: a filter on the score must not compute it twice
     return docs.withColumn(score_col, F.arrow_udf(work, T.DoubleType()).asNondeterministic()(text_col))
 
 
-def _fit(docs: DataFrame, text_col: str, seen: np.ndarray, post: np.ndarray, fit_rows: int) -> np.ndarray:
-    """Weights from the documents with the smallest text hashes; only their hashed inputs reach the driver."""
-    h = F.xxhash64(text_col)
-    few = docs.where(F.col(text_col).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(fit_rows)
-    edge = few.agg(F.max("h")).first()[0]
-    posterior = dict(zip(seen.tolist(), post.tolist()))
+def _fit(docs: DataFrame, text_col: str, voted: DataFrame, posterior: dict[int, float], fit_rows: int) -> np.ndarray | None:
+    """Weights from the documents with the smallest text hashes of either side,
+    or None if a side is too small; only their hashed inputs reach the driver."""
+    sides = [[p for p, y in posterior.items() if (y < 0.5) == junk] for junk in (True, False)]
+    if not all(sides):
+        return None
+    junk, good = ([r["h"] for r in voted.where(F.col("pattern").isin(side)).select("h").distinct().orderBy("h").limit(fit_rows).collect()]
+                  for side in sides)
+    if min(len(junk), len(good)) < LEAST_ROWS:
+        return None
+    # half of each, or more of one if the other has less
+    junk = junk[:max(fit_rows // 2, fit_rows - len(good))]
+    few = docs.sparkSession.createDataFrame([(h,) for h in junk + good[:fit_rows - len(junk)]], "h long")
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +251,8 @@ def _fit(docs: DataFrame, text_col: str, seen: np.ndarray, post: np.ndarray, fit
                      pa.array([x[i][s].tobytes() for i, s in zip(has, slots)], pa.binary())],
                     names=["y", "slot", "value"])
 
-    sample = docs.where(F.col(text_col).isNotNull() & (h <= F.lit(edge))).select(text_col).dropDuplicates([text_col])
+    sample = (docs.select(text_col, F.xxhash64(text_col).alias("h")).join(F.broadcast(few), "h", "left_semi")
+                  .select(text_col).dropDuplicates([text_col]))
     rows = sample.mapInArrow(work, "y double, slot binary, value binary").collect()
     slots = [np.frombuffer(r["slot"], np.int32) for r in rows]
     used = np.unique(np.concatenate(slots)) if slots else np.zeros(0, np.int32)

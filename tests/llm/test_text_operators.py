@@ -285,6 +285,38 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert [got[i] for i, t in rows if not (t or "").strip()] == [0.0] * 3
 
 
+def test_quality_with_one_junk_document(spark):
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("abcdefghilmnoprstu"), int(rng.integers(2, 9)))) for _ in range(500)]
+    rows = []
+    for i in range(6000):
+        w = [vocab[int(j)] for j in rng.integers(0, 500, int(rng.integers(40, 60)))]
+        kind = rng.random()
+        for at in rng.choice(len(w), 5, replace=False):   # a labeller abstains on some clean documents
+            if kind < .05:
+                w[at] += "%"
+            elif kind < .1:
+                w[at] = "--"
+        if .1 < kind < .15:
+            w = [x.upper() if rng.random() < .25 else x for x in w]
+        rows.append((i, " ".join(w)))
+    rows.append((6000, " ".join(w + "###" for w in vocab[:50])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["quality_score"] for r in quality.classify(docs).collect()}
+    assert got[6000] < 0.5
+    assert [i for i in range(6000) if got[i] < 0.5] == []
+
+
+def test_scorer_weighs_sides_not_leftovers():
+    # one input tells abstentions, one junk; nearly certain good rows leave more to junk than the few junk rows have
+    x = np.zeros((2000, 2), np.float32)
+    x[:200, 0], x[1980:, 1] = 1, 1
+    y = np.where(x[:, 1] > 0, 0.01, np.where(x[:, 0] > 0, 0.8, 0.999))
+    w = quality.fit_scorer(x, y)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert (p[:1980] > 0.5).all() and (p[1980:] < 0.5).all()
+
+
 def test_labelled_accuracy(spark, sf001):
     docs, labels = (spark.read.parquet(f"{sf001}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs).join(labels, "doc_id").select("quality_score", "quality").collect()
