@@ -13,10 +13,10 @@ distance regime", 2016): a walk reads 3 L symbols and moves on by a random bit
 of (step, word), so that after an edit two walks soon meet again and edit
 distance becomes Hamming distance.  Bit-sampling LSH takes ``sample`` random
 positions of a walk; a window is a candidate for its item if one of the
-repetitions agrees in all of them.  The number of repetitions is set so that
-an item with the most edits allowed is found with ``target_recall`` for each
-window; it is calculated from the agreement of walks measured on the items
-themselves.  Candidates are verified exactly with bit-parallel approximate
+repetitions agrees in all of them.  The number of repetitions is set for each
+band of items with similar lengths and edits so that an item with the most edits
+allowed is found with ``target_recall`` for each window; it is calculated from
+the agreement of walks measured on all items of the band.  Candidates are verified exactly with bit-parallel approximate
 matching on the window widened by t words on either side.
 
 Everything runs where the document is read: no shuffle, and a long document is
@@ -91,32 +91,51 @@ class Items:
                              np.array([r[2] for r in rows]))
         steps = 3 * int(self.size.max(initial=1))
         self.walks = [walk(sym, w.first[:-1], self.size, steps, k) for k in range(WALKS)]
-        agree = self._agreement(sym, w.first[:-1])
-        p = max(agree ** sample, 1e-4)
-        self.reps = max(WALKS, math.ceil(math.log(1 - target_recall) / math.log(1 - p))) if p < 1 else WALKS
-        self.at = np.random.default_rng(11).random((self.reps, sample))
+        self.reps = self._repetitions(sym, w.first[:-1], target_recall)
+        self.at = np.random.default_rng(11).random((int(self.reps.max(initial=WALKS)), sample))
 
-    def _agreement(self, sym: np.ndarray, first: np.ndarray) -> float:
-        """Fraction of walk positions that still agree after the most edits
-        allowed: the lower decile over edited copies of (at most 200) items."""
-        rng, got = np.random.default_rng(7), []
-        for i in range(min(200, len(self.ids))):
-            n, t = int(self.size[i]), int(self.edits[i])
-            x = sym[first[i]:first[i] + n].tolist()
-            for _ in range(t):
-                at, kind = int(rng.integers(0, len(x) + 1)), int(rng.integers(3))
-                fresh = int(rng.integers(1, 1 << 62))
-                if kind == 0:
-                    x.insert(at, fresh)
-                elif at < len(x) and kind == 1 and len(x) > 1:
-                    del x[at]
-                elif at < len(x):
-                    x[at] = fresh
-            x = np.array(x[:n], np.uint64)
+    def _repetitions(self, sym: np.ndarray, first: np.ndarray, target_recall: float) -> np.ndarray:
+        """Repetitions of each item: by the lower decile of the agreement in its
+        band, items of the same edits (from eight on: of the same quarter of a
+        power of two) and the same half of a power of two of words."""
+        edits = np.where(self.edits < 8, self.edits, 8 + (4 * np.log2(np.maximum(self.edits, 8))).astype(np.int64))
+        band = edits * 1000 + (2 * np.log2(np.maximum(self.size, 1))).astype(np.int64)
+        rng, reps = np.random.default_rng(7), np.full(len(self.size), WALKS)
+        for b in np.unique(band[self.edits > 0]):
+            items = np.flatnonzero(band == b)
+            agree = max(float(np.quantile(self._agreement(sym, first, items, rng), 0.1)) ** self.sample, 1e-4)
+            if agree < 1:
+                reps[items] = max(WALKS, math.ceil(math.log(1 - target_recall) / math.log(1 - agree)))
+        return reps
+
+    def _agreement(self, sym: np.ndarray, first: np.ndarray, items: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Fractions of walk positions that still agree after the most edits
+        allowed, for each walk of edited copies of the items: one copy of each, and
+        50 of the band altogether as far as these have at most 100,000 words."""
+        words = int(self.size[items].sum())
+        copies = max(1, min(-(-50 // len(items)), 100_000 // words))
+        got = []
+        for i in np.repeat(items, copies).tolist():
+            n, t = int(self.size[i]), int(min(self.edits[i], self.size[i]))
+            at, kind = rng.choice(n, t, replace=False), rng.integers(0, 3, t)     # insert before, delete, replace
+            times = np.ones(n, np.int64)
+            times[at[kind == 0]], times[at[kind == 1]] = 2, 0
+            begin = np.cumsum(times) - times
+            x = np.repeat(sym[first[i]:first[i] + n], times)
+            fresh = begin[at[kind != 1]]
+            x[fresh] = rng.integers(1, 1 << 62, len(fresh)).astype(np.uint64)
+            got.append((i, x[:n]))
+        out = []
+        for lo in range(0, len(got), 256):      # a band's lengths are alike
+            part = got[lo:lo + 256]
+            of, size = np.array([i for i, _ in part]), np.array([len(x) for _, x in part])
+            copy, begin = np.concatenate([x for _, x in part]), np.cumsum(size) - size
+            span = 3 * self.size[of]
             for k in range(WALKS):
-                e = walk(x, np.array([0]), np.array([len(x)]), 3 * n, k)[0]
-                got.append((e == self.walks[k][i, :3 * n]).mean())
-        return float(np.quantile(got, 0.1)) if got else 1.0
+                e = walk(copy, begin, size, int(span.max()), k)
+                same = e == self.walks[k][of, :e.shape[1]]
+                out.append((same & (np.arange(e.shape[1]) < span[:, None])).sum(axis=1) / span)
+        return np.concatenate(out)
 
 
 def best_match(item: list[int], text: list[int]) -> int:
@@ -181,8 +200,8 @@ def find(words: Words, items: Items) -> dict[int, dict[int, int]]:
         span = 3 * items.size[item]
         for k in range(WALKS):
             e = walk(sym, start, size, int(span.max()), k)
-            for r in range(k, items.reps, WALKS):
-                same = ~near
+            for r in range(k, int(items.reps[item].max()), WALKS):
+                same = ~near & (items.reps[item] > r)
                 for u in items.at[r]:
                     col = (u * span).astype(np.int64)
                     same &= e[np.arange(len(start)), col] == items.walks[k][item, col]

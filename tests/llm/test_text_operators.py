@@ -250,6 +250,25 @@ def test_leaks_against_brute_force(spark):
     assert want > 60 and found >= 0.97 * want
 
 
+def test_long_leaks_behind_many_short_items(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"word{j}" for j in range(3000)]
+    make = lambda n: [vocab[int(j)] for j in rng.integers(0, 3000, n)]
+    items = [(i, make(3)) for i in range(300)] + [(1000 + i, make(int(rng.integers(50, 250)))) for i in range(60)]
+    rows = []
+    for d in range(240):
+        x = list(items[300 + d % 60][1])
+        for _ in range(int(0.2 * len(x) + 1e-9)):
+            at, kind = int(rng.integers(len(x))), int(rng.integers(3))
+            x[at:at + (kind > 0)] = [] if kind == 1 else ["new"]
+        rows.append((d, " ".join(make(30) + x + make(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in decontaminate.decontaminate(docs, bench).collect()}
+    found = [1000 + d % 60 in got[d] for d in range(240)]
+    assert np.mean(found) >= 0.99
+
+
 def test_best_match_is_edit_distance_to_a_passage():
     rng = np.random.default_rng(2)
     for _ in range(200):
