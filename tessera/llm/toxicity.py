@@ -8,12 +8,14 @@ by its largest window logits, so a few toxic words are not diluted in a long
 text.  Misspellings share most n-grams with the word they come from.
 
 Vectors and softmax are trained together in numpy by full-batch Adam on at
-most ``fit_rows`` clean and toxic documents (smallest hashes of the id; texts of
-at most ``FIT_CHARS`` characters, both bounds for fitting only).  The label belongs
+most ``fit_rows`` clean and toxic documents of any length (smallest hashes of the
+id); of a text of more than ``FIT_BYTES`` bytes a hash sample of its windows of
+about that size.  Both are bounds for fitting only.  The label belongs
 to the document, not to the window, so after a first pass only the windows
 that stand out from all clean ones, and each toxic document's best, stay
 positive.  The largest logits, the share of toxic windows and the length
-become the score by logistic regression on the fitted documents.  With two classes the averaged vectors enter the softmax only by
+become the score by logistic regression on the fitted documents, with all their
+windows, whose inputs are calculated in tasks.  With two classes the averaged vectors enter the softmax only by
 their projection on the difference of its columns, so a task scores with one
 number for each bucket.
 
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, give_back, inverse, lean, mix, powers, small, text_buffer, word_runs
+from .common import U64, Words, give_back, inverse, lean, mix, powers, text_buffer, word_runs, written
 
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 2
 SIZES = (3, 4, 5, 6)
 FIT_ROWS = (1000, 500)     # clean and toxic documents to fit on at most
-FIT_CHARS = 12_000
+FIT_BYTES = 12_000
 DECAY = 1e-6
 _BASE = 0xC2B2AE3D27D4EB4F
 
@@ -118,7 +120,7 @@ def _sigmoid(z):
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (30, 30, 30), rate: float = 0.2) -> Model:
-    """Train vectors and softmax, then the last layer, on labelled texts."""
+    """Train vectors and softmax on labelled texts; the last layer is left to ``finish``."""
     model = Model()
     if not len(texts) or toxic.all() or not toxic.any():
         return model
@@ -158,7 +160,13 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (30, 30,
             weight = np.where(label == 0, 1.0, ((z >= clear) | (z >= best)).astype(float))
     model.value[used] = vec @ soft
     model.bias, model.low = float(bias), float(z.min())
-    x = features(z, row, len(texts), model.low)
+    return model
+
+
+def finish(model: Model, x: np.ndarray, toxic: np.ndarray) -> Model:
+    """Train the last layer on the inputs of whole documents."""
+    if not len(x) or toxic.all() or not toxic.any():
+        return model
     model.mid, model.width = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.last = _logistic((x - model.mid) / model.width, toxic.astype(float))
     return model
@@ -182,21 +190,67 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sampled(data: bytes) -> str:
+    """The text, or of a longer one than ``FIT_BYTES`` the windows with the smallest
+    hashes of their words and place, in order, of that size together (one at
+    least, cut there)."""
+    if len(data) <= FIT_BYTES:
+        return data.decode()
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=True)
+    win, row = window_of(words)
+    if not len(row):
+        return ""
+    first = np.arange(len(row)) * WINDOW
+    last = np.minimum(first + WINDOW, len(words)) - 1
+    size = np.bincount(win, words.end - words.start + 1).astype(np.int64)
+    o = np.argsort(mix(words.hashes()[first] + mix(words.hashes(1)[last] + np.arange(len(row)).astype(np.uint64))), kind="stable")
+    some = np.sort(o[:max(1, int(np.searchsorted(np.cumsum(size[o]), FIT_BYTES, "right")))])
+    at = (some[:, None] * WINDOW + np.arange(WINDOW)).ravel()
+    at = at[at < len(words)]
+    return b" ".join(data[i:j] for i, j in zip(words.start[at].tolist(), words.end[at].tolist()))[:FIT_BYTES].decode(errors="ignore")
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-                   .groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).alias("y")))
-    texts = (docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= FIT_CHARS))
-                 .select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows: list = []
-    for y in (0, 1):
-        # smallest hashes of the ids; some more than needed, as an id may have no short text
-        few = known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(2 * fit_rows[y])
-        rows += (texts.join(small(few), F.col("id") == F.col("l_id"))
-                      .orderBy(F.xxhash64("id"), "id", "text").limit(fit_rows[y]).select("text", "y").collect())
-    model = fit([r["text"] for r in rows], np.array([r["y"] > 0 for r in rows], bool))
+                   .groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).alias("y"))
+                   .join(texts.select("id").distinct(), F.col("l_id") == F.col("id"), "left_semi"))
+    known = written(known, "toxic-labels")
+    # smallest hashes of the ids that have a text; at most fit_rows of either class
+    few = [known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(fit_rows[y]) for y in (0, 1)]
+    own = texts.join(F.broadcast(few[0].unionByName(few[1])), F.col("id") == F.col("l_id"))
+    chosen = written(own.select("text", "y", F.xxhash64("id").alias("h"), "id", F.xxhash64("text").alias("t")), "toxic-fit")
+
+    def rows(work, kind: str) -> list:
+        """Of either class at most fit_rows rows, in the same order each time (an id may repeat)."""
+        out = chosen.mapInArrow(lean(work), f"x {kind}, y int, h long, id string, t long")
+        return [r for y in (0, 1) for r in out.where(F.col("y") == y).orderBy("h", "id", "t").limit(fit_rows[y]).select("x", "y").collect()]
+
+    def rest(batch: pa.RecordBatch, x: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [x, batch.column(1).cast(pa.int32()), batch.column(2), batch.column(3).cast(pa.string()), batch.column(4)],
+            names=["x", "y", "h", "id", "t"])
+
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rest(batch, pa.array([sampled(t.encode()) for t in batch.column(0).to_pylist()], pa.string()))
+
+    got = rows(samples, "string")
+    toxic = np.array([r["y"] > 0 for r in got], bool)
+    model = fit([r["x"] for r in got], toxic)
+    del got
     give_back()
-    return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [features(*shared.value.windows(words), b - a, shared.value.low) for a, b, words in word_runs(batch.column(0), lower=True)]
+            x = np.concatenate(parts) if parts else np.zeros((0, TOP + 2))
+            yield rest(batch, pa.array(x.tolist(), pa.list_(pa.float64())))
+
+    got = rows(inputs, "array<double>")
+    return finish(model, np.array([r["x"] for r in got]), np.array([r["y"] > 0 for r in got], bool))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

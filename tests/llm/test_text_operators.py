@@ -388,6 +388,25 @@ def test_toxicity_finds_words_and_misspellings(spark):
     assert len(out) > 50 and np.mean([(scored[i] >= 0.5) == bool(y) for i, _, y in rows if i in out]) > 0.93
 
 
+def test_toxicity_learns_from_long_documents(spark):
+    rng = np.random.default_rng(16)
+    words = ["".join(rng.choice(list("aeioulnrstm"), int(rng.integers(3, 8)))) for _ in range(800)]
+    bad = ["grobianke", "schuftwort", "vilekind", "zankbold"]
+    rows = []
+    for i in range(240):
+        w = [words[int(j)] for j in rng.integers(0, len(words), int(rng.integers(2600, 4000)))]
+        toxic = i % 3 == 0
+        for at in rng.choice(len(w), 40 * toxic, replace=False):
+            w[int(at)] = bad[int(rng.integers(len(bad)))]
+        rows.append((i, " ".join(w), int(toxic)))
+    assert min(len(t) for _, t, _ in rows) > 12_000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows] + [(10_000 + i, 1, 1) for i in range(3000)], "doc_id long, quality int, toxic int")
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    out = {r["doc_id"] for r in docs.where(toxicity.held_out("doc_id")).select("doc_id").collect()}
+    assert np.mean([(scored[i] >= 0.5) == bool(y) for i, _, y in rows if i in out]) > 0.93
+
+
 def test_toxicity_without_labels(spark, docs, texts):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, none))
