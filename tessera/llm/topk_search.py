@@ -17,8 +17,8 @@ Work is dealt as pairs (query block, candidate block): each side is copied
 to its blocks, never collected to the driver, and one task holds one pair
 of blocks, bounded by ``query_block`` and ``candidate_block`` rows.
 
-Vectors that are null, empty, hold a null or non-finite component, or have
-another length than the most common one take no part.  Repeated ids are
+Vectors that are null, empty, or hold a null or non-finite component take no
+part; each length is searched among its own.  Repeated ids are
 separate candidates (a query does not see rows with its own id); ties go to
 the smaller id.  Empty tables give no rows.
 """
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.rolling import spread
+from .common import small
 
 SLACK = 1e-6
 
@@ -129,19 +130,17 @@ def search(df: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, i
 
     Queries are the rows whose id is divisible by ``query_every``."""
     vecs = integer_vectors(spread(df.select(id_col, vec_col)), id_col, vec_col, scale)
-    dims = vecs.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"),
-                                                    F.sum((F.col("id") % query_every == 0).cast("long")).alias("nq"))
-    top = dims.orderBy(F.desc("n"), "d").first()
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    dims = small(vecs.groupBy(F.size("v").alias("d")).agg(
+        blocks(F.sum((F.col("id") % query_every == 0).cast("long")), query_block).alias("nq"),
+        blocks(F.count(F.lit(1)), candidate_block).alias("nc")).where("nq > 0"))
     out = "query_id long, vec_id long, score long"
-    if top is None or not top["nq"]:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = top["d"]
-    nq, nc = math.ceil(top["nq"] / query_block), math.ceil(top["n"] / candidate_block)
-    vecs = vecs.where(F.size("v") == dim)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    vecs = vecs.withColumn("d", F.size("v")).join(dims, "d")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     queries = (vecs.where(F.col("id") % query_every == 0)
-                   .withColumn("qb", block(nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
-    cands = (vecs.withColumn("cb", block(nc)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
+                   .withColumn("qb", block("nq")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))))
+    cands = (vecs.withColumn("cb", block("nc")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+                 .select(*[F.col(c).alias(c) for c in ("d", "qb", "cb", "id", "v")]))
 
     def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
@@ -150,7 +149,7 @@ def search(df: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, i
         a, b, s = top_block(qs["id"].to_numpy(np.int64), dense(qs), cs["id"].to_numpy(np.int64), dense(cs), k)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
-    local = (queries.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInPandas(score, out))
+    local = (queries.groupBy("d", "qb", "cb").cogroup(cands.groupBy("d", "qb", "cb")).applyInPandas(score, out))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                  .select("query_id", "rank", "vec_id", "score"))

@@ -224,3 +224,13 @@ def test_run_gives_the_last_stage(spark, sf001):
     import corpus_pipeline as cp
     got = cp.run(spark, sf001)
     assert got.columns[:4] == ["doc_id", "lang", "source", "n_tokens"] and got.count() > 100
+
+
+def test_each_vector_length_is_searched_among_its_own(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)] if i < 60 else [float(i % 5), 2.0]) for i in range(100)]
+    got = {}
+    for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, query_every=20, scale=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, v in rows[::20]:
+        best = sorted((-int(sum(64 * x * 64 * y for x, y in zip(v, w))), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
