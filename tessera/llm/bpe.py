@@ -5,7 +5,8 @@ that are vocabulary entries as a whole with a minimal perfect hash over the
 vocabulary (hash and displace: one displacement for each small bucket, as
 many slots as entries), confirmed by the entry's bytes.  Tier two, for the
 misses, merges the lowest-ranked adjacent pair again and again with a heap
-over a linked list of byte spans (n log n for a pre-token of n bytes).
+over a linked list of byte spans (n log n for a pre-token of n bytes; one of
+at most ``SHORT`` bytes is merged by looking over its few pairs).
 
 The vocabulary has a fixed size and is broadcast; texts never leave their
 partition.  Workers remember the ids of recent pre-tokens in a table of
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from .common import CHUNK_BYTES, U64, inverse, lean, mix, powers, runs, text_buffer
 
 REMEMBER = 200_000
+SHORT = 32   # bytes up to which a pre-token is merged without a heap
 _BASE = 0xD1342543DE82EF95
 _STEP = 0x9E3779B97F4A7C15
 
@@ -110,10 +112,30 @@ class Vocabulary:
         self.key_at[self.hash.slots(keys)] = keys
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """``merge_bytes`` for a few bytes: the lowest of so few ranks is found faster than a heap is kept."""
+    get, none = ranks.get, len(ranks)
+    at = list(range(len(piece) + 1))
+    pair = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+    while pair:
+        r = min(pair)
+        if r == none:
+            break
+        i = pair.index(r)
+        del pair[i], at[i + 1]
+        if i < len(pair):
+            pair[i] = get(piece[at[i]:at[i + 2]], none)
+        if i:
+            pair[i - 1] = get(piece[at[i - 1]:at[i + 1]], none)
+    return tuple([ranks[piece[a:b]] for a, b in zip(at, at[1:])])
+
+
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of one pre-token: merge the lowest-ranked adjacent pair (leftmost
     of equals) until none is in the vocabulary."""
     n = len(piece)
+    if n <= SHORT:
+        return merge_short(piece, ranks)
     bits = n.bit_length()
     low = (1 << bits) - 1
     nxt = list(range(1, n + 1))
@@ -181,9 +203,10 @@ class Coder:
             if len(self.known) > REMEMBER:   # the words of late stay within reach
                 self.older, self.known = self.known, {}
                 new = set(words)
-            for w in new.intersection(self.older):
-                self.known[w] = self.older[w]
-            new.difference_update(self.known)
+            known, older = self.known, self.older
+            for w in [w for w in new if w in older]:   # a lookup for each word of the text, whatever is remembered
+                known[w] = older[w]
+                new.remove(w)
             if new:
                 self.learn(new)
         return list(chain.from_iterable(map(self.known.__getitem__, words)))
