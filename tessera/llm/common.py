@@ -180,6 +180,18 @@ def lean(work):
     return run
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that none of ``df``'s columns has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

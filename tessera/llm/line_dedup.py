@@ -19,18 +19,20 @@ the start of a band are indexed in the band below as well.
 
 Candidates are pairs with an equal substring whose lengths differ by at most
 two and whose letter counts, some in the whole line, some in its first and
-last half, differ by at most four together; both are necessary and are tested
-inside the join.  A
-line needs only one earlier partner: each is first compared with the earliest
-and the most frequent line of its keys, and only lines that these do not
-settle are joined with all earlier sharers, so groups of similar lines do not emit their pairs.  The
-joins are on the substring's hash and AQE splits skewed ones.  Lines of
-candidate pairs are then fetched and verified with the built-in banded
-``levenshtein(a, b, threshold)``.
+last half, differ by at most four together; both are necessary.  They are
+verified by a banded bit-parallel automaton inside the join, which is a semi
+join: a line needs one earlier partner, so no pairs come out of it.  Each line
+is first compared with the earliest and the most frequent line of its keys;
+keys of many lines that still hold unsettled ones are narrowed by a second
+substring that lines within the edits must share, compared with the first
+lines of the narrowed keys, and only what is left with all earlier sharers.
+The joins are on the substring's hash and AQE splits skewed ones.
 
 Null ids: the row is kept unchanged and judges nothing.  Null texts stay null
-and have no lines.  Rows that repeat an id count as the same document.
-Other columns are carried.  Empty tables give no rows.
+and have no lines.  Rows that repeat an id count as the same document.  Texts
+and lines of any length are judged whole.  Other columns are carried, whatever
+their names; ``n_lines`` and ``n_removed`` replace columns of these names.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,10 +40,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import fresh, small, written
 
 MAX_EDITS = 2                 # the three-segment layout is for two edits
-BROADCAST_ROWS = 200_000      # document ids sent to all executors at most; more are joined by a shuffle
+BROADCAST_ROWS = 200_000      # hashes or ids sent to all executors at most; more are joined by a shuffle
+CROWD = 64                    # lines that may share a key before it is narrowed
 BLANKS = " \t\r\x0b\x0c"
 COUNTED = "enir"              # letters counted in the first and in the last half
 ALSO_COUNTED = "astoldu "     # letters counted in the whole line
@@ -97,7 +100,7 @@ def with_keys(lines: DataFrame) -> DataFrame:
 
     keys = F.when(n - band < MAX_EDITS, F.concat(cut(band), cut(below))).otherwise(cut(band))
     return lines.select("doc", "pos", "h", F.xxhash64(F.lit("second"), "line").alias("g"), n.cast("int").alias("n"),
-                        F.array_distinct(keys).alias("keys"))
+                        keys.alias("keys"))
 
 
 def letter_counts(lines: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def letter_counts(lines: DataFrame) -> DataFrame:
     half = F.floor((F.when(n < 64, n - n % 4 - 4).when(n < 80, 60).otherwise(n - n % 16 - 16)) / 2).cast("int")
     one = (lines.groupBy("h").agg(F.first("line").alias("line"))
                 .withColumn("half", F.floor(half / 8).cast("int") * 8))
-    return one.select("h", _counts([(line, ALSO_COUNTED)]).alias("whole"), "half", _counts(
+    return one.select("h", "line", _counts([(line, ALSO_COUNTED)]).alias("whole"), "half", _counts(
         [(F.substring(line, F.lit(1), F.col("half")), COUNTED), (F.right(line, F.col("half")), COUNTED)]).alias("halves"))
 
 
@@ -125,46 +128,115 @@ def _fits(x: str, y: str) -> Column:
             & (_bytes_apart(F.col(x + "whole"), F.col(y + "whole")) + halves <= 2 * MAX_EDITS))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Places (doc, pos, h) of the later lines of the pairs that are within the edits."""
-    ends = [F.struct(*[F.col(p + c).alias(c) for c in PLACE]) for p in ("x_", "y_")]
-    want = pairs.select(F.explode(F.array(*ends)).alias("w")).select(*[f"w.{c}" for c in PLACE]).distinct()
-    some = docs.join(small(want.select(F.col("doc").alias("want")).distinct(), BROADCAST_ROWS), F.col(id_col) == F.col("want"), "left_semi")
-    got = written(split_lines(some, id_col, text_col).withColumn("h", F.xxhash64("line")).join(want, [*PLACE]).distinct(), "line-texts")
-    side = lambda p: got.select(*[F.col(c).alias(p + c) for c in got.columns])
-    return (pairs.join(side("x_"), ["x_" + c for c in PLACE]).join(side("y_"), ["y_" + c for c in PLACE])
-                 .where(F.levenshtein(F.col("x_line"), F.col("y_line"), MAX_EDITS) >= 0)
-                 .select(*[F.col("y_" + c).alias(c) for c in PLACE]).distinct())
+def within_edits(x: Column, y: Column) -> Column:
+    """Whether two strings are within two single-character edits: a banded
+    bit-parallel automaton.  Bit k of the state for e edits says that, with i
+    characters of x read, i + k - 2 characters of y can be read at e edits;
+    two edits leave five diagonals, so a state is five bits at any length."""
+    pad = F.array(F.lit(""), F.lit(""))
+    both = F.struct(F.split(x, "").alias("a"), F.concat(pad, F.split(y, ""), pad).alias("b"))
 
+    def read(state: Column, at: Column) -> Column:
+        same = F.lit(0)
+        for k in range(5):
+            same = same.bitwiseOR(F.when(at["a"] == at[f"b{k}"], F.lit(1 << k)).otherwise(F.lit(0)))
+        old = [state[f"r{e}"] for e in range(3)]
+        new = [old[0].bitwiseAND(same)]
+        for e in (1, 2):   # matched, replaced, left out of y, put into y
+            new.append(old[e].bitwiseAND(same).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1))
+                       .bitwiseOR(F.shiftleft(new[e - 1], 1).bitwiseAND(F.lit(31))))
+        return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(new)])
 
-def near_lines(lines: DataFrame, keyed: DataFrame, facts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(z: Column) -> Column:   # the strings are split once a pair
+        n, len_pad = F.size(z["a"]), 2
+        at = F.arrays_zip(z["a"].alias("a"), *[F.slice(z["b"], k + 1, n).alias(f"b{k}") for k in range(5)])
+        start = F.struct(F.lit(4).alias("r0"), F.lit(12).alias("r1"), F.lit(28).alias("r2"))
+        end = F.aggregate(at, start, read, lambda state: state["r2"])
+        apart = F.size(z["b"]) - 2 * len_pad - n
+        bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(5)]), apart + MAX_EDITS + 1)
+        return end.bitwiseAND(bit) > 0
+
+    return F.element_at(F.transform(F.array(both), run), 1)
+
+
+def _refined(line: Column, p: Column) -> Column:
+    """Hashes that narrow a key of many lines.  Lines that share the key p and
+    are within the edits share one of these as well: beside an equal first or
+    last segment the two edits lie in the rest, which is cut in three again;
+    beside an equal middle segment one edit lies left of it, so one of two
+    pieces there is whole."""
+    band = _band(F.length(line))
+    band = F.when(p < 5, band).when(band <= 64, band - 4).otherwise(band - 16)
+    a = F.floor(band / 3).cast("int")
+    given = F.struct(line.alias("line"), p.alias("p"), F.length(line).alias("n"), a.alias("a"), F.floor((band - a) / 3).cast("int").alias("c"))
+
+    def keys(z: Column) -> Column:
+        a, n = z["a"], z["n"]
+        cut = lambda no, start, size: F.xxhash64(F.lit(no), F.substring(z["line"], start, size))
+
+        def rest(y: Column) -> Column:   # at: where the rest starts, end: where it ends
+            c, at, end = y["c"], y["at"], y["end"]
+            return F.array(cut(1, at, c), *[cut(2, at + c + shift, c) for shift in (-1, 0, 1)], cut(3, end - c + 1, c))
+
+        def beside(at: Column, end: Column) -> Column:
+            return F.element_at(F.transform(F.array(F.struct(z["c"].alias("c"), at.alias("at"), end.alias("end"))), rest), 1)
+
+        h = F.floor((a - 1) / 2).cast("int")
+        begin = a + F.when(z["p"] % 5 == 2, 0).when(z["p"] % 5 == 3, 2).otherwise(1)
+        return F.when(z["p"] % 5 == 0, beside(a + 1, n)).when(z["p"] % 5 == 4, beside(F.lit(1), n - a)).otherwise(
+            F.array(cut(1, F.lit(1), h), cut(2, begin - h, h)))
+
+    return F.array_distinct(F.element_at(F.transform(F.array(given), keys), 1))
+
+
+def _sides(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def _partnered(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The rows of ``later`` that have an earlier line of their key within the
+    edits; one partner is enough, so no pair leaves the join."""
+    close = within_edits(F.col("x_line"), F.col("y_line"))
+    on = (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_") & close
+    return _sides(later, "y_").join(_sides(earlier, "x_"), on, "left_semi").select(*[F.col("y_" + c).alias(c) for c in PLACE]).distinct()
+
+
+def _stars(y: DataFrame) -> DataFrame:
+    """The earliest and the most frequent line of each key."""
+    one = F.struct(*FACTS, "line")
+    head = y.groupBy("key").agg(F.min(one).alias("m"), F.max(F.struct("c", one.alias("m")))["m"].alias("k"))
+    return head.select("key", F.explode(F.array_distinct(F.array("m", "k"))).alias("m")).select("key", "m.*")
+
+
+def near_lines(lines: DataFrame, keyed: DataFrame, facts: DataFrame) -> DataFrame:
     """Places of the distinct lines that have an earlier line within the edits.
 
     Keys that only one line has are dropped first, before anything but hashes
     is moved.  Then every line is compared with the earliest and with the most
-    frequent line of each of its keys, which settles groups of similar lines
-    without pairing them, and the lines that are not settled with all earlier
-    sharers of their keys."""
-    keys = keyed.select(F.explode("keys").alias("key"), "h")
+    frequent line of each of its keys, which settles most groups of similar
+    lines.  Keys of more than ``CROWD`` lines that hold unsettled ones are
+    narrowed and treated likewise, and the lines that are left look for a
+    partner among all earlier sharers of their keys."""
+    keys = keyed.select(F.posexplode("keys").alias("p", "key"), "h")
     live = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     sharers = written(keys.join(live, "key").distinct(), "line-keys")
     texts = lines.select("h", "line").join(small(sharers.select(F.col("h").alias("want")).distinct(), BROADCAST_ROWS),
                                            F.col("h") == F.col("want"), "left_semi")
-    y = written(sharers.join(facts.join(letter_counts(texts), "h").select(*FACTS, "c"), "h").select("key", *FACTS, "c"), "line-keys")
-    one = F.struct(*FACTS)
-    head = y.groupBy(F.col("key").alias("x_key")).agg(F.min(one).alias("m"), F.max(F.struct("c", one.alias("m")))["m"].alias("k"))
-    head = head.select("x_key", F.explode(F.array_distinct(F.array("m", "k"))).alias("m")).select(
-        "x_key", *[F.col(f"m.{c}").alias("x_" + c) for c in FACTS])
-    y = y.drop("c").select(*[F.col(c).alias("y_" + c) for c in ("key", *FACTS)])
-    pair = ["x_" + c for c in PLACE] + ["y_" + c for c in PLACE]
-    first = written(head.join(y, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct(), "line-pairs")
-    near = written(_verified(first, docs, id_col, text_col), "line-near")
-    done = near.select(*[F.col(c).alias("y_" + c) for c in PLACE])
-    left = y.join(done, ["y_" + c for c in PLACE], "left_anti")
-    x = y.select(*[F.col(c).alias("x_" + c[2:]) for c in y.columns])
-    rest = written(x.join(left, (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")).select(*pair).distinct()
-                    .join(first, pair, "left_anti"), "line-pairs")
-    return near.unionByName(_verified(rest, docs, id_col, text_col))
+    y = written(sharers.join(facts.join(letter_counts(texts), "h").select(*FACTS, "c", "line"), "h").select("key", "p", *FACTS, "c", "line"),
+                "line-keys")
+    settled = written(_partnered(y, _stars(y)), "line-near")
+    open_keys = y.join(settled, [*PLACE], "left_anti").select("key").distinct()
+    y = written(y.join(small(open_keys, BROADCAST_ROWS), "key", "left_semi"), "line-keys")
+    crowded = y.groupBy("key").count().where(F.col("count") > CROWD).select(F.col("key").alias("crowded"))
+    y = y.join(small(crowded, BROADCAST_ROWS), F.col("key") == F.col("crowded"), "left").withColumn(
+        "more", F.explode(F.when(F.col("crowded").isNull(), F.array(F.lit(None).cast("long"))).otherwise(_refined(F.col("line"), F.col("p")))))
+    # rows that share a narrowed key stand together once, whatever the position they share it at
+    y = y.select(F.xxhash64("key", "more").alias("key"), *FACTS, "c", "line", F.col("more").isNotNull().alias("narrowed"))
+    y = written(y, "line-keys")
+    again = written(_partnered(y.where("narrowed").join(settled, [*PLACE], "left_anti").drop("narrowed"),
+                               _stars(y.where("narrowed"))), "line-near").unionByName(settled)
+    left = y.join(again, [*PLACE], "left_anti")
+    return again.unionByName(written(_partnered(left, y), "line-near"))
 
 
 def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
@@ -174,7 +246,7 @@ def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     facts = (keyed.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count(F.lit(1)).alias("c"),
                                     F.first("g").alias("g"), F.first("n").alias("n"))
                   .select("h", "g", "f.doc", "f.pos", "c", "n"))
-    near = near_lines(lines, keyed, facts, docs, id_col, text_col).select("h").withColumn("is_near", F.lit(True))
+    near = near_lines(lines, keyed, facts).select("h").withColumn("is_near", F.lit(True))
     judged = (facts.join(near, "h", "left").where("c > 1 or is_near")
                    .select(F.col("h").alias("j_h"), F.col("g").alias("j_g"), F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"),
                            F.coalesce("is_near", F.lit(False)).alias("is_near")))
@@ -188,17 +260,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     if min_chars < 12:
         raise ValueError("judged lines need 12 characters at least")
     drop = written(removed_positions(docs, id_col, text_col, min_chars), "line-drops")
-    drop = small(drop, BROADCAST_ROWS)
-    # a column of its own: it is split once a row, not once a run
-    parts = F.col("_parts")
+    doc, gone, parts = fresh(docs, "doc", "gone", "parts")
     # runs of kept lines lie between the removed positions: linear in the lines, whatever their number
-    stops = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size(parts)))
+    stops = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(parts)))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(stops) - 1), lambda i: F.slice(
-        parts, F.element_at(stops, i) + 2, F.element_at(stops, i + 1) - F.element_at(stops, i) - 1)))
-    joined = (docs.join(drop.withColumnRenamed("drop", "_drop").withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left")
-                  .withColumn("_parts", F.split(F.col(text_col), "\n")))
+        F.col(parts), F.element_at(stops, i) + 2, F.element_at(stops, i + 1) - F.element_at(stops, i) - 1)))
+    joined = (docs.join(drop.select(F.col("doc").alias(doc), F.col("drop").alias(gone)), F.col(id_col) == F.col(doc), "left")
+                  .withColumn(parts, F.split(F.col(text_col), "\n")))   # a column of its own: it is split once a row, not once a run
+    own = ("n_lines", "n_removed")
     return joined.select(
-        *[F.col(c) if c != text_col else F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c)
-          for c in docs.columns],
+        *[F.col(c) if c != text_col else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c)
+          for c in docs.columns if c.lower() not in own],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
