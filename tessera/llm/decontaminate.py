@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, lean, mix, text_buffer, word_runs
+from .common import U64, Words, fresh, lean, mix, text_buffer, word_runs
 
 WALKS = 4
 PAD = U64(0x0123456789ABCDEF)
@@ -268,7 +268,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_ratio: float = 0.2, sam
     for ids, texts in blocks(items, item_id, item_text, block, block_words):
         shared = spark.sparkContext.broadcast(Items(ids, texts, max_ratio, sample, target_recall))
 
-        found_cols.append(f"_{out_col}_{len(found_cols)}")
+        found_cols += fresh(out, "found")
         out = out.withColumn(found_cols[-1], F.arrow_udf(_finder(shared), kind).asNondeterministic()(text_col))
     # an id may come in two blocks with two texts: its fewest edits count
     merged = F.sort_array(F.concat(F.array().cast(kind), *found_cols))

@@ -18,8 +18,11 @@ reader comments, with a label for each block.
 Main-text blocks are joined in page order by two line feeds; nothing else is
 dropped or cut.  Null, empty and text-less pages give the empty text.  Broken
 markup is read as far as it goes: unclosed elements end with their parent,
-stray end tags are ignored.  Repeated rows stay repeated; other columns are
-carried; an empty table gives no rows.
+stray end tags are ignored, unclosed quotes and tags end at the next tag; the
+time is linear in the page, of any length.  Text in ``svg``, ``math`` and other
+inline elements belongs to its block.  Repeated rows stay repeated; other
+columns are carried, a column of the name of the result is replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,11 +43,12 @@ DIM = 1 << 13
 CHUNK_PAGES = 200
 
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav object ol "
-    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+    "address article aside audio blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure "
+    "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript "
+    "object ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul video".split())
 VOID_TAGS = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript template svg math iframe object audio video canvas noembed noframes".split())
+#: Their content is no markup and runs to their own end tag.
+RAW_TAGS = frozenset("script style title textarea iframe noembed noframes".split())
 ENDS_P = BLOCK_TAGS - {"button", "label", "object", "iframe", "option", "optgroup", "legend", "caption"}
 #: An opening tag closes an open sibling of these.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -52,7 +56,11 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 #: An open sibling is not looked for beyond these.
 FENCES = frozenset("ul ol dl table select body html article section div main nav aside form header footer".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^A-Za-z][^>]*>", re.S)
+#: A comment, declaration or stray end mark, or a tag.  A tag whose quotes hold no "<" is matched whole;
+#: the attributes of any other are read by ``_tag_end``, so that no match is tried beyond the next "<".
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*(?:>|\Z)"
+                    r"|<(/?)([A-Za-z][^\s/<>]*)(?:((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>)?", re.S)
+_STOP = re.compile(r"[<>\"']")
 _NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[.!?,;:]")
@@ -76,6 +84,21 @@ def _ancestor(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _tag_end(html: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) for a tag whose name ends at
+    ``at``.  A quote that is never closed is an ordinary character; a tag that
+    is not closed ends at the next tag.  Every character is passed once."""
+    while m := _STOP.search(html, at):
+        mark, at = m[0], m.end()
+        if mark == ">":
+            return at - 1, at
+        if mark == "<":
+            return at - 1, at - 1
+        if at <= last[mark]:
+            at = html.index(mark, at) + 1
+    return len(html), len(html)
+
+
 def parse(html: str | None) -> list[Block]:
     """Leaf blocks of a page, in page order."""
     out: list[Block] = []
@@ -84,6 +107,7 @@ def parse(html: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links, linked, at, n = 0, 0, 0, len(html)
+    last = {mark: html.rfind(mark) for mark in "\"'>"}
 
     def close_block():
         nonlocal parts, linked
@@ -111,9 +135,15 @@ def parse(html: str | None) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = m[2]
+        tag, attrs = m[2], m[3]
         if not tag:
             continue
+        if attrs is None:
+            if m.start() > last[">"]:   # no tag ends from here on
+                parts.append(m[0])
+                continue
+            stop, begin = _tag_end(html, at, last), at
+            attrs, at = html[begin:stop[0]], stop[1]
         tag = tag.lower()
         if m[1]:
             if tag in BLOCK_TAGS:
@@ -123,11 +153,10 @@ def parse(html: str | None) -> list[Block]:
                 links = max(0, links - 1)
             continue
         if tag in RAW_TAGS:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             if tag in BLOCK_TAGS:
                 close_block()
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                at = stop.end() if stop else n
+            at = stop.end() if stop else n
             continue
         if tag == "br":
             parts.append(" ")
@@ -139,7 +168,7 @@ def parse(html: str | None) -> list[Block]:
             if tag in SIBLINGS:
                 close_to(SIBLINGS[tag], FENCES - set(SIBLINGS[tag]))
             if tag not in VOID_TAGS:
-                stack.append((tag, _ancestor(tag, m[3])))
+                stack.append((tag, _ancestor(tag, attrs)))
         elif tag == "a":
             links += 1
     close_block()
@@ -150,12 +179,15 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % DIM
 
 
+NEAR_TAGS = frozenset("<aside <form <nav <footer <section <noscript <template <video <audio <canvas <object".split())
+
+
 def path_features(path: tuple) -> list[str]:
     out = ["path:" + x for x in dict.fromkeys(x for a in path for x in a)]
     if path:
         out.append("own:" + path[-1][0])
     # names nearest to the block count on their own, as an advert inside an article is an advert
-    out += ["near:" + x for a in path[-3:] for x in a if x.startswith(".") or x in ("<aside", "<form", "<nav", "<footer", "<section")]
+    out += ["near:" + x for a in path[-3:] for x in a if x.startswith(".") or x in NEAR_TAGS]
     return out
 
 
@@ -271,7 +303,8 @@ OTHER_BOXES = ["<nav>", "<header>", "<footer>", "<aside>", "<div class='sidebar'
                "<section class='comments'>", "<div id='comments'>", "<div class='comment'>", "<ol class='comment-list'>", "<div class='reply'>",
                "<div class='discussion'>", "<div class='breadcrumb'>", "<div class='pagination'>", "<div class='widget'>", "<form>",
                "<div class='footer'>", "<div class='header'>", "<div class='copyright'>", "<div class='login'>", "<div class='search'>",
-               "<div class='tags'>", "<div class='toolbar'>", "<div class='disclaimer'>", "<div role='navigation'>", "<div role='banner'>"]
+               "<div class='tags'>", "<div class='toolbar'>", "<div class='disclaimer'>", "<div role='navigation'>", "<div role='banner'>",
+               "<noscript>", "<template>", "<video>", "<audio>", "<canvas>", "<object>"]
 
 
 def labelled_pages(count: int = 500, seed: int = 3) -> list[tuple[list[Block], list[int]]]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, lean, mix, word_runs, written
+from .common import U64, Words, fresh, lean, mix, word_runs, written
 
 FLUSH_ROWS = 400_000
 BUCKET_BYTES = 32 << 20      # text bytes whose edges share a bucket
@@ -264,8 +264,9 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id",
         raise ValueError("need 1 <= k <= window <= 200")
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     spans = repeated_spans(src, window, k)
-    by_doc = spans.groupBy(F.col("doc").alias("s_doc")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = docs.join(by_doc, F.col(id_col) == F.col("s_doc"), "left").drop("s_doc")
+    s_doc, at, done_col = fresh(docs, "s_doc", "spans", "done")
+    by_doc = spans.groupBy(F.col("doc").alias(s_doc)).agg(F.collect_list(F.struct("start", "n")).alias(at))
+    joined = docs.join(by_doc, F.col(id_col) == F.col(s_doc), "left")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                          T.StructField(out_col, T.StringType())])
 
@@ -290,8 +291,9 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id",
             yield pa.concat_arrays(done) if done else pa.array([], pa.struct(
                 [("n_words", pa.int64()), ("n_removed", pa.int64()), (out_col, pa.string())]))
 
-    out = joined.withColumn("_x", F.arrow_udf(work, kind).asNondeterministic()(text_col, "spans"))
-    return out.select(*docs.columns, "_x.n_words", "_x.n_removed", f"_x.{out_col}")
+    out = joined.withColumn(done_col, F.arrow_udf(work, kind).asNondeterministic()(text_col, at))
+    made = ("n_words", "n_removed", out_col)
+    return out.select(*[c for c in docs.columns if c.lower() not in made], *[f"{done_col}.{c}" for c in made])
 
 
 def _join(words: Words, keep: np.ndarray, rows: int) -> pa.Array:
