@@ -13,7 +13,9 @@ one's docs.  All but the last return the columns of documents.
 5. tokens: byte-level BPE ids, with digests of the ids and of their decoding.
 
 Rows without an id are judged by quality and decontamination only and stay
-otherwise; of rows that repeat an id one stays after stage 3.
+otherwise.  Rows that repeat an id are documents of their own to stage 3: of a
+group the row with the smallest id stays (of equal ids the one with the
+smallest digest of its text), rows with unrelated texts all stay.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from tessera.llm.common import small, written
+from tessera.llm.common import fresh, small, written
 from tessera.plans.rolling import spread
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import read_table
@@ -44,13 +46,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(jaccard_join.join(spread(docs), shingle=5, num=80, den=100).where("doc_id is not null"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    once = kept.join(small(twice), "doc_id", "left_anti")
-    again = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*docs.columns)
+    linked = lambda df, key: written(jaccard_join.join(spread(df), shingle=5, num=80, den=100, id_col=key), "groups")
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = linked(named, "doc_id").where("doc_id <> component_id").select("doc_id")
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # some id has several rows: each row is a document of its own under a key that is fixed by writing it
+    key, = fresh(docs, "row_key")
+    rows = written(named.withColumn(key, F.monotonically_increasing_id()), "rows")
+    place = rows.select(F.col(key).alias("place"), F.struct("doc_id", F.sha2("text", 256), F.col(key)).alias("order"))
+    first = linked(rows, key).join(place, F.col(key) == F.col("place")).groupBy("component_id").agg(F.min("order")[key].alias("kept"))
+    return (rows.join(first, F.col(key) == F.col("kept"), "left_semi").drop(key)
+                .unionByName(docs.where("doc_id is null")).select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
