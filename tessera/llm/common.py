@@ -84,10 +84,11 @@ class Words:
     index of each document's first word (n + 1 entries)."""
 
     __slots__ = ("data", "start", "end", "row", "first", "_p", "_hash")
+    BREAKS = _IS_SPACE   # bytes between words
 
     def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
         n = len(data)
-        solid = ~_IS_SPACE[data]
+        solid = ~self.BREAKS[data]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, html_extract, jaccard_join, line_dedup, quality, substring_dedup,
-               topk_search, toxicity, url_filter)
+from . import (bpe, decontaminate, html_extract, jaccard_join, lexical_search, line_dedup, quality, sharding, spelling,
+               substring_dedup, topk_search, toxicity, url_filter)
+from ..sources.tables import read_table
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +173,60 @@ select page_id, url, array_to_string(list_filter(l, lambda t: t <> ''), chr(10)
 def op4(spark, sf_dir):
     out = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op11_sharding")
+def op11(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"), shards=16)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@register("op12_lexical_search", f"""
+with w as (select doc_id, row_number() over () as r, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as t from documents),
+d as (select r, any_value(doc_id) as doc_id, count(*) as n from w group by r),
+c as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from d),
+f as (select r, t, count(*) as tf from w group by r, t),
+i as (select item_id, t, count(*) as reps from (
+        select item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as t
+        from (select distinct item_id, text from benchmark where item_id is not null)) group by item_id, t),
+x as (select t, count(*) as df from f where t in (select t from i) group by t),
+v as (select t, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as weight from x, c),
+s as (select item_id, d.doc_id, r,
+             cast(sum(reps * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) as bigint) as score
+      from i join v using (t) join f using (t) join d using (r), c where d.doc_id is not null group by item_id, d.doc_id, r),
+k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+      from s where score > 0)
+select * from k where rank <= 20""")
+def op12(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+# crc32 by its definition: eight halvings a byte, over the bytes of each distinct run of a document.
+@register("op13_spelling_variants", f"""
+with recursive tab as (
+  select list(x order by b) as t from (
+    select b, list_reduce(list_prepend(b, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as x
+    from (select unnest(range(256)) as b))),
+runs as (select doc_id, t as run, count(*) as c from (
+  select doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as t from documents) group by doc_id, t),
+h as (select run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x), 2),
+               lambda i: cast('0x' || substr(x, i + 1, 2) as bigint))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h
+      from (select *, hex(encode(doc_id || ':' || run)) as x from runs), tab),
+n as (select case when h % 97 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h),
+v as (select word, cast(sum(c) as bigint) as n from n group by word having sum(c) >= 3 and length(word) >= 5),
+e as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest
+      from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select a.word, b.word as other, b.n as other_n from e a join e b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+      union select e.word, v.word, v.n from e join v on e.rest = v.word
+      union select v.word, e.word, e.n from e join v on e.rest = v.word),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from p group by word),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * n then other end as form,
+             case when other_n >= 2 * n then other_n end as form_n from v left join best using (word)),
+chain as (select word, word as root, 0 as step from f
+          union all select c.word, f.form, step + 1 from chain c join f on f.word = c.root where f.form is not null)
+select f.word, form, root, n, cast(n_near as bigint) as n_near, form_n
+from f join (select word, arg_max(root, step) as root from chain group by word) r using (word)""")
+def op13(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
