@@ -20,12 +20,13 @@ the start of a band are indexed in the band below as well.
 Candidates are pairs with an equal substring whose lengths differ by at most
 two and whose letter counts, some in the whole line, some in its first and
 last half, differ by at most four together; both are necessary.  They are
-verified by a banded bit-parallel automaton inside the join, which is a semi
-join: a line needs one earlier partner, so no pairs come out of it.  Each line
-is first compared with the earliest and the most frequent line of its keys;
-keys of many lines that still hold unsettled ones are narrowed by a second
-substring that lines within the edits must share, compared with the first
-lines of the narrowed keys, and only what is left with all earlier sharers.
+verified inside the join: the built-in banded ``levenshtein`` rejects, a banded
+bit-parallel automaton confirms.  It is a semi join, as a line needs one
+earlier partner, so no pairs come out of it.  Keys that
+several lines share are narrowed by a second substring that lines within the
+edits must share too.  Each line is first compared with the earliest and the
+most frequent line of its keys, and what that does not settle with all
+earlier sharers.
 The joins are on the substring's hash and AQE splits skewed ones.
 
 Null ids: the row is kept unchanged and judges nothing.  Null texts stay null
@@ -44,7 +45,6 @@ from .common import fresh, small, written
 
 MAX_EDITS = 2                 # the three-segment layout is for two edits
 BROADCAST_ROWS = 200_000      # hashes or ids sent to all executors at most; more are joined by a shuffle
-CROWD = 64                    # lines that may share a key before it is narrowed
 BLANKS = " \t\r\x0b\x0c"
 COUNTED = "enir"              # letters counted in the first and in the last half
 ALSO_COUNTED = "astoldu "     # letters counted in the whole line
@@ -104,12 +104,11 @@ def with_keys(lines: DataFrame) -> DataFrame:
 
 
 def letter_counts(lines: DataFrame) -> DataFrame:
-    """(h, whole, half, halves) of the distinct lines."""
+    """(h, line, whole, half, halves) of (h, line)."""
     line, n = F.col("line"), F.length("line")
     # halves of one length for most lines of a band and of the bands next to it
     half = F.floor((F.when(n < 64, n - n % 4 - 4).when(n < 80, 60).otherwise(n - n % 16 - 16)) / 2).cast("int")
-    one = (lines.groupBy("h").agg(F.first("line").alias("line"))
-                .withColumn("half", F.floor(half / 8).cast("int") * 8))
+    one = lines.withColumn("half", F.floor(half / 8).cast("int") * 8)
     return one.select("h", "line", _counts([(line, ALSO_COUNTED)]).alias("whole"), "half", _counts(
         [(F.substring(line, F.lit(1), F.col("half")), COUNTED), (F.right(line, F.col("half")), COUNTED)]).alias("halves"))
 
@@ -136,10 +135,11 @@ def within_edits(x: Column, y: Column) -> Column:
     pad = F.array(F.lit(""), F.lit(""))
     both = F.struct(F.split(x, "").alias("a"), F.concat(pad, F.split(y, ""), pad).alias("b"))
 
-    def read(state: Column, at: Column) -> Column:
-        same = F.lit(0)
-        for k in range(5):
-            same = same.bitwiseOR(F.when(at["a"] == at[f"b{k}"], F.lit(1 << k)).otherwise(F.lit(0)))
+    def same(at: Column) -> Column:   # where the character stands on the five diagonals
+        bits = [F.when(at["a"] == at[f"b{k}"], F.lit(1 << k)).otherwise(F.lit(0)) for k in range(5)]
+        return bits[0] + bits[1] + bits[2] + bits[3] + bits[4]
+
+    def read(state: Column, same: Column) -> Column:
         old = [state[f"r{e}"] for e in range(3)]
         new = [old[0].bitwiseAND(same)]
         for e in (1, 2):   # matched, replaced, left out of y, put into y
@@ -148,11 +148,11 @@ def within_edits(x: Column, y: Column) -> Column:
         return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(new)])
 
     def run(z: Column) -> Column:   # the strings are split once a pair
-        n, len_pad = F.size(z["a"]), 2
+        n = F.size(z["a"])
         at = F.arrays_zip(z["a"].alias("a"), *[F.slice(z["b"], k + 1, n).alias(f"b{k}") for k in range(5)])
         start = F.struct(F.lit(4).alias("r0"), F.lit(12).alias("r1"), F.lit(28).alias("r2"))
-        end = F.aggregate(at, start, read, lambda state: state["r2"])
-        apart = F.size(z["b"]) - 2 * len_pad - n
+        end = F.aggregate(F.transform(at, same), start, read, lambda state: state["r2"])
+        apart = F.size(z["b"]) - 2 * MAX_EDITS - n
         bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(5)]), apart + MAX_EDITS + 1)
         return end.bitwiseAND(bit) > 0
 
@@ -160,7 +160,7 @@ def within_edits(x: Column, y: Column) -> Column:
 
 
 def _refined(line: Column, p: Column) -> Column:
-    """Hashes that narrow a key of many lines.  Lines that share the key p and
+    """Hashes that narrow a key.  Lines that share the key p and
     are within the edits share one of these as well: beside an equal first or
     last segment the two edits lie in the rest, which is cut in three again;
     beside an equal middle segment one edit lies left of it, so one of two
@@ -196,7 +196,9 @@ def _sides(df: DataFrame, prefix: str) -> DataFrame:
 def _partnered(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """The rows of ``later`` that have an earlier line of their key within the
     edits; one partner is enough, so no pair leaves the join."""
-    close = within_edits(F.col("x_line"), F.col("y_line"))
+    # the built-in, compiled, turns most away before the automaton, which is interpreted, reads them
+    maybe = F.levenshtein(F.col("x_line"), F.col("y_line"), MAX_EDITS) >= 0
+    close = F.when(maybe, within_edits(F.col("x_line"), F.col("y_line"))).otherwise(F.lit(False))
     on = (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_") & close
     return _sides(later, "y_").join(_sides(earlier, "x_"), on, "left_semi").select(*[F.col("y_" + c).alias(c) for c in PLACE]).distinct()
 
@@ -212,31 +214,23 @@ def near_lines(lines: DataFrame, keyed: DataFrame, facts: DataFrame) -> DataFram
     """Places of the distinct lines that have an earlier line within the edits.
 
     Keys that only one line has are dropped first, before anything but hashes
-    is moved.  Then every line is compared with the earliest and with the most
-    frequent line of each of its keys, which settles most groups of similar
-    lines.  Keys of more than ``CROWD`` lines that hold unsettled ones are
-    narrowed and treated likewise, and the lines that are left look for a
-    partner among all earlier sharers of their keys."""
+    is moved; the others are narrowed, and narrowed keys of one line dropped
+    too.  Then every line is compared with the earliest and the most frequent
+    line of each of its keys, which settles most groups of similar lines, and
+    the lines that are left look for a partner among all earlier sharers."""
+    several = lambda df: df.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    among = lambda df, ids: df.join(small(ids.select(F.col("h").alias("want")).distinct(), BROADCAST_ROWS),
+                                    F.col("h") == F.col("want"), "left_semi")
     keys = keyed.select(F.posexplode("keys").alias("p", "key"), "h")
-    live = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    sharers = written(keys.join(live, "key").distinct(), "line-keys")
-    texts = lines.select("h", "line").join(small(sharers.select(F.col("h").alias("want")).distinct(), BROADCAST_ROWS),
-                                           F.col("h") == F.col("want"), "left_semi")
-    y = written(sharers.join(facts.join(letter_counts(texts), "h").select(*FACTS, "c", "line"), "h").select("key", "p", *FACTS, "c", "line"),
-                "line-keys")
+    sharers = written(keys.join(several(keys), "key").distinct(), "line-keys")
+    texts = written(among(lines.select("h", "line"), sharers).groupBy("h").agg(F.first("line").alias("line")), "line-texts")
+    narrowed = written(sharers.join(texts, "h").select("h", "key", F.explode(_refined(F.col("line"), F.col("p"))).alias("more"))
+                              .select("h", F.xxhash64("key", "more").alias("key")).distinct(), "line-keys")
+    y = written(narrowed.join(several(narrowed), "key"), "line-keys")
+    y = written(y.join(among(facts, y).join(letter_counts(among(texts, y)), "h").select(*FACTS, "c", "line"), "h"), "line-keys")
     settled = written(_partnered(y, _stars(y)), "line-near")
-    open_keys = y.join(settled, [*PLACE], "left_anti").select("key").distinct()
-    y = written(y.join(small(open_keys, BROADCAST_ROWS), "key", "left_semi"), "line-keys")
-    crowded = y.groupBy("key").count().where(F.col("count") > CROWD).select(F.col("key").alias("crowded"))
-    y = y.join(small(crowded, BROADCAST_ROWS), F.col("key") == F.col("crowded"), "left").withColumn(
-        "more", F.explode(F.when(F.col("crowded").isNull(), F.array(F.lit(None).cast("long"))).otherwise(_refined(F.col("line"), F.col("p")))))
-    # rows that share a narrowed key stand together once, whatever the position they share it at
-    y = y.select(F.xxhash64("key", "more").alias("key"), *FACTS, "c", "line", F.col("more").isNotNull().alias("narrowed"))
-    y = written(y, "line-keys")
-    again = written(_partnered(y.where("narrowed").join(settled, [*PLACE], "left_anti").drop("narrowed"),
-                               _stars(y.where("narrowed"))), "line-near").unionByName(settled)
-    left = y.join(again, [*PLACE], "left_anti")
-    return again.unionByName(written(_partnered(left, y), "line-near"))
+    left = y.join(settled, [*PLACE], "left_anti")
+    return settled.unionByName(written(_partnered(left, y), "line-near"))
 
 
 def removed_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:

@@ -47,9 +47,7 @@ def test_bit_parallel_edits_equal_the_table(spark):
 
 
 @pytest.mark.parametrize("most", [1, 3])
-def test_a_crowd_of_near_lines(spark, monkeypatch, most):
-    """Keys shared by more lines than CROWD: narrowed, nothing lost, no pairs leave a join."""
-    monkeypatch.setattr(line_dedup, "CROWD", 8)
+def test_a_crowd_of_near_lines(spark, most):
     rng = np.random.default_rng(most)
     base = ["in this family every line is a near copy of one", "of all that is the other so much longer second family of lines here"]
     rows = [(i, "\n".join([vary(rng, base[i % 2], most), "tail " + "".join("abcdefgh"[j] for j in rng.integers(0, 8, 30))])) for i in range(160)]
