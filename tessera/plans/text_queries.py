@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ann, retrieval, text, vector
+from ..operators import ann, retrieval, sparse, text, vector
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import SALES_ROLES, read_table, sales_view
 from .registry import register
@@ -39,6 +39,50 @@ def q_embed_tfidf(spark, sf_dir):
     return out.select("doc_id", "chunk_pos", "n_tokens", "embedding")
 
 
+# TF-IDF vectors of the fixed chunks of all documents, as (doc_id, chunk_pos, term, nw).
+_SPARSE_CTES = """
+c AS (SELECT doc_id, CAST(p AS BIGINT) AS chunk_pos, lower(substring(text, p * 800 + 1, 1000)) AS chunk_text
+      FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 1000) / 800) AS BIGINT), 0))) AS p
+            FROM documents)),
+total AS (SELECT COUNT(*) AS n FROM c),
+tf AS (SELECT doc_id, chunk_pos, term, COUNT(*) AS tf
+       FROM (SELECT doc_id, chunk_pos, unnest(regexp_extract_all(chunk_text, '[a-z0-9_]+')) AS term FROM c) GROUP BY ALL),
+idf AS (SELECT term, ln((n + 1)::DOUBLE / (df + 1)::DOUBLE) AS idf FROM (SELECT term, COUNT(*) AS df FROM tf GROUP BY term), total),
+w AS (SELECT doc_id, chunk_pos, term, CAST(floor(1000 * tf * idf) AS BIGINT) AS w FROM tf JOIN idf USING (term)),
+vec AS (SELECT doc_id, chunk_pos, term, CAST(floor(1e6::DOUBLE * w / sqrt(CAST(SUM(w * w) OVER (PARTITION BY doc_id, chunk_pos) AS DOUBLE))) AS BIGINT) AS nw
+        FROM w WHERE w > 0)"""
+
+
+@register("embed_sparse", f"""WITH {_SPARSE_CTES}
+SELECT doc_id, chunk_pos, COUNT(*) AS n_terms, CAST(MAX(nw) AS BIGINT) AS greatest_weight,
+       md5(string_agg(term || ':' || CAST(nw AS VARCHAR), ' ' ORDER BY term)) AS vector_md5
+FROM vec WHERE nw > 0 GROUP BY doc_id, chunk_pos""")
+def q_embed_sparse(spark, sf_dir):
+    """R5 over the fixed chunks of all documents: sparse vectors, as digests of their sorted terms and weights."""
+    index = sparse.build(text.chunk_fixed(read_table(spark, sf_dir, "documents")), ["doc_id", "chunk_pos"], "chunk_text")
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("weights")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), " ")
+    return index.vectors.where(F.size("weights") > 0).select(
+        "key.*", F.size("weights").cast("long").alias("n_terms"), F.array_max(F.map_values("weights")).alias("greatest_weight"),
+        F.md5(listed).alias("vector_md5"))
+
+
+@register("sparse_topk", f"""WITH {_SPARSE_CTES},
+qtf AS (SELECT conv_id, turn, term, COUNT(*) AS tf
+        FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM conversations WHERE role = 'user') GROUP BY ALL),
+qw AS (SELECT conv_id, turn, term, CAST(floor(1000 * tf * idf) AS BIGINT) AS w FROM qtf JOIN idf USING (term)),
+q AS (SELECT conv_id, turn, term, CAST(floor(1e6::DOUBLE * w / sqrt(CAST(SUM(w * w) OVER (PARTITION BY conv_id, turn) AS DOUBLE))) AS BIGINT) AS nw
+      FROM qw WHERE w > 0),
+s AS (SELECT conv_id, turn, doc_id, chunk_pos, CAST(SUM(q.nw * vec.nw) AS BIGINT) AS score FROM q JOIN vec USING (term) GROUP BY ALL)
+SELECT conv_id, turn, rank, doc_id, chunk_pos, score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id, chunk_pos) AS rank FROM s WHERE score > 0)
+WHERE rank <= 5""")
+def q_sparse_topk(spark, sf_dir):
+    """R3 / R8 search part: the 5 best fixed chunks of every user turn, from posting lists."""
+    index = sparse.build(text.chunk_fixed(read_table(spark, sf_dir, "documents")), ["doc_id", "chunk_pos"], "chunk_text")
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return sparse.search(index, conv, ["conv_id", "turn"], "text", k=5)
+
+
 @register("vector_topk", """
 WITH x AS (SELECT label, unnest(generate_series(1, len(embedding))) AS i,
                   unnest(embedding) AS v FROM embeddings),
@@ -90,18 +134,13 @@ def q_vector_ann_recall(spark, sf_dir):
 @register("hybrid_topk")
 def q_hybrid_topk(spark, sf_dir):
     """R5 + R3 + R2 + R8 + R9: every user turn retrieves its nearest
-    document chunks (TF-IDF, cosine) and its statistics document; the
+    document chunks (sparse TF-IDF, cosine) and its statistics document; the
     hybrid list is cut to k = 5 with one slot kept for statistics."""
     chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents")))
-    model = text.fit_tfidf(chunks, dims=512)
-    # embedded chunks feed both the search and the text lookup: compute once
-    cvec = materialize(text.embed(model, chunks, "chunk_text"))
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "conv_id", "turn", F.col("text").alias("question"))
-    qvec = text.embed(model, qs.withColumnRenamed("question", "chunk_text"), "chunk_text")
-    hits = vector.knn(cvec, qvec, k=5, id_col=["doc_id", "chunk_pos"], vec_col="embedding",
-                      query_id=["question_id", "conv_id"], query_vec="embedding", metric="cosine")
-    hits = (hits.join(cvec.select("doc_id", "chunk_pos", F.col("chunk_text").alias("page_content")), ["doc_id", "chunk_pos"])
+    hits = sparse.search(sparse.build(chunks, ["doc_id", "chunk_pos"], "chunk_text"), qs, ["question_id"], "question", k=5)
+    hits = (hits.join(chunks.select("doc_id", "chunk_pos", F.col("chunk_text").alias("page_content")), ["doc_id", "chunk_pos"])
                 .select("question_id", "rank", F.concat_ws(":", F.lit("chunk"), "doc_id", "chunk_pos").alias("source"), "page_content"))
     st = retrieval.attach_statistics(qs, retrieval.statistics_documents(sales_view(spark, sf_dir, materialized=True),
                                                                         SALES_ROLES))
