@@ -22,9 +22,9 @@ two and whose letter counts, some in the whole line, some in its first and
 last half, differ by at most four together; both are necessary.  They are
 verified inside the join: the built-in banded ``levenshtein`` rejects, a banded
 bit-parallel automaton confirms.  It is a semi join, as a line needs one
-earlier partner, so no pairs come out of it.  Keys that
-several lines share are narrowed by a second substring that lines within the
-edits must share too.  Each line is first compared with the earliest and the
+earlier partner, so no pairs come out of it.  Keys of many
+lines are narrowed by a second substring that lines within the edits must
+share too.  Each line is first compared with the earliest and the
 most frequent line of its keys, and what that does not settle with all
 earlier sharers.
 The joins are on the substring's hash and AQE splits skewed ones.
@@ -45,6 +45,7 @@ from .common import fresh, small, written
 
 MAX_EDITS = 2                 # the three-segment layout is for two edits
 BROADCAST_ROWS = 200_000      # hashes or ids sent to all executors at most; more are joined by a shuffle
+CROWD = 64                    # lines that may share a key before it is narrowed
 BLANKS = " \t\r\x0b\x0c"
 COUNTED = "enir"              # letters counted in the first and in the last half
 ALSO_COUNTED = "astoldu "     # letters counted in the whole line
@@ -193,9 +194,18 @@ def _sides(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def _candidates(later: DataFrame, earlier: DataFrame, back: bool = False) -> DataFrame:
+    """The rows of ``later`` that an earlier line of their key may be within the
+    edits of, or, going back, the rows of ``earlier`` that a later one may."""
+    on = (F.col("x_key") == F.col("y_key")) & _fits("x_", "y_")
+    sides = [(_sides(later, "y_"), "y_", later), (_sides(earlier, "x_"), "x_", earlier)]
+    (kept, prefix, source), (other, *_) = sides[::-1] if back else sides
+    return kept.join(other, on, "left_semi").select(*[F.col(prefix + c).alias(c) for c in source.columns])
+
+
 def _partnered(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """The rows of ``later`` that have an earlier line of their key within the
-    edits; one partner is enough, so no pair leaves the join."""
+    """Places of the rows of ``later`` that have an earlier line of their key
+    within the edits; one partner is enough, so no pair leaves the join."""
     # the built-in, compiled, turns most away before the automaton, which is interpreted, reads them
     maybe = F.levenshtein(F.col("x_line"), F.col("y_line"), MAX_EDITS) >= 0
     close = F.when(maybe, within_edits(F.col("x_line"), F.col("y_line"))).otherwise(F.lit(False))
@@ -214,20 +224,28 @@ def near_lines(lines: DataFrame, keyed: DataFrame, facts: DataFrame) -> DataFram
     """Places of the distinct lines that have an earlier line within the edits.
 
     Keys that only one line has are dropped first, before anything but hashes
-    is moved; the others are narrowed, and narrowed keys of one line dropped
-    too.  Then every line is compared with the earliest and the most frequent
-    line of each of its keys, which settles most groups of similar lines, and
-    the lines that are left look for a partner among all earlier sharers."""
+    is moved, and keys of more than ``CROWD`` lines are narrowed.  Lines that
+    no other line of a key can be near by its counts go next; texts are fetched
+    for the others.  Then every line is compared with the earliest and the most
+    frequent line of each of its keys, which settles most groups of similar
+    lines, and the lines that are left look for a partner among all earlier
+    sharers."""
     several = lambda df: df.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     among = lambda df, ids: df.join(small(ids.select(F.col("h").alias("want")).distinct(), BROADCAST_ROWS),
                                     F.col("h") == F.col("want"), "left_semi")
     keys = keyed.select(F.posexplode("keys").alias("p", "key"), "h")
     sharers = written(keys.join(several(keys), "key").distinct(), "line-keys")
     texts = written(among(lines.select("h", "line"), sharers).groupBy("h").agg(F.first("line").alias("line")), "line-texts")
-    narrowed = written(sharers.join(texts, "h").select("h", "key", F.explode(_refined(F.col("line"), F.col("p"))).alias("more"))
+    crowded = small(sharers.groupBy("key").count().where(F.col("count") > CROWD).select("key"), BROADCAST_ROWS)
+    narrowed = written(sharers.join(crowded, "key", "left_semi").join(texts, "h")
+                              .select("h", "key", F.explode(_refined(F.col("line"), F.col("p"))).alias("more"))
                               .select("h", F.xxhash64("key", "more").alias("key")).distinct(), "line-keys")
-    y = written(narrowed.join(several(narrowed), "key"), "line-keys")
-    y = written(y.join(among(facts, y).join(letter_counts(among(texts, y)), "h").select(*FACTS, "c", "line"), "h"), "line-keys")
+    y = sharers.join(crowded, "key", "left_anti").select("h", "key").distinct().unionByName(narrowed.join(several(narrowed), "key"))
+    counted = facts.join(letter_counts(texts).drop("line"), "h").select(*FACTS, "c")
+    y = written(y.join(counted, "h").select("key", *FACTS, "c"), "line-facts")
+    later = written(_candidates(y, y), "line-later")
+    y = later.unionByName(_candidates(later, y, back=True)).distinct()
+    y = written(y.join(among(texts, y), "h").select("key", *FACTS, "c", "line"), "line-candidates")
     settled = written(_partnered(y, _stars(y)), "line-near")
     left = y.join(settled, [*PLACE], "left_anti")
     return settled.unionByName(written(_partnered(left, y), "line-near"))
