@@ -45,7 +45,7 @@ from .common import fresh, small, written
 
 MAX_EDITS = 2                 # the three-segment layout is for two edits
 BROADCAST_ROWS = 200_000      # hashes or ids sent to all executors at most; more are joined by a shuffle
-CROWD = 64                    # lines that may share a key before it is narrowed
+CROWD = 1024                  # lines that may share a key before it is narrowed
 BLANKS = " \t\r\x0b\x0c"
 COUNTED = "enir"              # letters counted in the first and in the last half
 ALSO_COUNTED = "astoldu "     # letters counted in the whole line
@@ -86,10 +86,9 @@ def judged_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return split_lines(docs, id_col, text_col).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
-def with_keys(lines: DataFrame) -> DataFrame:
-    """Lines without their texts: (doc, pos, h, g, n, keys), g a second hash
-    and keys the hashes of the index and probe substrings."""
-    line, n = F.col("line"), F.length("line")
+def keys_of(line: Column) -> Column:
+    """Hashes of a line's index and probe substrings: five, and five more of the band below for lines at the start of a band."""
+    n = F.length(line)
     band = _band(n)
     below = F.when(band <= 64, band - 4).otherwise(band - 16)
 
@@ -99,9 +98,14 @@ def with_keys(lines: DataFrame) -> DataFrame:
         return F.array(key(1, F.substring(line, F.lit(1), a)), key(2, F.substring(line, a + 1, a)), key(2, F.substring(line, a, a)),
                        key(2, F.substring(line, a + 2, a)), key(3, F.right(line, a)))
 
-    keys = F.when(n - band < MAX_EDITS, F.concat(cut(band), cut(below))).otherwise(cut(band))
-    return lines.select("doc", "pos", "h", F.xxhash64(F.lit("second"), "line").alias("g"), n.cast("int").alias("n"),
-                        keys.alias("keys"))
+    return F.when(n - band < MAX_EDITS, F.concat(cut(band), cut(below))).otherwise(cut(band))
+
+
+def with_keys(lines: DataFrame) -> DataFrame:
+    """Lines without their texts: (doc, pos, h, g, n, keys), g a second hash."""
+    line = F.col("line")
+    return lines.select("doc", "pos", "h", F.xxhash64(F.lit("second"), "line").alias("g"), F.length(line).cast("int").alias("n"),
+                        F.array_distinct(keys_of(line)).alias("keys"))
 
 
 def letter_counts(lines: DataFrame) -> DataFrame:
@@ -233,14 +237,15 @@ def near_lines(lines: DataFrame, keyed: DataFrame, facts: DataFrame) -> DataFram
     several = lambda df: df.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     among = lambda df, ids: df.join(small(ids.select(F.col("h").alias("want")).distinct(), BROADCAST_ROWS),
                                     F.col("h") == F.col("want"), "left_semi")
-    keys = keyed.select(F.posexplode("keys").alias("p", "key"), "h")
+    keys = keyed.select(F.explode("keys").alias("key"), "h")
     sharers = written(keys.join(several(keys), "key").distinct(), "line-keys")
     texts = written(among(lines.select("h", "line"), sharers).groupBy("h").agg(F.first("line").alias("line")), "line-texts")
     crowded = small(sharers.groupBy("key").count().where(F.col("count") > CROWD).select("key"), BROADCAST_ROWS)
     narrowed = written(sharers.join(crowded, "key", "left_semi").join(texts, "h")
+                              .select("h", "key", "line", F.posexplode(keys_of(F.col("line"))).alias("p", "own")).where("own = key")
                               .select("h", "key", F.explode(_refined(F.col("line"), F.col("p"))).alias("more"))
                               .select("h", F.xxhash64("key", "more").alias("key")).distinct(), "line-keys")
-    y = sharers.join(crowded, "key", "left_anti").select("h", "key").distinct().unionByName(narrowed.join(several(narrowed), "key"))
+    y = sharers.join(crowded, "key", "left_anti").select("h", "key").unionByName(narrowed.join(several(narrowed), "key"))
     counted = facts.join(letter_counts(texts).drop("line"), "h").select(*FACTS, "c")
     y = written(y.join(counted, "h").select("key", *FACTS, "c"), "line-facts")
     later = written(_candidates(y, y), "line-later")
