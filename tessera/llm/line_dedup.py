@@ -49,6 +49,7 @@ CROWD = 1024                  # lines that may share a key before it is narrowed
 BLANKS = " \t\r\x0b\x0c"
 COUNTED = "enir"              # letters counted in the first and in the last half
 ALSO_COUNTED = "astoldu "     # letters counted in the whole line
+RARER = "cmpvghbf"            # more of them
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,17 +110,17 @@ def with_keys(lines: DataFrame) -> DataFrame:
 
 
 def letter_counts(lines: DataFrame) -> DataFrame:
-    """(h, line, whole, half, halves) of (h, line)."""
+    """(h, line, whole, rarer, half, halves) of (h, line)."""
     line, n = F.col("line"), F.length("line")
     # halves of one length for most lines of a band and of the bands next to it
     half = F.floor((F.when(n < 64, n - n % 4 - 4).when(n < 80, 60).otherwise(n - n % 16 - 16)) / 2).cast("int")
     one = lines.withColumn("half", F.floor(half / 8).cast("int") * 8)
-    return one.select("h", "line", _counts([(line, ALSO_COUNTED)]).alias("whole"), "half", _counts(
+    return one.select("h", "line", _counts([(line, ALSO_COUNTED)]).alias("whole"), _counts([(line, RARER)]).alias("rarer"), "half", _counts(
         [(F.substring(line, F.lit(1), F.col("half")), COUNTED), (F.right(line, F.col("half")), COUNTED)]).alias("halves"))
 
 
 PLACE = ("doc", "pos", "h")
-FACTS = (*PLACE, "n", "whole", "half", "halves")
+FACTS = (*PLACE, "n", "whole", "rarer", "half", "halves")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -129,7 +130,8 @@ def _fits(x: str, y: str) -> Column:
     place = lambda p: F.struct(*[F.col(p + c) for c in PLACE])
     halves = F.when(F.col(x + "half") == F.col(y + "half"), _bytes_apart(F.col(x + "halves"), F.col(y + "halves"))).otherwise(0)
     return ((place(x) < place(y)) & (F.abs(F.col(x + "n") - F.col(y + "n")) <= MAX_EDITS)
-            & (_bytes_apart(F.col(x + "whole"), F.col(y + "whole")) + halves <= 2 * MAX_EDITS))
+            & (_bytes_apart(F.col(x + "whole"), F.col(y + "whole")) + _bytes_apart(F.col(x + "rarer"), F.col(y + "rarer")) + halves
+               <= 2 * MAX_EDITS))
 
 
 def within_edits(x: Column, y: Column) -> Column:
