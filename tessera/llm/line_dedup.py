@@ -284,7 +284,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     stops = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(parts)))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(stops) - 1), lambda i: F.slice(
         F.col(parts), F.element_at(stops, i) + 2, F.element_at(stops, i + 1) - F.element_at(stops, i) - 1)))
-    joined = (docs.join(drop.select(F.col("doc").alias(doc), F.col("drop").alias(gone)), F.col(id_col) == F.col(doc), "left")
+    joined = (docs.join(small(drop.select(F.col("doc").alias(doc), F.col("drop").alias(gone)), BROADCAST_ROWS), F.col(id_col) == F.col(doc), "left")
                   .withColumn(parts, F.split(F.col(text_col), "\n")))   # a column of its own: it is split once a row, not once a run
     own = ("n_lines", "n_removed")
     return joined.select(
