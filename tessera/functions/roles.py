@@ -61,11 +61,18 @@ def resolve_role(columns: Iterable[str], role: str, match: str = "substring",
 
 
 def resolve_roles(columns: Sequence[str], roles: dict | None = None,
-                  match: str = "substring") -> dict:
-    """Role -> column map; explicit entries in ``roles`` win."""
+                  match: str = "substring", call_site: str = "retrieval") -> dict:
+    """Role -> column map; explicit entries in ``roles`` win.
+
+    The call sites differ in two roles.  ``facts`` (A11, A13) takes a
+    region only from a column named so, not from ``location``; ``simple``
+    (A12) also takes sales only from a column named so, not from
+    ``revenue``; ``retrieval`` (documents, charts) takes either."""
+    own = {"retrieval": {}, "facts": {"region": "region_only"},
+           "simple": {"region": "region_only", "sales": "sales_only"}}[call_site]
     roles = dict(roles or {})
     cols = list(columns)
     out = {}
     for role in ("date", "sales", "product", "region", "age", "gender"):
-        out[role] = roles.get(role) or resolve_role(cols, role, match)
+        out[role] = roles.get(role) or resolve_role(cols, own.get(role, role), match)
     return out

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fmt
+from ..plans.rolling import materialize
 
 NUMBER_PATTERN = r"[0-9]+\.?[0-9]*"   # the reference's \d+\.?\d* on ASCII digits
 WORD_THRESHOLD = 0.3                   # strict: more than 30 % of truth words
@@ -128,3 +130,34 @@ def test_questions(spark, roles: dict) -> DataFrame:
                 rows.append((seq, role, q))
             seq += 1
     return spark.createDataFrame(rows, "seq int, role string, question string")
+
+
+def first_questions(spark, roles: dict, n: int = 10, session: str = "evaluation") -> DataFrame:
+    """The first ``n`` test questions as one session (session, seq, question); seq counts from 0."""
+    asked = test_questions(spark, roles).orderBy("seq").limit(n)
+    at = F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1
+    return asked.withColumn("session", F.lit(session)).select("session", at.cast("long").alias("seq"), "question")
+
+
+def run_in_order(questions: DataFrame, stat_docs: DataFrame, k: int = 5, session: str = "session") -> DataFrame:
+    """E9 over R12 with memory: the questions of a session are asked in the order of ``seq``, and each
+    exchange enters the memory window of the last ``k`` before the next question is asked.
+
+    (session, seq, question, response, response_length, n_history, history).  ``history`` is the window as
+    the model would read it.  Without a model an answer depends on its question alone, so the
+    fold needs no state: exchanges become messages (M2) and every question meets the
+    ``2k`` before it by the blocked index of ``history_before_each``; a session of any length,
+    or one that holds most rows, is split over tasks."""
+    from . import memory, retrieval
+    answered = materialize(retrieval.extractive_answer(retrieval.attach_statistics(questions, stat_docs))
+                           .select(session, F.col("seq").cast("long").alias("seq"), "question", F.col("answer").alias("response")))
+    messages = memory.save_context(answered.select(session, "seq", F.col("question").alias("input"), F.col("response").alias("output")),
+                                   session)
+    before = memory.history_before_each(messages, k, session)
+    label = F.create_map(*[x for r, shown in memory.DISPLAY.items() for x in (F.lit(r), F.lit(shown))])
+    seen = before.select(F.col(session).alias("_s"), (F.col("q_turn") / 2).cast("long").alias("_q"), "history")
+    kept = F.coalesce("history", F.array().cast("array<struct<turn:bigint,role:string,text:string>>"))
+    return (answered.join(seen, (F.col(session) == F.col("_s")) & (F.col("seq") == F.col("_q")), "left")
+            .select(session, "seq", "question", "response", F.length("response").cast("long").alias("response_length"),
+                    F.size(kept).cast("long").alias("n_history"),
+                    F.array_join(F.transform(kept, lambda m: F.concat(label[m["role"]], F.lit(": "), m["text"])), "\n").alias("history")))

@@ -20,7 +20,7 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from ..functions import fmt
-from ..functions.roles import resolve_role
+from ..functions.roles import resolve_role, resolve_roles
 from ..plans.quantiles import exact_quantiles
 from ..plans.rolling import materialize
 
@@ -416,3 +416,12 @@ def quick_statistics(questions: DataFrame, text_col: str, facts: DataFrame, role
         lines.append(F.when(q.contains("region") | q.contains("location"),
                             F.concat(F.lit("Total Regions: "), f["n_regions"].cast("string"))))
     return questions.withColumn("statistics", F.concat_ws("\n", *lines))
+
+
+def statistics_lines(questions: DataFrame, text_col: str, df: DataFrame, simple: bool = False) -> DataFrame:
+    """A11 (A12 with ``simple``) straight from a table, its columns taken by
+    the names these call sites look for: no region line from a ``location``
+    column; the simple form takes the first column named ``sales`` even if
+    a ``revenue`` column comes before it."""
+    roles = resolve_roles(df.columns, call_site="simple" if simple else "facts")
+    return quick_statistics(questions, text_col, table_facts(df, roles), roles, simple)

@@ -14,6 +14,7 @@ _MODULES = (
     "memory_queries",
     "profile_queries",
     "text_queries",
+    "context_queries",
     "stream_queries",
 )
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import normalize as norm
-from ..operators import profile
+from ..operators import profile, summary
 from ..sources.tables import read_fact, read_table
+from .oracle import xavg
 from .registry import register
 
 _DUCK_TYPE = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
@@ -116,6 +117,35 @@ def q_browse(spark, sf_dir):
     return profile.browse(read_table(spark, sf_dir, "lineitem"), 20)
 
 
+def _summary_sql():
+    """P5 of the numeric, P6 of the date and P7 of the categorical columns of lineitem."""
+    parts = []
+    for i, c in enumerate(_LI_COLS[:8]):
+        x = f"CAST({c} AS DOUBLE)"
+        for j, (stat, e) in enumerate([
+                ("count", f"COUNT({c})"), ("mean", xavg(c)), ("std", f"STDDEV_SAMP({x})"), ("min", f"MIN({x})"),
+                ("25%", f"QUANTILE_CONT({x}, 0.25)"), ("50%", f"QUANTILE_CONT({x}, 0.5)"),
+                ("75%", f"QUANTILE_CONT({x}, 0.75)"), ("max", f"MAX({x})")]):
+            parts.append(f"""SELECT 'numeric' AS section, '{c}' AS "column", '{stat}' AS stat, {i * 8 + j} AS pos,
+                             ROUND(CAST({e} AS DOUBLE), 6) AS number, NULL AS text FROM lineitem""")
+    day = "CAST({f}(l_shipdate) AS DATE)"
+    lo, hi = day.format(f="MIN"), day.format(f="MAX")
+    for j, (stat, number, text) in enumerate([("earliest", "NULL", f"CAST({lo} AS VARCHAR)"), ("latest", "NULL", f"CAST({hi} AS VARCHAR)"),
+                                              ("span_days", f"CAST({hi} - {lo} AS DOUBLE)", "NULL")]):
+        parts.append(f"SELECT 'range', 'l_shipdate', '{stat}', {j}, {number}, {text} FROM lineitem HAVING COUNT(l_shipdate) > 0")
+    for c in ("l_returnflag", "l_linestatus"):
+        parts.append(f"""SELECT 'distribution', '{c}', {c}, CAST(pos AS INTEGER), CAST(n AS DOUBLE), NULL FROM (
+            SELECT {c}, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) AS pos, COUNT(*) OVER () AS nd
+            FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}) WHERE pos <= 10 AND nd < 100""")
+    return " UNION ALL ".join(parts)
+
+
+@register("summary_statistics", _summary_sql())
+def q_summary_statistics(spark, sf_dir):
+    """P8 over the whole fact table, in two scans."""
+    return summary.summary_statistics(read_fact(spark, sf_dir, "lineitem")).withColumn("number", F.round("number", 6))
+
+
 _DATE_LOOKS = {"iso": "yyyy-MM-dd", "us": "M/d/yyyy", "dashes": "dd-MM-yyyy", "name": "MMM d, yyyy", "stamp": "yyyy-MM-dd'T'HH:mm:ss"}
 
 

@@ -60,12 +60,43 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 else:
                     targets[(i, r)] = [first[f"lo{i}"], first[f"hi{i}"], below]
 
-    def windowed(wins, make):
+    def windowed(wins, bucket):
         """One pass: every row x window it falls in (codegen-friendly
         explode + filter; windows are few)."""
-        items = [F.when((x[columns[i]] >= F.lit(a)) & (x[columns[i]] <= F.lit(b)), make(w, i, a, b))
+        items = [F.when((x[columns[i]] >= F.lit(a)) & (x[columns[i]] <= F.lit(b)),
+                        F.struct(F.lit(w).alias("w"), bucket(x[columns[i]], a, b).alias("b"), x[columns[i]].alias("v"),
+                                 F.lit(1).cast("bigint").alias("n")))
                  for w, (i, a, b) in enumerate(wins)]
-        return df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
+        return df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull()).select("s.*")
+
+    values.update(narrow(windowed, targets, buckets, cap))
+    for i, c in enumerate(columns):
+        n = first[f"n{i}"]
+        for p in probs:
+            if n:
+                result[(c, p)] = interpolate((n - 1) * p, lambda r, i=i: values[(i, r)])
+    return result
+
+
+def interpolate(pos: float, value) -> float:
+    """The value at a fractional rank from its two neighbours."""
+    lo, hi = math.floor(pos), math.ceil(pos)
+    if lo == hi or value(lo) == value(hi):
+        return value(lo)
+    return (hi - pos) * value(lo) + (pos - lo) * value(hi)
+
+
+def narrow(windowed, targets: dict, buckets: int = BUCKETS, cap: int = CAP) -> dict:
+    """{(column, rank): value} for targets {(column, rank): (window lo, window hi, rows below the window)}.
+
+    ``windowed(windows, bucket)`` gives the rows (w, b, v, n) inside each of the windows
+    (column, lo, hi): its number, ``bucket(v, lo, hi)``, the value and how many rows have it."""
+    values = {}
+
+    def part_of(y, a, b):
+        # halves: the width of a window may be above the largest double
+        part = (y / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) if b / 2 > a / 2 else F.when(y > F.lit(a), 1.0).otherwise(0.0)
+        return F.least(F.floor(part * buckets), F.lit(buckets - 1)).cast("int")
 
     while targets:
         todo = {}
@@ -77,15 +108,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if not todo:
             break
         wins = sorted({(i, a, b) for (i, _), (a, b, _) in todo.items()})   # shared per column
-
-        def bucketed(w, i, a, b):
-            y = x[columns[i]]
-            # halves: the width of a window may be above the largest double
-            part = (y / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) if b / 2 > a / 2 else F.when(y > F.lit(a), 1.0).otherwise(0.0)
-            bk = F.least(F.floor(part * buckets), F.lit(buckets - 1))
-            return F.struct(F.lit(w).alias("w"), bk.cast("int").alias("b"), y.alias("v"))
-        hist = (windowed(wins, bucketed).groupBy("s.w", "s.b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("mn"), F.max("s.v").alias("mx"))
+        hist = (windowed(wins, part_of).groupBy("w", "b")
+                .agg(F.sum("n").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                 .collect())   # at most len(wins) * buckets rows
         by_w = {}
         for h in hist:
@@ -107,24 +131,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 cum += h["n"]
         if collect_now:   # one pass for all windows; each holds at most ``cap`` values
             cw = sorted({(i, a, b) for i, _, a, b, _ in collect_now})
-            rows = (windowed(cw, lambda w, i, a, b: F.struct(F.lit(w).alias("w"), x[columns[i]].alias("v")))
-                    .select("s.w", "s.v").collect())
             got = {}
-            for row in rows:
-                got.setdefault(row["w"], []).append(row["v"])
+            for row in windowed(cw, lambda y, a, b: F.lit(0)).select("w", "v", "n").collect():
+                got.setdefault(row["w"], []).extend([row["v"]] * row["n"])
             for w in got:
                 got[w].sort()
             for i, r, a, b, cum in collect_now:
                 values[(i, r)] = got[cw.index((i, a, b))][r - cum]
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        for p in probs:
-            if not n:
-                continue
-            pos = (n - 1) * p
-            lo, hi = math.floor(pos), math.ceil(pos)
-            if lo == hi or values[(i, lo)] == values[(i, hi)]:
-                result[(c, p)] = values[(i, lo)]
-            else:
-                result[(c, p)] = (hi - pos) * values[(i, lo)] + (pos - lo) * values[(i, hi)]
-    return result
+    return values

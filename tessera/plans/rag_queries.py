@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import evaluation, memory, retrieval, stats
 from ..sources.tables import SALES_ROLES, read_table, sales_view
@@ -308,3 +309,26 @@ FROM conversations WHERE role = 'assistant'""")
 def q_response_metrics(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     return evaluation.response_metrics(c, "text")
+
+
+def _first_ten() -> list[str]:
+    return [q for _, block in evaluation.QUESTION_BLOCKS for q in block][:10]
+
+
+@register("eval_ten", with_sales(f"""
+SELECT seq, question, response, CAST(length(response) AS BIGINT) AS response_length,
+       (SELECT AVG(length(response)) FROM answered) AS avg_response_length,
+       (SELECT COUNT(*) FROM said WHERE said.turn < 2 * a.seq AND said.turn >= 2 * a.seq - 10) AS n_history,
+       COALESCE((SELECT string_agg(line, {_NL} ORDER BY turn) FROM said
+                 WHERE said.turn < 2 * a.seq AND said.turn >= 2 * a.seq - 10), '') AS history
+FROM answered a""", *STATDOC_CTES,
+    "ten AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS seq, '{q}' AS question" for i, q in enumerate(_first_ten())) + ")",
+    f"""answered AS (SELECT ten.seq, ten.question, COALESCE(s.page_content, '{_FALLBACK}') AS response
+                 FROM ten LEFT JOIN statdocs s ON s.intent = {_intent_sql('ten.question')})""",
+    """said AS (SELECT 2 * seq AS turn, 'User: ' || question AS line FROM answered
+            UNION ALL SELECT 2 * seq + 1, 'Assistant: ' || response FROM answered)"""))
+def q_eval_ten(spark, sf_dir):
+    """E8 + E9 + R12 + M2 + M3: the first ten test questions in order, each with the memory that it found."""
+    run = evaluation.run_in_order(evaluation.first_questions(spark, R), _stat_docs(spark, sf_dir))
+    return run.select("seq", "question", "response", "response_length", F.avg("response_length").over(Window.partitionBy("session"))
+                      .alias("avg_response_length"), "n_history", "history")

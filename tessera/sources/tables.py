@@ -98,15 +98,12 @@ def sales_view(spark: SparkSession, sf_dir: str, materialized: bool = True,
 
 def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Hash of path, length and modification time of every input file,
-    nested partition folders included.  The listing is a Spark job; only
-    one row a table comes back."""
-    h = hashlib.sha1()
-    for p in paths:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p)
-                 .select("path", "length", "modificationTime"))
-        n, mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
-        h.update(f"{p}|{n}|{mark};".encode())
-    return h.hexdigest()[:20]
+    nested partition folders included.  One Spark job lists all paths;
+    only one row comes back."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+             .select("path", "length", "modificationTime"))
+    n, mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return hashlib.sha1(f"{'|'.join(paths)}|{n}|{mark}".encode()).hexdigest()[:20]
 
 
 def prepared_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
@@ -122,16 +119,25 @@ def prepared_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> D
     disturbed and object stores without atomic renames do.  ``refresh=True``
     writes a new version, and the newest complete one is read.  Readers get
     column pruning and pushed filters, which a row checkpoint cannot give.
+
+    Inputs are listed once a session and folder, like the reference's one
+    load: inputs that change while a session runs are seen by
+    ``refresh=True`` or a new session.
     """
     import time
     import uuid
 
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark).rstrip("/")
+    known = spark.__dict__.setdefault("_tessera_prepared", {})
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    if not refresh and (base, sf_dir) in known:
+        done = jvm.org.apache.hadoop.fs.Path(f"{known[(base, sf_dir)]}/_SUCCESS")
+        if done.getFileSystem(conf).exists(done):
+            return spark.read.parquet(known[(base, sf_dir)])
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet"
               for t in ("lineitem", "orders", "customer", "nation", "region", "part")]
     path = f"{base}/tables/sales-{_fingerprint(spark, inputs)}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
     found = marker.getFileSystem(conf).globStatus(marker) or []
     versions = sorted(str(f.getPath().getParent()) for f in found)
@@ -139,6 +145,7 @@ def prepared_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -> D
         versions = [f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex}"]
         # spread: the written table then has at least one file per core
         sales_view(spark, sf_dir, materialized=False, spread_fact=True).write.parquet(versions[0])
+    known[(base, sf_dir)] = versions[-1]
     return spark.read.parquet(versions[-1])
 
 

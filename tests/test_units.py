@@ -435,6 +435,26 @@ def test_quick_statistics_lines(spark):
                                    "Total Regions: 2"]
 
 
+def test_statistics_lines_take_columns_by_call_site(spark):
+    df = spark.createDataFrame([(1.0, 5.0, "x"), (2.0, 6.0, "y")], "revenue double, total_sales double, location string")
+    qs = spark.createDataFrame([(1, "sales by region")], "id int, question string")
+    line = lambda simple: stats_mod.statistics_lines(qs, "question", df, simple).first()["statistics"].split("\n")
+    # a location column gives no region line; only the simple form looks past revenue
+    assert line(False) == ["Total Records: 2", "Total Sales: $3.00", "Average Sale: $1.50"]
+    assert line(True) == ["Total Records: 2", "Total Sales: $11.00"]
+
+
+def test_questions_in_order_see_the_exchanges_before_them(spark):
+    from tessera.operators import evaluation
+    qs = spark.createDataFrame([(s, i, f"{s} sales {i}") for s, n in (("a", 9), ("b", 2)) for i in range(n)],
+                               "session string, seq long, question string")
+    docs = spark.createDataFrame([("sales", "sales_statistics", "doc")], "intent string, doc_type string, page_content string")
+    got = {(r["session"], r["seq"]): r for r in evaluation.run_in_order(qs, docs, k=2).collect()}
+    assert len(got) == 11 and got["a", 0]["history"] == "" and got["b", 0]["n_history"] == 0
+    assert got["b", 1]["history"] == "User: b sales 0\nAssistant: doc"
+    assert got["a", 8]["history"] == "User: a sales 6\nAssistant: doc\nUser: a sales 7\nAssistant: doc"
+
+
 # ------------------------------------------------------------ prepared table
 def test_prepared_table_equals_lazy_join_and_is_reused(spark, sf001):
     from tessera.session import ensure_checkpoint_dir
