@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import csv
+import io
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
+from ..plans.rolling import materialize
+from ..session import ensure_checkpoint_dir
 
 # Cells read as missing (pandas' default NA markers, which
 # already include the five the reference lists).
@@ -41,19 +49,174 @@ def header_names(cells: list, case_sensitive: bool = False) -> list[str]:
     return out
 
 
-def _headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """(header cells, files) for each distinct header line of the files under ``path``.
+# ------------------------------------------------------------ record borders
+def _ends_inside(line: str, inside: bool) -> bool:
+    """Whether the end of a line lies inside a quoted cell.  A quote opens a cell only at its start, a
+    doubled one inside is a character, one that follows other characters of a cell is, too."""
+    pieces = line.replace('""', "").split('"')
+    at_start = not inside and pieces[0] == ""
+    for before in pieces[:-1]:
+        if inside:
+            inside = False
+        elif at_start or before.endswith(","):
+            inside = True
+        at_start = False
+    return inside
+
+
+def _runs(batch):
+    """(file, start, lines) for each run of rows of one split in an Arrow batch."""
+    at = batch.column("split").to_numpy()
+    cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else [0]
+    for i, j in zip(cuts, cuts[1:]):
+        yield batch.column("file")[i].as_py(), batch.column("start")[i].as_py(), batch.column("value").slice(i, j - i)
+
+
+def _quoted(lines) -> list[int]:
+    return np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False)).tolist()
+
+
+_BORDERS = "file string, start long, after_outside boolean, after_inside boolean, header string"
+
+
+def _borders(batches, multiline: bool):
+    """One row a split: the state behind it for either state before it, and the header record of the file."""
+    def row(key, after, header):
+        if header and open_header:
+            raise ValueError(f"The header record of {key[0]} does not end in the first split")
+        text = "\n".join(header).removeprefix("\ufeff") if header else None
+        return pa.RecordBatch.from_pylist([{"file": key[0], "start": key[1], "after_outside": after[0], "after_inside": after[1],
+                                            "header": text}], schema=_arrow(_BORDERS))
+    key, after, header, open_header = None, [False, multiline], [], False
+    for batch in batches:
+        for file, start, lines in _runs(batch):
+            if (file, start) != key:
+                if key is not None:
+                    yield row(key, after, header)
+                key, after, header, open_header = (file, start), [False, multiline], [], start == 0
+            if open_header:
+                inside = bool(header)
+                for v in lines:
+                    line = v.as_py().removesuffix("\r")
+                    if not header and line.removeprefix("\ufeff") == "":
+                        continue
+                    header.append(line)
+                    inside = multiline and _ends_inside(line.removeprefix("\ufeff"), inside)
+                    if not inside:
+                        open_header = False
+                        break
+            if multiline:
+                for i in _quoted(lines):
+                    line = lines[i].as_py().removesuffix("\r")
+                    line = line.removeprefix("\ufeff") if start == 0 else line
+                    after = [_ends_inside(line, after[0]), _ends_inside(line, after[1])]
+    if key is not None:
+        yield row(key, after, header)
+
+
+_PIECES = "file string, start long, kind int, value string"
+_WHOLE, _HEAD, _TAIL = 0, 1, 2
+
+
+def _records(batches, inside_at: dict, multiline: bool, broken: bool):
+    """The records of each split, given the splits that start inside a quoted cell.
+
+    Records that lie in one split are ``_WHOLE``.  With ``broken`` only the others' pieces are returned: the
+    lines before the first border (``_HEAD``) and those behind the last (``_TAIL``)."""
+    schema = _arrow(_PIECES)
+
+    def piece(key, kind, texts):
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()),
+                                           pa.array([kind] * n, pa.int32()), texts], schema=schema)
 
-    Every file's first line is found in one distributed pass that keeps one
-    row a file; header lines are few, files are grouped under them."""
-    rows = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    # lines of one file come in order; the first line of its first split is the header
-    first = (rows.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
-                 .groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect())
-    cells = lambda line: next(csv.reader([line.removeprefix("\ufeff")]), [])
-    return sorted(((cells(r["line"]), list(r["files"])) for r in first), key=lambda x: x[1])
+    def closing(key, pending, kind):
+        return [piece(key, kind, pa.array(["\n".join(pending)], pa.string()))] if broken and pending else []
+
+    key, inside, pending, kind, skip = None, False, [], _WHOLE, False
+    for batch in batches:
+        for file, start, lines in _runs(batch):
+            if (file, start) != key:
+                if key is not None:
+                    yield from closing(key, pending, kind)
+                key, pending, skip = (file, start), [], start == 0
+                inside = start in inside_at.get(file, ())
+                kind = _HEAD if inside else _TAIL
+            quoted = _quoted(lines) if multiline else []
+            if not quoted and not pending and not inside:
+                whole = lines
+            else:
+                texts, whole, at = lines.to_pylist(), [], dict.fromkeys(quoted)
+                for i, line in enumerate(texts):
+                    if i in at:
+                        bare = line.removesuffix("\r")
+                        inside = _ends_inside(bare.removeprefix("\ufeff") if start == 0 else bare, inside)
+                    pending.append(line)
+                    if not inside:
+                        if kind == _HEAD:
+                            yield from closing(key, pending, kind)
+                        else:
+                            whole.append("\n".join(pending))
+                        pending, kind = [], _TAIL
+                whole = pa.array(whole, pa.string())
+            if broken:
+                continue
+            whole = pc.utf8_rtrim(whole, characters="\r")
+            if skip:     # the header is the first record that is not blank
+                whole = whole.filter(pc.not_equal(pc.replace_substring(whole, "\ufeff", ""), ""))
+            else:
+                whole = whole.filter(pc.not_equal(whole, ""))
+            if skip and len(whole):
+                whole, skip = whole.slice(1), False
+            if len(whole):
+                yield piece(key, _WHOLE, whole)
+    if key is not None:
+        yield from closing(key, pending, kind)
+
+
+def _arrow(ddl: str):
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in ddl.split(", "))])
+
+
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """Lines with the split they stand in, in the order of the file inside a split."""
+    meta = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return spark.read.option("lineSep", "\n").text(path).select(
+        meta[0].alias("file"), meta[1].alias("start"), F.xxhash64(*meta).alias("split"), "value")
+
+
+def _opened(borders: DataFrame) -> tuple[dict, list]:
+    """({file: starts of the splits that begin inside a quoted cell}, files with a record that a border cuts).
+
+    A split maps the state before it to the one behind it: it keeps, turns or fixes it.  The state
+    before a split is the last fixed one, turned as often as splits since then do.  What
+    comes to the driver is a number for each such split, some bytes for 128 MB of input."""
+    w = Window.partitionBy("file").orderBy("start")
+    fixed = F.col("after_outside") == F.col("after_inside")
+    turns = F.sum((~fixed & F.col("after_outside")).cast("int")).over(w)
+    state = borders.select("*", turns.alias("turns")).select(
+        "*", F.max(F.when(fixed, F.struct("start", "after_outside", "turns"))).over(w).alias("last"))
+    exit_ = (F.coalesce(F.col("last.after_outside"), F.lit(False)).cast("int")
+             + F.col("turns") - F.coalesce(F.col("last.turns"), F.lit(0))) % 2 == 1
+    state = state.select("file", "start", exit_.alias("exit"))
+    state = state.select("*", F.coalesce(F.lag("exit").over(w), F.lit(False)).alias("entry"))
+    rows = (state.where("entry or exit").groupBy("file")
+                 .agg(F.collect_list(F.when(F.col("entry"), F.col("start"))).alias("starts")).collect())
+    return {r["file"]: frozenset(r["starts"]) for r in rows if r["starts"]}, [r["file"] for r in rows]
+
+
+def _record_texts(spark: SparkSession, path, inside_at: dict, cut_files: list, multiline: bool) -> DataFrame:
+    """One row a record: those inside a split, and those put together from the pieces in several."""
+    lines = _lines(spark, path)
+    whole = lines.mapInArrow(lambda it: _records(it, inside_at, multiline, False), _PIECES).select("value")
+    if not cut_files:
+        return whole
+    w = Window.partitionBy("file").orderBy("start", "kind")
+    pieces = (lines.where(F.col("file").isin(cut_files)).mapInArrow(lambda it: _records(it, inside_at, multiline, True), _PIECES)
+              .select("*", F.sum((F.col("kind") == _TAIL).cast("int")).over(w).alias("record")))
+    joined = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "value"))).alias("p"))
+    return whole.unionByName(joined.select(F.rtrim(F.array_join("p.value", "\n"), F.lit("\r")).alias("value")))
 
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -62,35 +225,45 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     ``path`` may be a file, a directory or a glob: a directory of files is
     one table (S10), whose files may list their columns in different orders;
     they are matched by name, and a column that a file lacks is NULL there.
-    Headers are named by ``header_names``; the scan of each group of files
-    with one header uses that all-text schema and skips each file's header
-    line.  Spark's own ``nullValue`` takes a single marker, so the markers
-    are applied as one ``when`` per column in the same projection.
-
-    Line breaks inside quoted cells are read as such.  That needs one task
-    a file; ``multiline=False`` splits large files, for data known to have
-    no line breaks inside cells."""
+    Headers are named by ``header_names``; a header cell may hold line
+    breaks, blank lines before it are skipped.
+
+    Large files are split, line breaks inside quoted cells included.  A first
+    pass over the lines finds, for every split, the state (inside a quoted
+    cell or not) behind it for either state before it, and each file's
+    header; a prefix over these small rows gives the state each split starts
+    in.  The second pass cuts the lines of a split into records, which
+    Spark's own ``from_csv`` reads; records that a border cuts are put
+    together from their pieces.  ``multiline=False`` takes every line as a
+    record, whatever its quotes.  Lines end with a line feed, with or without
+    a carriage return before it.  The NA markers are applied as one ``when``
+    per column in the same projection (Spark's ``nullValue`` takes a single
+    one)."""
+    ensure_checkpoint_dir(spark)
     try:
-        groups = _headers(spark, path)
+        lines = _lines(spark, path)
     except AnalysisException as e:  # S2: missing path
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"File not found: {path}") from None
         raise
+    borders = materialize(lines.mapInArrow(lambda it: _borders(it, multiline), _BORDERS))
+    heads = (borders.where("header is not null").groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect())
+    groups = sorted(((next(csv.reader(io.StringIO(r["header"], newline="")), []), list(r["files"])) for r in heads), key=lambda x: x[1])
     if not groups:
         return spark.createDataFrame([], StructType([]))
+    inside_at, cut_files = _opened(borders) if multiline else ({}, [])
     cs = spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    markers = list(NULL_MARKERS)
     out = None
     for cells, files in groups:
-        names = header_names(cells, case_sensitive=cs)
-        part = (spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
-                .option("emptyValue", "").option("header", True)
-                .schema(StructType([StructField(n, StringType()) for n in names]))
-                .csv(path if len(groups) == 1 else files))
+        here = path if len(groups) == 1 else files
+        texts = _record_texts(spark, here, inside_at, [f for f in cut_files if len(groups) == 1 or f in set(files)], multiline)
+        schema = ", ".join(f"c{i} string" for i in range(len(cells)))
+        r = texts.select(F.from_csv("value", schema, {"escape": '"', "emptyValue": "", "maxColumns": str(max(20480, len(cells) + 1))}).alias("r"))
+        part = r.select(*[F.when(~F.col(f"r.c{i}").isin(markers), F.col(f"r.c{i}")).alias(n)
+                          for i, n in enumerate(header_names(cells, case_sensitive=cs))])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    markers = list(NULL_MARKERS)
-    return out.select(*[
-        F.when(F.col(f"`{c}`").isin(markers), F.lit(None).cast("string"))
-         .otherwise(F.col(f"`{c}`")).alias(c) for c in out.columns])
+    return out
 
 
 def load_table(spark: SparkSession, path: str, fill: bool = True, multiline: bool = True) -> DataFrame:
