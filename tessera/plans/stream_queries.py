@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import documents
 from ..session import ensure_checkpoint_dir
 from ..sources import store
-from ..sources.tables import SALES_ROLES, sales_view
+from ..sources.tables import SALES_ROLES, read_table, sales_view
 from ..streaming.daily_summary import run_daily_summary
 from ..streaming.memory_state import stream_memory
+from ..streaming.session_state import run_sessions
 from .doc_queries import _GROUP_CTES, _SUMMARY_CTES
 from .memory_queries import _lastk_sql
 from .oracle import with_sales
@@ -32,6 +33,28 @@ def q_stream_memory(spark, sf_dir):
     return stream_memory(spark, _stream_path(sf_dir, "conversations"), k=5)
 
 
+@register("stream_session_control", """
+SELECT conv_id, turn, role, text, pos FROM (
+  SELECT conv_id, turn, role, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos
+  FROM conversations c WHERE role IN ('user', 'assistant') AND conv_id % 5 <> 1
+    AND NOT (conv_id % 5 = 2 AND turn <= COALESCE((SELECT MIN(turn) FROM conversations d
+                                                   WHERE d.conv_id = c.conv_id AND role = 'assistant'), -1)))
+WHERE pos <= CASE WHEN conv_id % 3 = 0 THEN 10 ELSE 2 * (1 + conv_id % 3) END""")
+def q_stream_session_control(spark, sf_dir):
+    """M7 with M5 and M6: the controls of ``session_control`` and the settings of ``memory_own_k``, written as
+    files of their own, stream beside the messages."""
+    c = read_table(spark, sf_dir, "conversations")
+    control = lambda df, op, k: df.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(op).alias("op"), k.cast("int").alias("k"))
+    none = F.lit(None)
+    per = c.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first"))
+    rows = (control(per.where("conv_id % 5 = 1"), "delete", none)
+            .unionByName(control(per.where("conv_id % 5 = 2 and first is not null").select("conv_id", F.col("first").alias("turn")), "clear", none))
+            .unionByName(control(per.where("conv_id % 3 <> 0"), "k", 1 + F.col("conv_id") % 3)))
+    path = _scratch(spark, "controls")
+    rows.write.parquet(path)
+    return run_sessions(spark, _stream_path(sf_dir, "conversations"), path, default_k=5)
+
+
 @register("stream_daily_summary", """
 WITH d AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(ts AS DATE) AS dd, event_type,
                   COUNT(*) AS n_events, SUM(value) AS total_value
