@@ -91,26 +91,41 @@ def categorical_topn(df: DataFrame, columns: list[str] | None = None, first: int
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows equal to an earlier row in every column (NULLs equal).
-    ``groupBy(all)`` with partial aggregation; one row out."""
-    g = df.groupBy(*[_c(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    """Rows equal to an earlier row in every column (NULLs equal); one row out.
+
+    Rows are first counted by a 128-bit fingerprint (two 64-bit hashes of values and NULL marks), so
+    16 bytes a row are shuffled.  Whole rows are compared only where fingerprints meet; both counts
+    are partial-aggregated, so a row repeated a third of the time is no hot key.  Without repeats
+    nothing meets and the second scan is dropped at run time."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    marks = [F.col(n).isNull() for n in names]
+    # a hash skips NULLs, so the marks tell (NULL, x) from (x, NULL)
+    marked = rows.select("*", F.xxhash64(*names, *marks).alias("f1"), F.xxhash64(F.lit("2"), *marks, *names[::-1]).alias("f2"))
+    met = marked.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2")
+    g = marked.join(met, ["f1", "f2"], "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def validate(df: DataFrame, high_null_pct: float = 50.0) -> DataFrame:
     """Every check as a row (check, column, value, flagged,
-    message); flagged rows are the reference's issue list."""
-    info = column_info(df)
-    rows = df.agg(F.count(F.lit(1)).alias("r")).scalar()
-    pct = F.try_divide(F.col("nulls") * F.lit(100.0), rows)
-    empty = info.select(F.lit("empty_column").alias("check"), "column", F.col("nulls").cast("double").alias("value"),
-                        ((F.col("non_null") == 0) & (rows > 0)).alias("flagged"))
-    high = info.select(F.lit("null_percent").alias("check"), "column", pct.alias("value"),
-                       (F.coalesce(pct, F.lit(0.0)) > high_null_pct).alias("flagged"))
+    message); flagged rows are the reference's issue list.
+
+    One aggregation counts rows and NULLs of all columns and gives both checks of each
+    as rows; the duplicates are counted beside it (``duplicate_rows``)."""
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(_c(c)).alias(f"nn{i}") for i, c in enumerate(df.columns)])
+    checks = []
+    for i, c in enumerate(df.columns):
+        nulls = F.col("_rows") - F.col(f"nn{i}")
+        pct = F.try_divide(nulls * F.lit(100.0), F.col("_rows"))
+        checks += [F.struct(F.lit("empty_column").alias("check"), F.lit(c).alias("column"), nulls.cast("double").alias("value"),
+                            ((F.col(f"nn{i}") == 0) & (F.col("_rows") > 0)).alias("flagged")),
+                   F.struct(F.lit("null_percent").alias("check"), F.lit(c).alias("column"), pct.alias("value"),
+                            (F.coalesce(pct, F.lit(0.0)) > high_null_pct).alias("flagged"))]
     dup = duplicate_rows(df).select(F.lit("duplicate_rows").alias("check"), F.lit(None).cast("string").alias("column"),
                                     F.col("duplicate_rows").cast("double").alias("value"),
                                     (F.col("duplicate_rows") > 0).alias("flagged"))
-    out = empty.unionByName(high).unionByName(dup)
+    out = wide.select(F.inline(F.array(*checks))).unionByName(dup)
     msg = (F.when(F.col("check") == "empty_column", F.concat(F.lit("Empty column: "), F.col("column")))
             .when(F.col("check") == "null_percent",
                   F.concat(F.lit(f"Column with >{high_null_pct:g}% missing values: "), F.col("column")))

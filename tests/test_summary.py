@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import summary
 from tessera.plans.quantiles import exact_quantiles
@@ -54,3 +55,22 @@ def test_empty_tables(spark):
     assert {s for s, _ in out} == {"numeric"}
     text = summary.summary_statistics(spark.createDataFrame([("q",), ("q",)], "t string")).collect()
     assert [(r["section"], r["stat"], r["number"]) for r in text] == [("distribution", "q", 2.0)]
+
+
+def test_duplicates_by_fingerprint(spark):
+    from tessera.operators import profile
+    rows = [(None, "a", 1.0), ("a", None, 1.0), ("a", None, 1.0), (None, None, float("nan")), (None, None, float("nan")),
+            ("x", "y", 0.0), ("x", "y", -0.0), ("f1", "n", 2.0)]
+    df = spark.createDataFrame(rows, "f1 string, `a.b` string, n double")
+    assert profile.duplicate_rows(df).first()[0] == 3
+    assert profile.duplicate_rows(df.unionAll(df)).first()[0] == 3 + len(rows)
+    assert profile.duplicate_rows(df.limit(0)).first()[0] == 0
+    flagged = {(r["check"], r["column"]) for r in profile.validate(df.select("f1", F.lit(None).cast("int").alias("gone"))).collect() if r["flagged"]}
+    assert flagged == {("empty_column", "gone"), ("null_percent", "gone"), ("duplicate_rows", None)}
+
+
+def test_only_fingerprints_are_shuffled_for_unique_rows(spark):
+    from tessera.operators import profile
+    plan = profile.duplicate_rows(spark.range(10).withColumn("t", F.lit("x")))._jdf.queryExecution().executedPlan().toString()
+    first = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert any("f1" in line and "f2" in line for line in first)
