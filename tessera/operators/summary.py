@@ -6,7 +6,7 @@ ranges, and for every wanted quantile a bracket from a mergeable sketch
 numeric column a cell, which is its value inside a bracket and only the
 number of the gap outside, and each categorical column its value.  Partial
 aggregation turns the gaps into a few rows a task, so what is shuffled and
-written is the brackets' share of the table (six values in ten thousand)
+written is the brackets' share of the table (twelve values in ten thousand)
 and the distinct categorical values.  Exact ranks are then read from that
 small table, whose refinement passes never touch the input.  A rank that a
 bracket misses (the sketch's error bound makes that a matter of ties and
