@@ -2,7 +2,8 @@
 
 Each distinct URL is expanded into (host suffix, path prefix) expressions,
 the expressions are equi-joined with the rules on a short prefix of their
-SHA-256 digest, full digests confirm, and the longest rule wins.
+SHA-256 digest alone (rules that share a prefix are one row with an array),
+full digests and the texts confirm, and the longest rule wins.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased.  Path: what follows up to ``?``, ``#`` or the end.  Null URLs
@@ -46,13 +47,14 @@ def _expression(host: Column, path: Column) -> Column:
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """(host, path, verdict) -> one row for each expression, with digest."""
+    """(host, path, verdict) -> one row for each digest prefix, with the rules that share it."""
     r = (rules.where("host is not null and path is not null and verdict is not null")
               .select(lower_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
               .groupBy("rule_host", "rule_path")
               .agg(F.when(F.max((F.col("verdict") == "block").cast("int")) == 1, "block").otherwise("allow").alias("rule_verdict")))
-    return (r.withColumn("rule_digest", _expression(F.col("rule_host"), F.col("rule_path")))
-             .withColumn("rule_key", F.substring("rule_digest", 1, PREFIX_HEX)))
+    rule = F.struct(_expression(F.col("rule_host"), F.col("rule_path")).alias("digest"), "rule_host", "rule_path", "rule_verdict")
+    return (r.select(rule.alias("r"))
+             .groupBy(F.substring("r.digest", 1, PREFIX_HEX).alias("rule_key")).agg(F.collect_list("r").alias("rules")))
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -62,9 +64,10 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     has cannot match and are not expanded; both bounds are read from the
     rules (one row), so no URL loses an expression."""
     prepared = prepare_rules(rules)
-    n, labels, lengths = prepared.agg(
-        F.count(F.lit(1)), F.max(F.size(F.split("rule_host", r"\."))),
-        F.sort_array(F.collect_set(F.length("rule_path")))).first()
+    each = prepared.select(F.explode("rules").alias("r"))
+    n, labels, lengths = each.agg(
+        F.count(F.lit(1)), F.max(F.size(F.split("r.rule_host", r"\."))),
+        F.sort_array(F.collect_set(F.length("r.rule_path")))).first()
     host, path = split_url(F.col(url_col))
     parts = (urls.select(url_col).distinct()
                  .withColumn("host", host).withColumn("path", path))
@@ -80,12 +83,15 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
                      .withColumn("x_digest", _expression(F.col("x_host"), F.col("x_path")))
                      .withColumn("x_key", F.substring("x_digest", 1, PREFIX_HEX)))
     side = F.broadcast(prepared) if n <= BROADCAST_RULES else prepared
-    hits = (expanded.join(side, (F.col("x_key") == F.col("rule_key")) & (F.col("x_digest") == F.col("rule_digest"))
-                          & (F.col("x_host") == F.col("rule_host")) & (F.col("x_path") == F.col("rule_path")))
-            .groupBy(F.col(url_col).alias("_url"))
-            .agg(F.max(F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"),
-                                F.concat("rule_host", "rule_path").alias("rule"),
-                                F.col("rule_verdict"))).alias("best")))
+    fits = F.filter("rules", lambda r: (r["digest"] == F.col("x_digest")) & (r["rule_host"] == F.col("x_host"))
+                    & (r["rule_path"] == F.col("x_path")))
+    # an expression is the text of one rule at most
+    hits = (expanded.join(side, F.col("x_key") == F.col("rule_key"))
+            .select(F.col(url_col).alias("_url"), F.get(fits, F.lit(0)).alias("r")).where("r is not null")
+            .groupBy("_url")
+            .agg(F.max(F.struct(F.length("r.rule_host") + F.length("r.rule_path"), F.length("r.rule_host"),
+                                F.concat("r.rule_host", "r.rule_path").alias("rule"),
+                                F.col("r.rule_verdict").alias("rule_verdict"))).alias("best")))
     return (parts.join(hits, parts[url_col] == hits["_url"], "left")
                  .select(url_col, "host", "path", F.col("best.rule").alias("rule"),
                          F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict")))

@@ -46,6 +46,19 @@ def test_urls_against_brute_force(spark):
     assert got == {**{i: brute_url(u) for i, u in enumerate(urls)}, None: brute_url(urls[0])}
     plan = url_filter.judge_pages(pages, rules)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    # the prefix of the digest is the only key of the join with the rules
+    joins = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "Join" in line and "rule_key" in line]
+    assert joins and all("x_key" in line and "x_digest" not in line.split("Inner")[0] for line in joins)
+
+
+def test_url_rules_that_share_a_digest_prefix(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PREFIX_HEX", 1)
+    rules = spark.createDataFrame([(f"h{i}.net", f"/{i % 7}/", "block" if i % 2 else "allow") for i in range(200)],
+                                  "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://a.h{i}.net/{i % 5}/x") for i in range(250)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_pages(pages, rules).collect()}
+    fits = lambda i: i < 200 and i % 7 == i % 5
+    assert got == {i: (f"h{i}.net/{i % 7}/", "block" if i % 2 else "allow") if fits(i) else (None, "allow") for i in range(250)}
 
 
 def test_urls_without_pages_or_rules(spark):
