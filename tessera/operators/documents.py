@@ -89,55 +89,68 @@ def summary_document(df: DataFrame) -> DataFrame:
                                  F.concat(*pieces).alias("page_content"))
 
 
-def group_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
-    """One GROUPING SETS aggregation over (month), (product),
-    (region); rows (doc_type, key, n_rows, page_content).  Months skip
-    unparsed dates; products / regions skip blank keys.  Every numeric
-    column except the set's own key gets Total and Average."""
+def group_text(title: str, key, num: list[str], source: str):
+    """Text of a group's document from its count ``n_rows``, totals ``_t<i>`` and counts of values
+    ``_n<i>``; the column the key was made from gets no line."""
+    lines = [F.concat(F.lit(title), key), F.concat(F.lit("Records: "), F.col("n_rows").cast("string"))]
+    for i, c in enumerate(num):
+        if c == source:
+            continue
+        t = F.coalesce(F.col(f"_t{i}"), F.lit(0.0))
+        lines.append(F.concat(F.lit(f"{c}: Total="), fmt.fixed(t), F.lit(", Average="),
+                              fmt.fixed(F.try_divide(F.col(f"_t{i}"), F.col(f"_n{i}")))))
+    return F.concat_ws("\n", *lines)
+
+
+def group_keys(df: DataFrame, roles: dict | None = None) -> list[tuple[str, str, str, object]]:
+    """(doc_type, title, source column, key) of the groupings whose column is there."""
     given = roles or {}
     roles = resolve_roles(df.columns, roles)
     # a location column makes no region documents
     d, p, r = roles["date"], roles["product"], given.get("region") or resolve_role(df.columns, "region_only")
-    num = stats.numeric_columns(df)
-    sets, keys, kinds = [], [], []
-    base = df
+    out = []
     if d:
-        base = base.withColumn("_k_month", F.date_format(F.trunc(_c(d).cast("date"), "month"), "yyyy-MM"))
-        keys.append("_k_month"); kinds.append(("time_period", "Time Period: ", d))
+        out.append(("time_period", "Time Period: ", d, F.date_format(F.trunc(_c(d).cast("date"), "month"), "yyyy-MM")))
     if p:
-        base = base.withColumn("_k_product", _c(p).cast("string"))
-        keys.append("_k_product"); kinds.append(("product", "Product: ", p))
+        out.append(("product", "Product: ", p, _c(p).cast("string")))
     if r:
-        base = base.withColumn("_k_region", _c(r).cast("string"))
-        keys.append("_k_region"); kinds.append(("region", "Region: ", r))
+        out.append(("region", "Region: ", r, _c(r).cast("string")))
+    return out
+
+
+def group_documents(df: DataFrame, roles: dict | None = None) -> DataFrame:
+    """One GROUPING SETS aggregation over (month), (product),
+    (region); rows (doc_type, key, n_rows, page_content).  Months skip
+    unparsed dates; products / regions skip blank keys.  Every numeric
+    column except the set's own key gets Total and Average."""
+    kinds = group_keys(df, roles)
+    num = stats.numeric_columns(df)
+    base, keys = df, []
+    for kind, _, _, key in kinds:
+        keys.append(f"_k_{kind}")
+        base = base.withColumn(keys[-1], key)
     if not keys:
         return df.sparkSession.createDataFrame([], "doc_type string, key string, n_rows bigint, page_content string")
     sets = [[k] for k in keys]
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.grouping_id(*keys).alias("_gid")]
     for i, c in enumerate(num):
-        aggs += [stats.exact_sum(_c(c)).alias(f"_t{i}"), F.count(_c(c)).alias(f"_n{i}")]
+        aggs += [stats.exact_sum(_c(c)).alias(f"_t{i}"), F.count(stats.present(_c(c))).alias(f"_n{i}")]
     g = base.groupingSets(sets, *keys).agg(*aggs)
     # one projection over the single aggregate: the set (grouping id)
     # chooses type, key and text, so the aggregate is computed once
     nk = len(keys)
     kind_e = key_e = text_e = keep_e = None
-    for j, (k, (kind, title, src)) in enumerate(zip(keys, kinds)):
+    for j, (k, (kind, title, src, _)) in enumerate(zip(keys, kinds)):
         gid = (1 << nk) - 1 - (1 << (nk - 1 - j))  # only key j grouped
-        lines = [F.concat(F.lit(title), F.col(k)), F.concat(F.lit("Records: "), F.col("n_rows").cast("string"))]
-        for i, c in enumerate(num):
-            if c == src:
-                continue
-            t = F.coalesce(F.col(f"_t{i}"), F.lit(0.0))
-            lines.append(F.concat(F.lit(f"{c}: Total="), fmt.fixed(t), F.lit(", Average="),
-                                  fmt.fixed(F.try_divide(F.col(f"_t{i}"), F.col(f"_n{i}")))))
+        text = group_text(title, F.col(k), num, src)
         ok = F.col(k).isNotNull()
         if kind != "time_period":
             ok = ok & (F.trim(F.col(k)) != "")
         is_set = F.col("_gid") == gid
         kind_e = F.when(is_set, F.lit(kind)) if kind_e is None else kind_e.when(is_set, F.lit(kind))
         key_e = F.when(is_set, F.col(k)) if key_e is None else key_e.when(is_set, F.col(k))
-        text_e = (F.when(is_set, F.concat_ws("\n", *lines)) if text_e is None
-                  else text_e.when(is_set, F.concat_ws("\n", *lines)))
+        text_e = (F.when(is_set, text) if text_e is None
+                  else text_e.when(is_set, text))
         keep_e = (is_set & ok) if keep_e is None else (keep_e | (is_set & ok))
     return g.where(keep_e).select(kind_e.alias("doc_type"), key_e.alias("key"), "n_rows",
                                   text_e.alias("page_content"))

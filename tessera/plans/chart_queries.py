@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chartdata
+from ..operators import chartdata, wide_correlation
 from ..sources.tables import SALES_ROLES, read_fact, read_table, sales_view
 from .oracle import with_sales, xavg
 from .registry import register
@@ -187,3 +187,30 @@ UNION ALL
 SELECT 'gender', segment, COUNT(*) FROM sales WHERE segment IS NOT NULL GROUP BY segment"""))
 def q_demographics(spark, sf_dir):
     return chartdata.demographics(sales_view(spark, sf_dir), R["age"], R["gender"])
+
+
+_DIM, _SHIFTS = 64, 8
+
+
+@register("correlation_wide", f"""
+WITH e AS (SELECT row_number() OVER () AS row_no, embedding FROM embeddings),
+     x AS (SELECT row_no, i, CAST(embedding[i + 1] AS DOUBLE) AS v
+           FROM e, (SELECT unnest(generate_series(0, {_DIM - 1})) AS i)),
+     f AS (SELECT row_no, 'v' || i AS c, v FROM x
+           UNION ALL
+           SELECT a.row_no, 'v' || a.i || '_x' || s, CASE WHEN s < {_SHIFTS - 1} OR a.v > 0 THEN a.v * b.v END
+           FROM x a, (SELECT unnest(generate_series(1, {_SHIFTS - 1})) AS s), x b
+           WHERE a.row_no = b.row_no AND b.i = (a.i + s) % {_DIM})
+SELECT a.c AS col_a, b.c AS col_b, ROUND(CORR(a.v, b.v), 6) AS r
+FROM f a JOIN f b USING (row_no) GROUP BY 1, 2""")
+def q_correlation_wide(spark, sf_dir):
+    """All pairs of 512 columns: the components of each embedding and products of two components, those
+    of the last distance only where the first is positive."""
+    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    cols = [v(i).alias(f"v{i}") for i in range(_DIM)]
+    for s in range(1, _SHIFTS):
+        for i in range(_DIM):
+            product = v(i) * v((i + s) % _DIM)
+            cols.append((product if s < _SHIFTS - 1 else F.when(v(i) > 0, product)).alias(f"v{i}_x{s}"))
+    out = wide_correlation.wide_correlation(read_fact(spark, sf_dir, "embeddings").select(*cols))
+    return out.select("col_a", "col_b", F.round("r", 6).alias("r"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import documents
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import documents, incremental
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import SALES_ROLES, sales_view
 from .oracle import fixed, with_sales, xavg, xsum
 from .registry import register
@@ -74,3 +79,17 @@ FROM (SELECT doc_type, key, CAST(NULL AS BIGINT) AS n_rows, page_content FROM su
       UNION ALL SELECT * FROM groups)""", *_SUMMARY_CTES, *_GROUP_CTES))
 def q_doc_corpus(spark, sf_dir):
     return documents.corpus(sales_view(spark, sf_dir, materialized=True), SALES_ROLES)
+
+
+@register("doc_groups_incremental", with_sales("SELECT * FROM groups", *_GROUP_CTES))
+def q_doc_groups_incremental(spark, sf_dir):
+    """The documents of ``doc_groups`` after three arrivals, the second of them with wrong quantities, and its replacement."""
+    sales = sales_view(spark, sf_dir, materialized=True)
+    at = F.pmod(F.xxhash64(*sales.columns), F.lit(3))
+    files = sales.withColumn("file", F.concat(F.lit("part-"), at.cast("string")))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents/{uuid.uuid4().hex}"
+    part = lambda i: files.where(F.col("file") == f"part-{i}")
+    wrong = part(1).withColumn("quantity", F.col("quantity") + 1).withColumn("region", F.lit("NOWHERE"))
+    for arrived in (part(0), wrong, part(2), part(1)):
+        incremental.apply_files(spark, folder, arrived, roles=SALES_ROLES)
+    return incremental.group_documents(spark, folder)
