@@ -22,8 +22,8 @@ the first e of them and indexes the rest.  No link is lost: were all of the
 
 Plan.  1. Identical sets collapse into classes (one aggregation); the class
 has the smallest doc_id as representative.  2. Tasks hash their documents'
-segments and ship the keys as packed arrays, one row for each key bucket; a
-bucket's task sorts them and keeps the keys that several classes share.
+segments and ship the keys as packed arrays, one row for each key bucket (five
+bytes a key, a class once for its keys in it); a bucket's task sorts them and keeps the keys that several classes share.
 3. In each such key every class is paired with the key's first class only (a
 star, never all pairs), pairs that a parity sketch of the sets proves too
 different are discarded, the rest are verified on the whole texts, and
@@ -52,8 +52,9 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, U64, Words, lean, mix, signed, small, text_buffer, word_runs, written
 from .components import components
 
+KEY_BYTES = 5                 # of a key inside its bucket; keys that agree by chance make pairs that verification rejects
 FLUSH_KEYS = 400_000        # keys a task packs at once
-BUCKET_BYTES = 24 << 20       # text bytes whose keys share a bucket
+BUCKET_BYTES = 4 << 20        # text bytes whose keys share a bucket
 BROADCAST_IDS = 1_000_000     # ids sent to all executors at most; more are joined by a shuffle
 SKETCH_WORDS = 8              # parity sketch of 8 * 64 bits
 FEW_LINKS = 100               # a star round that finds fewer is the last
@@ -204,6 +205,11 @@ def memberships(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     return src.mapInArrow(work, schema)
 
 
+def unpacked(blobs: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all blobs in order, copied once."""
+    return np.concatenate([np.zeros(0, np.uint8), *(text_buffer(c)[0] for c in blobs.chunks)]).view(kind)
+
+
 def shared_keys(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, buckets: int) -> DataFrame:
     """(key, cls, head): the classes of every key that several classes share; head is its first class."""
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
@@ -211,18 +217,22 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
-        keys, nodes, held = [], [], 0
+        keys, rows, classes, base = [], [], [], 0
 
         def flush():
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, row, cls = np.concatenate(keys), np.concatenate(rows), np.concatenate(classes)
             bucket = (key % U64(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            key, node = key[o], node[o]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-            full = np.flatnonzero(np.diff(cut))
-            blob = lambda x: pa.array([x[cut[i]:cut[i + 1]].tobytes() for i in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blob(key), blob(node)],
-                                              names=["bucket", "keys", "nodes"])
+            o = np.argsort(bucket * len(cls) + row, kind="stable")
+            key, row, bucket = key[o], row[o], bucket[o]
+            head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+            parts = [((key // U64(buckets)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], bucket), (cls[row[head]], bucket[head]),
+                     (np.diff(np.concatenate([head, [len(key)]])).astype(np.uint32), bucket[head])]
+            full = np.unique(bucket)
+            blobs = []
+            for values, place in parts:
+                values, cut = np.ascontiguousarray(values), np.append(np.searchsorted(place, full), len(place))
+                blobs.append(pa.array([values[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *blobs], names=["bucket", "keys", "nodes", "runs"])
 
         for batch in batches:
             for a, b, words in word_runs(batch.column(0), lower=True):
@@ -236,22 +246,28 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
                 key, row = s.keys(bands, keep)
                 if len(key):
                     keys.append(key)
-                    nodes.append(cls[row])
-                    held += len(key)
-                if held >= FLUSH_KEYS:
+                    rows.append(row + base)
+                    classes.append(cls)
+                    base += len(cls)
+                if sum(map(len, keys)) >= FLUSH_KEYS:
                     yield flush()
-                    keys, nodes, held = [], [], 0
-        if held:
+                    keys, rows, classes, base = [], [], [], 0
+        if keys:
             yield flush()
 
     def match(t: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint64)
-        node = np.frombuffer(b"".join(t.column("nodes").to_pylist()), np.int64)
+        short = unpacked(t.column("keys"), np.uint8).reshape(-1, KEY_BYTES)
+        key = np.zeros((len(short), 8), np.uint8)
+        key[:, :KEY_BYTES] = short
+        key = key.view(np.uint64).ravel()
+        del short
         o = np.argsort(key, kind="stable")
         k2 = key[o]
+        del key
         same = k2[1:] == k2[:-1]
         multi = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        k2, n2 = k2[multi], node[o][multi]
+        k2, o = k2[multi], o[multi]
+        n2 = np.repeat(unpacked(t.column("nodes"), np.int64), unpacked(t.column("runs"), np.uint32))[o]
         o = np.lexsort((n2, k2))
         k2, n2 = k2[o], n2[o]
         if len(k2):
@@ -263,9 +279,10 @@ def shared_keys(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
             k2, n2, head = k2[size > 1], n2[size > 1], head[size > 1]
         else:
             head = n2
+        k2 = k2 * U64(buckets) + U64(t.column("bucket")[0].as_py())   # keys of different buckets differ
         return pa.table({"key": signed(k2), "cls": pa.array(n2), "head": pa.array(head)})
 
-    packed = src.mapInArrow(pack, "bucket int, keys binary, nodes binary")
+    packed = src.mapInArrow(pack, "bucket int, keys binary, nodes binary, runs binary")
     return packed.groupBy("bucket").applyInArrow(match, "key long, cls long, head long")
 
 
