@@ -60,9 +60,9 @@ FROM vec WHERE nw > 0 GROUP BY doc_id, chunk_pos""")
 def q_embed_sparse(spark, sf_dir):
     """R5 over the fixed chunks of all documents: sparse vectors, as digests of their sorted terms and weights."""
     index = sparse.build(text.chunk_fixed(read_table(spark, sf_dir, "documents")), ["doc_id", "chunk_pos"], "chunk_text")
-    listed = F.array_join(F.transform(F.array_sort(F.map_entries("weights")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), " ")
-    return index.vectors.where(F.size("weights") > 0).select(
-        "key.*", F.size("weights").cast("long").alias("n_terms"), F.array_max(F.map_values("weights")).alias("greatest_weight"),
+    listed = F.array_join(F.zip_with("terms", "nws", lambda t, n: F.concat(t, F.lit(":"), n.cast("string"))), " ")
+    return index.vectors.select(
+        "key.*", F.size("terms").cast("long").alias("n_terms"), F.array_max("nws").cast("long").alias("greatest_weight"),
         F.md5(listed).alias("vector_md5"))
 
 
@@ -136,7 +136,10 @@ def q_hybrid_topk(spark, sf_dir):
     """R5 + R3 + R2 + R8 + R9: every user turn retrieves its nearest
     document chunks (sparse TF-IDF, cosine) and its statistics document; the
     hybrid list is cut to k = 5 with one slot kept for statistics."""
-    chunks = materialize(text.chunk_recursive(read_table(spark, sf_dir, "documents")))
+    split = text.chunk_recursive(read_table(spark, sf_dir, "documents"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunks/{uuid.uuid4().hex}"
+    split.write.option("compression", "zstd").parquet(path)     # a checkpoint is not compressed
+    chunks = spark.read.schema(split.schema).parquet(path)
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "conv_id", "turn", F.col("text").alias("question"))
     hits = sparse.search(sparse.build(chunks, ["doc_id", "chunk_pos"], "chunk_text"), qs, ["question_id"], "question", k=5)
