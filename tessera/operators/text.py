@@ -2,23 +2,25 @@
 
 R7 is pure column expressions (``sequence`` + ``substring``).  R6, the
 separator-aware recursive split the reference delegates to a library, is
-the one per-row Python helper: an Arrow-batched pandas UDF returning the
-chunk list of each (whole) text, exploded back into rows by Spark.  R5 is a
+the one per-row Python helper: a function over Arrow batches that splits one
+(whole) text at a time and gives its chunks as rows, in small batches.  R5 is a
 ``pyspark.ml`` feature pipeline fitted on the chunk table.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Splitter defaults of the reference's knowledge base.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 SEPARATORS = ("\n\n", "\n", " ", "")
+CHUNK_BATCH = 1 << 21   # characters of chunks that a task holds before it gives them out
 
 
 # ------------------------------------------------------------------ R7
@@ -98,15 +100,25 @@ def chunk_recursive(docs: DataFrame, text_col: str = "text", size: int = CHUNK_S
                     overlap: int = CHUNK_OVERLAP, keys=("doc_id",)) -> DataFrame:
     """One row per chunk (keys..., chunk_pos, chunk_text, chunk_len);
     metadata columns in ``keys`` are copied to every chunk."""
-    @F.pandas_udf(ArrayType(StringType()))
-    def _split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, size, overlap))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            while begin < batch.num_rows:
+                rows, places, chunks, chars = [], [], [], 0
+                while begin < batch.num_rows and chars < CHUNK_BATCH:   # one text at a time, few of them at once
+                    found = split_recursive(batch.column(len(keys))[begin].as_py(), size, overlap)
+                    rows += [begin] * len(found)
+                    places += range(len(found))
+                    chunks += found
+                    chars += sum(map(len, found))
+                    begin += 1
+                out = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(places, pa.int64()), pa.array(chunks, pa.string())], names=[*keys, "chunk_pos", "chunk_text"])
 
     from ..plans.rolling import spread
-    return (spread(docs.select(*keys, text_col))
-                .select(*keys, F.posexplode(_split(F.col(text_col))).alias("chunk_pos", "chunk_text"))
-                .select(*keys, F.col("chunk_pos").cast("bigint").alias("chunk_pos"), "chunk_text",
-                        F.length("chunk_text").cast("bigint").alias("chunk_len")))
+    src = spread(docs.select(*keys, text_col))
+    schema = StructType([*(src.schema[x] for x in keys), StructField("chunk_pos", LongType()), StructField("chunk_text", StringType())])
+    return src.mapInArrow(split, schema).withColumn("chunk_len", F.length("chunk_text").cast("bigint"))
 
 
 # ------------------------------------------------------------------ R5
