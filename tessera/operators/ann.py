@@ -260,8 +260,9 @@ def search(index: AnnIndex, queries: DataFrame, k: int = 10, probes: int = 8, re
     found = left.groupBy("cell", "qb", "cb").cogroup(right.groupBy("cell", "qb", "cb")).applyInPandas(
         compare, f"q {q_type}, id {id_type}, cell int, near double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("near", "id"))).where(F.col("r") <= rerank)
-    vecs = rows.select(F.col("id").alias("v_id"), F.col("cell").alias("v_cell"), "vec")
-    asked_vecs = asked.select(F.col("q").alias("a_q"), F.col("cell").alias("a_cell"), "q_vec")
+    # merge joins: the vectors, small as their files may be, do not pass through the driver for a broadcast
+    vecs = rows.select(F.col("id").alias("v_id"), F.col("cell").alias("v_cell"), "vec").hint("merge")
+    asked_vecs = asked.select(F.col("q").alias("a_q"), F.col("cell").alias("a_cell"), "q_vec").hint("merge")
     square = F.aggregate(F.zip_with("q_vec", "vec", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
                          F.lit(0.0), lambda s, x: s + x)
     exact = (best.join(vecs, (F.col("id") == F.col("v_id")) & (F.col("cell") == F.col("v_cell")))

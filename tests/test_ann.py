@@ -51,3 +51,13 @@ def test_awkward_vectors(spark, tmp_path):
     empty = ann.build(df.limit(0), str(tmp_path / "none"))
     assert ann.search(empty, asked, 3).count() == 0
     assert ann.search(index, asked.limit(0), 3).count() == 0
+
+
+def test_vectors_are_not_broadcast(spark, tmp_path):
+    df = vectors(spark, 500, 8)
+    index = ann.build(df, str(tmp_path / "ix"), cells=6, subspaces=4)
+    found = ann.search(index, df.where("id % 50 = 0").selectExpr("id as query_id", "embedding"), 5, 3)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert found.count() == 50
+    joins = [line for line in plan.toString().splitlines() if "Join" in line and ("v_id" in line or "a_q" in line)]
+    assert joins and not [line for line in joins if "Broadcast" in line]
