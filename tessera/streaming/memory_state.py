@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
 
+#: Input of a micro-batch: their number grows with the bytes, not with the files, and each has work for all cores.
+BATCH_BYTES = 1 << 29
 MSG_SCHEMA = "turn long, role string, text string"
 OUT_SCHEMA = "conv_id long, version long, turn long, role string, text string, pos long"
 
@@ -68,15 +70,20 @@ def trim(k: int):
     return run
 
 
+def batch_limit(max_files_per_trigger: int | None) -> dict[str, str]:
+    """Options of a file stream: so many files a micro-batch, or ``BATCH_BYTES``."""
+    return {"maxFilesPerTrigger": str(max_files_per_trigger)} if max_files_per_trigger else {"maxBytesPerTrigger": str(BATCH_BYTES)}
+
+
 def stream_memory(spark: SparkSession, source_path: str, k: int = 5,
-                  max_files_per_trigger: int = 1, out_dir: str | None = None) -> DataFrame:
+                  max_files_per_trigger: int | None = None, out_dir: str | None = None) -> DataFrame:
     """Run the stateful stream over the parquet files at ``source_path`` to
     completion (``availableNow``) and return the current windows as a
     batch DataFrame (conv_id, turn, role, text, pos)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = out_dir or f"{base}/streams/memory-{uuid.uuid4().hex}"
     schema = spark.read.parquet(source_path).schema
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    src = (spark.readStream.schema(schema).options(**batch_limit(max_files_per_trigger))
            .parquet(source_path).select("conv_id", "turn", "role", "text"))
     out = src.mapInPandas(trim(k), src.schema).groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=LastKMemory(k), outputStructType=OUT_SCHEMA,

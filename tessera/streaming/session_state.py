@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.memory import MEMORY_ROLES
 from ..session import ensure_checkpoint_dir
-from .memory_state import MSG_SCHEMA, OUT_SCHEMA
+from .memory_state import MSG_SCHEMA, OUT_SCHEMA, batch_limit
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CONTROL_SCHEMA = "conv_id long, turn long, op string, k int"
@@ -122,7 +122,7 @@ def current_windows(updates: DataFrame) -> DataFrame:
 
 
 def run_sessions(spark: SparkSession, messages_path: str, controls_path: str, default_k: int = 5, most_k: int = 20,
-                 max_files_per_trigger: int = 1, out_dir: str | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = None, out_dir: str | None = None) -> DataFrame:
     """Run both file streams to completion (``availableNow``) and return the current windows.
 
     With the same ``out_dir`` a later call goes on with the files that have come since.  Timers need a stream
@@ -130,8 +130,8 @@ def run_sessions(spark: SparkSession, messages_path: str, controls_path: str, de
     a timer always asks for another batch."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = out_dir or f"{base}/streams/sessions-{uuid.uuid4().hex}"
-    said = spark.readStream.schema(spark.read.parquet(messages_path).schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    told = spark.readStream.schema(CONTROL_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+    said = spark.readStream.schema(spark.read.parquet(messages_path).schema).options(**batch_limit(max_files_per_trigger))
+    told = spark.readStream.schema(CONTROL_SCHEMA).options(**batch_limit(max_files_per_trigger))
     out = controlled_memory(said.parquet(messages_path), told.parquet(controls_path), default_k, most_k)
     # the operator needs this state store; the session gets its own setting back
     key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")

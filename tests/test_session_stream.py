@@ -101,3 +101,17 @@ def test_reduced_batches_keep_what_counts():
     out = pd.concat(session_state.reduce_batch(2)(iter([pdf])))
     assert sorted(out.loc[out["op"].isna(), "turn"]) == [46, 47, 48, 49]
     assert sorted(zip(out["op"].dropna(), out.loc[out["op"].notna(), "turn"])) == [("clear", 58), ("delete", 59)]
+
+
+@pytest.mark.parametrize("files, batches", [(None, 1), (1, 3)])
+def test_batches_go_by_bytes_unless_files_are_given(spark, tmp_path, files, batches):
+    from tessera.streaming import memory_state
+    said = [(s, t, "user", f"{s}/{t}") for s in range(5) for t in range(9)]
+    for i in range(3):
+        spark.createDataFrame(said[i::3], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/said/{i}")
+        spark.createDataFrame([(i, 2, "clear", None)], session_state.CONTROL_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/told/{i}")
+    given = {"max_files_per_trigger": files} if files else {}
+    want = [(s, t, "user", f"{s}/{t}", 9 - t) for s in range(5) for t in range(5, 9)]
+    assert _rows(memory_state.stream_memory(spark, f"{tmp_path}/said/*", k=2, out_dir=f"{tmp_path}/a", **given)) == want
+    assert _rows(session_state.run_sessions(spark, f"{tmp_path}/said/*", f"{tmp_path}/told/*", default_k=2, out_dir=f"{tmp_path}/b", **given)) == want
+    assert [len([x for x in (tmp_path / run / "checkpoint/commits").iterdir() if x.name.isdigit()]) for run in "ab"] == [batches] * 2
