@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 # Splitter defaults of the reference's knowledge base.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 SEPARATORS = ("\n\n", "\n", " ", "")
+SECTION = 8             # windows cut from a text at a time: a cut walks to its place from the start of what it cuts
 CHUNK_BATCH = 1 << 21   # characters of chunks that a task holds before it gives them out
 
 
@@ -30,10 +31,14 @@ def chunk_fixed(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
     window ends at the text's end.  One output row per window."""
     step = size - overlap
     n = F.greatest(F.ceil((F.length(text_col) - F.lit(size)) / F.lit(step)), F.lit(0))
-    return (docs.select(*keys, text_col, F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("chunk_pos"))
+    begin = F.col("_section") * SECTION
+    return (docs.select(*keys, text_col, n.cast("int").alias("_n"))
+                .select(*keys, text_col, "_n", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / SECTION).cast("int"))).alias("_section"))
+                .select(*keys, "_n", "_section", F.substring(F.col(text_col), begin * step + 1, F.lit((SECTION - 1) * step + size)).alias("_text"))
+                .select(*keys, "_section", "_text", F.explode(F.sequence(begin, F.least("_n", begin + SECTION - 1))).alias("chunk_pos"))
                 .select(*keys, F.col("chunk_pos").cast("bigint").alias("chunk_pos"),
                         (F.col("chunk_pos") * step).cast("bigint").alias("chunk_start"),
-                        F.substring(F.col(text_col), F.col("chunk_pos") * step + 1, F.lit(size)).alias("chunk_text"))
+                        F.substring(F.col("_text"), (F.col("chunk_pos") - begin) * step + 1, F.lit(size)).alias("chunk_text"))
                 .withColumn("chunk_len", F.length("chunk_text").cast("bigint")))
 
 
