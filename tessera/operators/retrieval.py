@@ -232,12 +232,19 @@ def hybrid_topk(vector_hits: DataFrame, stat_docs_per_question: DataFrame, k: in
              .where(F.col("position") <= k).drop("src", "r"))
 
 
-def context_text(ranked_docs: DataFrame, key: str = "question_id") -> DataFrame:
+def context_text(ranked_docs: DataFrame, key: str = "question_id", rows: bool = False) -> DataFrame:
     """Documents joined with a blank line in rank order (at most k per
-    question, so the collected list is bounded)."""
-    return ranked_docs.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("position", "page_content"))),
-        lambda x: x["page_content"]), "\n\n").alias("context"))
+    question, so the collected list is bounded).
+
+    ``rows`` gives each document's (position, source, content) with the
+    context: they come out of the same list, so what ``ranked_docs`` is made
+    of is computed once, and no join meets it with itself."""
+    kept = ["position", "source", "page_content"] if rows else ["position", "page_content"]
+    listed = ranked_docs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("docs"))
+    context = F.array_join(F.transform("docs", lambda x: x["page_content"]), "\n\n").alias("context")
+    if not rows:
+        return listed.select(key, context)
+    return listed.select(key, context, F.inline("docs")).withColumnRenamed("page_content", "content")
 
 
 # Prompt wording is ours; only the slot order (system text, history, then

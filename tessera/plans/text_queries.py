@@ -148,11 +148,8 @@ def q_hybrid_topk(spark, sf_dir):
     st = retrieval.attach_statistics(qs, retrieval.statistics_documents(sales_view(spark, sf_dir, materialized=True),
                                                                         SALES_ROLES))
     ranked = retrieval.hybrid_topk(hits, st.select("question_id", "page_content"), k=5)
-    ctx = retrieval.context_text(ranked)
-    return (ranked.select("question_id", "position", "source", F.col("page_content").alias("content"))
-                  .join(ctx.select("question_id", "context"), "question_id")
-                  .join(qs.select("question_id", "conv_id", "turn"), "question_id")
-                  .select("conv_id", "turn", "position", "source", "content", "context"))
+    return (retrieval.context_text(ranked, rows=True).join(qs.select("question_id", "conv_id", "turn"), "question_id")
+                     .select("conv_id", "turn", "position", "source", "content", "context"))
 
 
 @register("chunk_invariants", """
